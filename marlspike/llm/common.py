@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,14 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_ROOT: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Only where it is unset (tests on one machine) a temporary folder is chosen."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='marlspike-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    if root:
+        return root
+    if not _OWN_ROOT:
+        _OWN_ROOT.append(f"file://{tempfile.mkdtemp(prefix='marlspike-')}")
+        atexit.register(shutil.rmtree, _OWN_ROOT[0].removeprefix("file://"), ignore_errors=True)
+    return _OWN_ROOT[0]
 
 
 class Scratch:
@@ -37,6 +41,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.kept = 0
+        self.paths: dict[int, str] = {}
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -46,16 +51,17 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again with the same schema."""
         path = self.path(name)
+        kind = df.schema
         df.write.parquet(path)
         del df
         self.sweep()
-        return self.spark.read.parquet(path)
+        out = self.spark.read.schema(kind).parquet(path)
+        self.paths[id(out)] = path
+        return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that ``keep`` returned."""
-        files = df.inputFiles()
-        if files:
-            self._delete(os.path.dirname(files[0]))
+        self._delete(self.paths.pop(id(df)))
 
     def sweep(self) -> None:
         """Let Spark's cleaner see which shuffles nothing refers to any more, so that their files go now."""
