@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash, packing
+from . import decontamination, minhash, packing, quality, toxicity
 from .common import table
 
 
@@ -13,6 +13,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.predictions(quality.score(docs, model), quality.THRESHOLD)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find(docs, table(spark, sf_dir, "benchmark"))
@@ -28,6 +34,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.predictions(toxicity.score(docs, model), toxicity.THRESHOLD)
+
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), lambda x: x <> '') AS ws FROM documents
@@ -72,5 +84,5 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 FROM documents AS d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-QUERIES = {"op2_minhash": op2_minhash, "op6_decontamination": op6_decontamination, "op8_packing": op8_packing}
+QUERIES = {"op2_minhash": op2_minhash, "op5_quality": op5_quality, "op9_toxicity": op9_toxicity, "op6_decontamination": op6_decontamination, "op8_packing": op8_packing}
 ORACLE_SQL = {"op2_minhash": OP2_SQL, "op6_decontamination": OP6_SQL}
