@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash, packing, quality, toxicity
+from . import brown, decontamination, minhash, packing, quality, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(toxicity.score(docs, model), toxicity.THRESHOLD)
 
 
+def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), lambda x: x <> '') AS ws FROM documents
@@ -84,5 +88,5 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 FROM documents AS d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-QUERIES = {"op2_minhash": op2_minhash, "op5_quality": op5_quality, "op9_toxicity": op9_toxicity, "op6_decontamination": op6_decontamination, "op8_packing": op8_packing}
+QUERIES = {"op2_minhash": op2_minhash, "op5_quality": op5_quality, "op9_toxicity": op9_toxicity, "op10_brown": op10_brown, "op6_decontamination": op6_decontamination, "op8_packing": op8_packing}
 ORACLE_SQL = {"op2_minhash": OP2_SQL, "op6_decontamination": OP6_SQL}
