@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontamination, minhash, packing, quality, toxicity
+from . import brown, decontamination, lines, minhash, packing, quality, toxicity
 from .common import table
 
 
@@ -13,6 +13,13 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    gone = lines.recurring_lines(docs).select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
+    return counted.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), F.coalesce("dropped", F.lit("")).alias("dropped"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -88,5 +95,34 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 FROM documents AS d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-QUERIES = {"op2_minhash": op2_minhash, "op5_quality": op5_quality, "op9_toxicity": op9_toxicity, "op10_brown": op10_brown, "op6_decontamination": op6_decontamination, "op8_packing": op8_packing}
-ORACLE_SQL = {"op2_minhash": OP2_SQL, "op6_decontamination": OP6_SQL}
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, line_no, line, len(tokens) AS n, tokens FROM (
+    SELECT doc_id, line_no, line, string_split(line, ' ') AS tokens FROM (
+      SELECT doc_id, line_no, regexp_replace(trim(regexp_replace(ls[line_no + 1], '[ \t\r\x0b\x0c]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line
+      FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
+    )
+  ) WHERE len(list_filter(tokens, lambda x: x <> '<*>')) >= 4
+), d AS (
+  SELECT n, array_to_string(tokens[1:3], ' ') AS head, line, any_value(tokens) AS tokens, min(doc_id) AS lo, max(doc_id) AS hi, min(doc_id * 1000000 + line_no) AS start FROM l GROUP BY n, head, line
+), p AS (
+  SELECT n, head, place, token, count(*) AS c FROM (SELECT n, head, tokens, unnest(range(4, n + 1)) AS place, unnest(tokens[4:]) AS token FROM d) GROUP BY n, head, place, token
+), top AS (
+  SELECT n, head, list(token ORDER BY place) AS template FROM (SELECT n, head, place, token, row_number() OVER (PARTITION BY n, head, place ORDER BY c DESC, token DESC) AS r FROM p) WHERE r = 1 GROUP BY n, head
+), m AS (
+  SELECT d.n, d.head, d.line, lo, hi, start,
+    CASE WHEN 100 * (SELECT count(*) FROM (SELECT unnest(d.tokens[4:]) AS x, unnest(top.template) AS y) WHERE x = y) >= 70 * (d.n - 3) THEN '' ELSE line END AS template
+  FROM d JOIN top ON top.n = d.n AND top.head = d.head
+), t AS (
+  SELECT n, head, template, min(start) AS start FROM m GROUP BY n, head, template HAVING min(lo) < max(hi)
+), g AS (
+  SELECT DISTINCT l.doc_id, l.line_no FROM l JOIN m ON m.n = l.n AND m.line = l.line JOIN t ON t.n = m.n AND t.head = m.head AND t.template = m.template WHERE l.doc_id * 1000000 + l.line_no <> t.start
+), a AS (
+  SELECT doc_id, count(*) AS n_dropped, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS dropped FROM g GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, coalesce(dropped, '') AS dropped
+FROM documents LEFT JOIN a USING (doc_id)
+"""
+
+QUERIES = {"op3_lines": op3_lines, "op2_minhash": op2_minhash, "op5_quality": op5_quality, "op9_toxicity": op9_toxicity, "op10_brown": op10_brown, "op6_decontamination": op6_decontamination, "op8_packing": op8_packing}
+ORACLE_SQL = {"op3_lines": OP3_SQL, "op2_minhash": OP2_SQL, "op6_decontamination": OP6_SQL}
