@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontamination, lines, minhash, packing, quality, toxicity
+from . import archives, brown, decontamination, lines, minhash, packing, pii, quality, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), F.coalesce("dropped", F.lit("")).alias("dropped"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -35,6 +39,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archives.convert(archives.arc_files(table(spark, sf_dir, "pages")))
+    return read.where("type IN ('response', 'revisit')").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -124,5 +133,16 @@ SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS
 FROM documents LEFT JOIN a USING (doc_id)
 """
 
-QUERIES = {"op3_lines": op3_lines, "op2_minhash": op2_minhash, "op5_quality": op5_quality, "op9_toxicity": op9_toxicity, "op10_brown": op10_brown, "op6_decontamination": op6_decontamination, "op8_packing": op8_packing}
-ORACLE_SQL = {"op3_lines": OP3_SQL, "op2_minhash": OP2_SQL, "op6_decontamination": OP6_SQL}
+OP7_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM m
+"""
+
+QUERIES = {"op7_archives": op7_archives, "op3_lines": op3_lines, "op2_minhash": op2_minhash, "op4_pii": op4_pii, "op5_quality": op5_quality, "op9_toxicity": op9_toxicity, "op10_brown": op10_brown, "op6_decontamination": op6_decontamination, "op8_packing": op8_packing}
+ORACLE_SQL = {"op7_archives": OP7_SQL, "op3_lines": OP3_SQL, "op2_minhash": OP2_SQL, "op6_decontamination": OP6_SQL}
