@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, brown, decontamination, lines, minhash, packing, pii, quality, toxicity
+from . import archives, brown, decontamination, lines, minhash, packing, pii, quality, toxicity, vectors
 from .common import table
 
 
+def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -144,5 +148,22 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 FROM m
 """
 
-QUERIES = {"op7_archives": op7_archives, "op3_lines": op3_lines, "op2_minhash": op2_minhash, "op4_pii": op4_pii, "op5_quality": op5_quality, "op9_toxicity": op9_toxicity, "op10_brown": op10_brown, "op6_decontamination": op6_decontamination, "op8_packing": op8_packing}
-ORACLE_SQL = {"op7_archives": OP7_SQL, "op3_lines": OP3_SQL, "op2_minhash": OP2_SQL, "op6_decontamination": OP6_SQL}
+OP1_SQL = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), n AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a
+), r(id, reach) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a
+), m AS (
+  SELECT id, min(reach) AS component_id FROM r GROUP BY id
+)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN m ON m.id = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+QUERIES = {"op1_vectors": op1_vectors, "op7_archives": op7_archives, "op3_lines": op3_lines, "op2_minhash": op2_minhash, "op4_pii": op4_pii, "op5_quality": op5_quality, "op9_toxicity": op9_toxicity, "op10_brown": op10_brown, "op6_decontamination": op6_decontamination, "op8_packing": op8_packing}
+ORACLE_SQL = {"op1_vectors": OP1_SQL, "op7_archives": OP7_SQL, "op3_lines": OP3_SQL, "op2_minhash": OP2_SQL, "op6_decontamination": OP6_SQL}
