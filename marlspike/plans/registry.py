@@ -1,4 +1,7 @@
 """Every query of the library by name, with the SQL that an independent engine can run."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import changes, cleaning, corpus, streams
+
+_PARTS = (corpus.registry, cleaning.registry, changes.registry, streams.registry)
+QUERIES: dict = {name: q for part in _PARTS for name, q in part.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: s for part in _PARTS for name, s in part.sql.items()}
