@@ -79,6 +79,12 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def broadcast_if_small(df: DataFrame, most: int, weight: str = "1") -> DataFrame:
+    """A stored table, marked for broadcast if its measured weight is at most ``most``; otherwise Spark joins it by a shuffle."""
+    measured = df.agg(F.coalesce(F.expr(f"sum({weight})"), F.lit(0)).alias("n")).first().n
+    return F.broadcast(df) if measured <= most else df
+
+
 def held_out(column: str, folds: int):
     """True for the rows whose crc32 of the id as text is a multiple of ``folds``."""
     return F.crc32(F.col(column).cast("string")) % folds == 0

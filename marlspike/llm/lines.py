@@ -23,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, broadcast_if_small
 
 DEPTH = 3
 SIMILAR_PERCENT = 70
 SHORTEST = 4
 FIELD = "<*>"
+#: Rows of ids or places that may be sent to every task; more are joined by a shuffle.
+MOST_SHIPPED = 500_000
 
 
 def _normal(line: Column) -> Column:
@@ -47,52 +49,52 @@ def _fields(text: Column) -> Column:
 
 
 def parsed(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST) -> DataFrame:
-    """Lines of at least ``shortest`` tokens: doc_id, line_no from 0, n tokens, leaf and same (hashes of the leaf and the line), line."""
-    each = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.where(F.octet_length("line") >= 2 * shortest - 1).select("doc_id", "line_no", _normal(F.col("line")).alias("line"))
-    each = each.withColumn("n", _spaces(F.col("line")) + 1).where((F.col("n") - _fields(F.col("line"))) >= shortest)
+    """Lines of at least ``shortest`` tokens: doc_id, line_no from 0, n tokens, leaf and same (hashes of the leaf and the line)."""
+    each = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), _normal)).alias("line_no", "line"))
+    each = each.where(F.octet_length("line") >= 2 * shortest - 1).withColumn("n", _spaces(F.col("line")) + 1)
+    each = each.where((F.col("n") - F.when(F.col("line").contains(FIELD), _fields(F.col("line"))).otherwise(0)) >= shortest)
     leaf = F.xxhash64("n", F.substring_index("line", " ", depth))
-    return each.select("doc_id", "line_no", "n", leaf.alias("leaf"), F.xxhash64("line", F.lit(7)).alias("same"), "line")
+    return each.select("doc_id", "line_no", "n", leaf.alias("leaf"), F.xxhash64("line", F.lit(7)).alias("same"))
 
 
-def templates(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, similar: int = SIMILAR_PERCENT, shortest: int = SHORTEST) -> DataFrame:
-    """leaf, same, template and, per line text of the tree, the first place (first_doc, first_line) and whether the template recurs."""
-    lines = parsed(docs, depth, shortest)
+def templates(docs: DataFrame, lines: DataFrame, scratch: Scratch, depth: int = DEPTH, similar: int = SIMILAR_PERCENT) -> DataFrame:
+    """Of the parsed lines of docs, those (leaf, same) whose template recurs, with its first place: first_doc, first_line."""
     distinct = scratch.keep(
-        lines.groupBy("leaf", "same").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("doc_id").alias("last_doc")), "lines"
+        lines.groupBy("leaf", "same").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("doc_id").alias("last_doc"), F.min("n").alias("n")), "lines"
     )
     mixed = distinct.groupBy("leaf").agg(F.count("*").alias("many")).where("many > 1").select("leaf")
-    open_ = distinct.join(mixed, "leaf").select("leaf", "same", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    texts = docs.select("doc_id", "text").join(open_.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    spelled = scratch.keep(
-        parsed(texts, depth, shortest).join(open_, ["doc_id", "line_no", "leaf", "same"]).select("leaf", "same", "n", F.split("line", " ").alias("tokens")), "open"
-    )
+    open_ = scratch.keep(distinct.join(mixed, "leaf").select("leaf", "same", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "open")
+    ids = broadcast_if_small(scratch.keep(open_.select("doc_id").distinct(), "ids"), MOST_SHIPPED)
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    spelled = texts.join(broadcast_if_small(open_, MOST_SHIPPED), ["doc_id", "line_no"]).select("leaf", "same", "n", F.split(_normal(F.col("line")), " ").alias("tokens"))
+    spelled = scratch.keep(spelled.where(F.size("tokens") == F.col("n")), "spelled")
 
     places = spelled.select("leaf", F.posexplode("tokens").alias("place", "token")).where(F.col("place") >= depth)
     common = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("many"))
     common = common.groupBy("leaf", "place").agg(F.max(F.struct("many", "token")).alias("top"))
     consensus = common.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", F.col("top.token").alias("token")))).alias("template"))
     agreeing = F.size(F.filter(F.zip_with(F.slice("tokens", depth + 1, F.col("n")), F.col("template.token"), lambda x, y: x == y), lambda x: x))
-    alike = spelled.join(consensus, "leaf").where(100 * agreeing >= similar * (F.col("n") - depth)).select("leaf", "same", F.lit(True).alias("alike"))
+    alike = spelled.join(consensus, "leaf").where(100 * agreeing >= similar * (F.col("n") - depth)).select("leaf", "same", F.lit(True).alias("alike")).distinct()
 
     member = distinct.join(alike, ["leaf", "same"], "left").withColumn("template", F.when(F.col("alike"), F.lit(0)).otherwise(F.col("same")))
     whole = member.groupBy("leaf", "template").agg(F.min("first").alias("start"), F.max("last_doc").alias("end_doc")).where("start.doc_id < end_doc")
-    return member.join(whole, ["leaf", "template"]).select("leaf", "same", "template", F.col("start.doc_id").alias("first_doc"), F.col("start.line_no").alias("first_line"))
+    return member.join(whole, ["leaf", "template"]).select("leaf", "same", F.col("start.doc_id").alias("first_doc"), F.col("start.line_no").alias("first_line"))
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, similar: int = SIMILAR_PERCENT, shortest: int = SHORTEST) -> DataFrame:
     """doc_id and dropped, the sorted numbers of its lines that go, for documents that lose any."""
     scratch = Scratch(docs.sparkSession, "lines")
-    recurring = scratch.keep(templates(docs, scratch, depth, similar, shortest), "templates")
-    found = parsed(docs, depth, shortest).select("doc_id", "line_no", "leaf", "same").join(recurring, ["leaf", "same"])
+    lines = scratch.keep(parsed(docs, depth, shortest), "parsed")
+    recurring = scratch.keep(templates(docs, lines, scratch, depth, similar), "templates")
+    found = lines.select("doc_id", "line_no", "leaf", "same").join(recurring, ["leaf", "same"])
     gone = found.where((F.col("doc_id") != F.col("first_doc")) | (F.col("line_no") != F.col("first_line")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
+    return scratch.keep(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped")), "dropped")
 
 
 def dedup(docs: DataFrame, depth: int = DEPTH, similar: int = SIMILAR_PERCENT, shortest: int = SHORTEST) -> DataFrame:
     """The documents without their recurring lines; those that had no other lines go."""
     gone = recurring_lines(docs.select("doc_id", "text"), depth, similar, shortest)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id").join(gone, "doc_id", "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id").join(broadcast_if_small(gone, MOST_SHIPPED, "size(dropped)"), "doc_id", "left")
     all_lines = F.split("row.text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("dropped"))
     text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n"))
