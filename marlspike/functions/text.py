@@ -35,6 +35,11 @@ class CleanConfig:
     empty_session_bytes: int = 50
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def trim(text: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(text, rf"\A[{SPACE}\n]+|[{SPACE}\n]+\z", "")
@@ -70,10 +75,12 @@ def strip_zero_width(text: Column) -> Column:
 
 def dedup_adjacent_lines(text: Column) -> Column:
     """Drops a line of at least five bytes that equals the line before it, white space at the ends aside."""
-    all_lines = lines(text)
-    trimmed = F.transform(all_lines, trim)
-    same = lambda i: (i > 0) & (F.octet_length(F.get(trimmed, i)) >= 5) & (F.get(trimmed, i) == F.get(trimmed, i - 1))
-    return joined(F.filter(all_lines, lambda line, i: ~same(i)), close=True)
+
+    def kept(all_lines: Column, trimmed: Column) -> Column:
+        same = lambda i: (i > 0) & (F.octet_length(F.get(trimmed, i)) >= 5) & (F.get(trimmed, i) == F.get(trimmed, i - 1))
+        return F.filter(all_lines, lambda line, i: ~same(i))
+
+    return bind(bind(lines(text), lambda all_lines: bind(F.transform(all_lines, trim), lambda trimmed: kept(all_lines, trimmed))), lambda parts: joined(parts, close=True))
 
 
 def fix_cjk_spacing(text: Column) -> Column:
@@ -82,11 +89,16 @@ def fix_cjk_spacing(text: Column) -> Column:
 
 def remove_watermarks(text: Column, most_bytes: int = 80, times: int = 3) -> Column:
     """Drops short lines that occur at least three times; a text without any stays as it is."""
-    all_lines = lines(text)
-    trimmed = F.transform(all_lines, trim)
-    short = F.filter(trimmed, lambda x: (x != "") & (F.octet_length(x) < most_bytes))
-    often = F.filter(F.array_distinct(short), lambda x: F.size(F.filter(short, lambda y: y == x)) >= times)
-    return F.when(F.size(often) > 0, joined(F.filter(all_lines, lambda line: ~F.array_contains(often, trim(line))))).otherwise(text)
+
+    def kept(all_lines: Column, often: Column) -> Column:
+        return F.when(F.size(often) > 0, joined(F.filter(all_lines, lambda line: ~F.array_contains(often, trim(line))))).otherwise(text)
+
+    def repeated(all_lines: Column) -> Column:
+        short = F.array_sort(F.filter(F.transform(all_lines, trim), lambda x: (x != "") & (F.octet_length(x) < most_bytes)))
+        # in order, a line that equals the one so many places on occurs often enough
+        return bind(short, lambda s: F.array_distinct(F.filter(s, lambda x, i: F.get(s, i + times - 1) == x)))
+
+    return bind(lines(text), lambda all_lines: bind(repeated(all_lines), lambda often: kept(all_lines, often)))
 
 
 def remove_template_lines(text: Column) -> Column:
@@ -97,7 +109,7 @@ def remove_template_lines(text: Column) -> Column:
 def compress_spaces(text: Column) -> Column:
     """One space between words; the indentation stays."""
     one = lambda line: F.concat(F.regexp_extract(line, rf"\A[{SPACE}]*", 0), F.regexp_replace(trim(line), rf"[{SPACE}]+", " "))
-    return joined(F.transform(lines(text), lambda line: F.when(trim(line) == "", "").otherwise(one(line))))
+    return joined(F.transform(lines(text), lambda line: F.when(line.rlike(rf"\A[{SPACE}]*\z"), "").otherwise(one(line))))
 
 
 def filter_table_rows(text: Column) -> Column:
@@ -154,14 +166,10 @@ def _through(text: Column, steps) -> Column:
     """Steps in order. Each result is bound as a lambda's argument, so that an expression doesn't repeat the ones before it."""
     for wanted, step in steps:
         if wanted:
-            text = F.element_at(F.transform(F.array(text), _once(step)), 1)
+            text = bind(text, step)
     return text
 
 
-def _once(step):
-    return lambda x: step(x)
-
-
 def is_tiny(text: Column, config: CleanConfig = CleanConfig()) -> Column:
     return F.octet_length(trim(text)) < config.tiny_bytes
 
