@@ -58,7 +58,7 @@ def lines(text: Column) -> Column:
 def joined(parts: Column, close: bool = False) -> Column:
     """Lines put together again, with a line feed after the last one if wanted."""
     out = F.array_join(parts, "\n")
-    return F.when(F.size(parts) > 0, F.concat(out, F.lit("\n"))).otherwise("") if close else out
+    return F.when(F.size(parts) > 0, F.concat(out, F.lit("\n"))).when(parts.isNotNull(), "") if close else out
 
 
 def compress_blank_lines(text: Column) -> Column:

@@ -21,7 +21,6 @@ from ..functions import parse
 from ..functions.text import clean_knowledge
 
 TEXT_EXTENSIONS = ("md", "txt", "markdown", "rst", "asciidoc", "adoc", "json", "yaml", "yml", "toml", "csv", "tsv", "xml", "ini", "cfg", "conf", "properties", "env", "sh", "bash", "zsh", "fish", "ps1", "bat", "cmd", "log", "sql", "graphql", "proto")
-SHEET_CELLS_BLANK = ""
 Converter = Callable[[bytes], str]
 
 
@@ -224,8 +223,9 @@ def legacy(data: bytes, modern: Converter) -> str:
     """Files of old offices: those that are ZIP files inside are read as such, of others runs of printable characters stay."""
     if data[:4] == b"PK\x03\x04":
         return modern(data)
-    runs = re.findall(r"[\x20-\x7e\t]{5,}", data.decode("latin-1")) + re.findall(r"[一-鿿　-〿\x20-\x7e]{5,}", data.decode("utf-16-le", "replace"))
-    return "\n".join(r.strip() for r in dict.fromkeys(runs) if re.search(r"[A-Za-z一-鿿]{3}", r))
+    wide = [r for r in re.findall(rb"(?:[\x20-\x7e]\x00|[\x00-\xff][\x30\x4e-\x9f]){5,}", data) if r.count(b"\x00") >= 5]
+    runs = [r.decode("latin-1") for r in re.findall(rb"[\x20-\x7e\t]{5,}", data)] + [r.decode("utf-16-le", "ignore") for r in wide]
+    return "\n".join(r.strip() for r in dict.fromkeys(runs) if re.search(r"[A-Za-z\u4e00-\u9fff]{3}", r))
 
 
 def pdf(data: bytes, extractors: list[Converter], readable: Callable[[str], bool], least: int = 50) -> str:
