@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import sqlite3
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,18 +37,17 @@ def sqlite_files(files: DataFrame) -> DataFrame:
     """SQLite databases (path, content): rows of chunks whose source is memory, else of memory that isn't deleted."""
 
     def rows(data: bytes) -> list[tuple[str, str]]:
-        with tempfile.NamedTemporaryFile(suffix=".db", delete=False) as f:  # a task's own copy, gone when it has been read
-            f.write(data)
+        con = sqlite3.connect(":memory:")
         try:
-            con = sqlite3.connect(f.name)
+            con.deserialize(data)
             tables = {r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
             if "chunks" in tables:
                 return con.execute("SELECT CAST(id AS TEXT), text FROM chunks WHERE source = 'memory'").fetchall()
             return con.execute("SELECT title, content FROM memory WHERE deleted = 0").fetchall() if "memory" in tables else []
-        except sqlite3.DatabaseError:
+        except sqlite3.Error:
             return []
         finally:
-            os.unlink(f.name)
+            con.close()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
