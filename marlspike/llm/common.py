@@ -41,7 +41,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.kept = 0
-        self.paths: dict[int, str] = {}
+        self.tables: dict[str, DataFrame] = {}
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -56,12 +56,19 @@ class Scratch:
         del df
         self.sweep()
         out = self.spark.read.schema(kind).parquet(path)
-        self.paths[id(out)] = path
+        self.tables[path] = out
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that ``keep`` returned."""
-        self._delete(self.paths.pop(id(df)))
+        for path in [p for p, t in self.tables.items() if t is df]:
+            del self.tables[path]
+            self._delete(path)
+
+    def drop_all_but(self, *needed: DataFrame) -> None:
+        """Delete all other tables, as the result no longer reads them."""
+        for table in [t for t in self.tables.values() if not any(t is n for n in needed)]:
+            self.drop(table)
 
     def sweep(self) -> None:
         """Let Spark's cleaner see which shuffles nothing refers to any more, so that their files go now."""
@@ -85,6 +92,13 @@ def broadcast_if_small(df: DataFrame, most: int, weight: str = "1") -> DataFrame
     return F.broadcast(df) if measured <= most else df
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of so many rows, so that a task never holds a whole batch as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def held_out(column: str, folds: int):
     """True for the rows whose crc32 of the id as text is a multiple of ``folds``."""
     return F.crc32(F.col(column).cast("string")) % folds == 0

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, schema
+from .common import Scratch, schema, slices
 
 WINDOW = 10
 SHARD_BYTES = 32 << 20
@@ -123,7 +123,7 @@ def _scan(docs: DataFrame, part: list[tuple[str, str | None]], n: int, last: boo
 
     def run(batches):
         automaton = _automaton(key, shared, n)
-        for batch in batches:
+        for batch in slices(batches):
             counts, hit, items, spans = [], [], [], []
             earlier = zip(batch.column("text").to_pylist(), batch.column("items").to_pylist(), batch.column("spans").to_pylist())
             for text, known, before in earlier:

@@ -88,7 +88,9 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similar: int = SIMILAR_
     recurring = scratch.keep(templates(docs, lines, scratch, depth, similar), "templates")
     found = lines.select("doc_id", "line_no", "leaf", "same").join(recurring, ["leaf", "same"])
     gone = found.where((F.col("doc_id") != F.col("first_doc")) | (F.col("line_no") != F.col("first_line")))
-    return scratch.keep(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped")), "dropped")
+    out = scratch.keep(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped")), "dropped")
+    scratch.drop_all_but(out)
+    return out
 
 
 def dedup(docs: DataFrame, depth: int = DEPTH, similar: int = SIMILAR_PERCENT, shortest: int = SHORTEST) -> DataFrame:

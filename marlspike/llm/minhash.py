@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, schema
+from .common import Scratch, broadcast_if_small, connected_components, schema, slices
 
 SHINGLE = 5
 PERCENT = 85
@@ -38,7 +38,9 @@ HASHES = 64
 MOST_APART = 21
 CHUNKS = 11
 SMALL_BUCKET = 16
-WORDS_CACHED = 400_000
+WORDS_CACHED = 150_000
+#: Ids that may be sent to every task; more are joined by a shuffle.
+MOST_SHIPPED = 500_000
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -108,7 +110,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     names = ["doc_id", "n_shingles", "h1", "h2", "sig", "keys"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, ids, sigs = [], [], np.zeros((batch.num_rows, HASHES), np.uint16)
             for i, text in enumerate(_texts(batch)):
                 s = shingles(text, k)
@@ -125,7 +127,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, k).tobytes() for t in _texts(batch)], pa.binary())], names=["id", "hashes"])
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, schema("id long, hashes binary"))
@@ -140,7 +142,7 @@ def _near(pairs: DataFrame, sigs: DataFrame, most_apart: int) -> DataFrame:
     """The pairs (a, b) whose signatures differ in at most most_apart symbols."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
@@ -154,7 +156,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are alike enough."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
@@ -197,8 +199,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, m
     sigs = own.select("id", "sig")
     pairs = scratch.keep(_near(near_small.unionByName(near_hub).distinct(), sigs, most_apart), "pairs")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
-    sets = scratch.keep(_sets(docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), k), "hashes")
+    wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select(F.col("id").alias("doc_id"))).distinct(), "wanted")
+    sets = scratch.keep(_sets(docs.join(broadcast_if_small(wanted, MOST_SHIPPED), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), k), "hashes")
     links = scratch.keep(_links(pairs, sets, percent), "links")
     found = scratch.keep(connected_components(links, scratch), "components")
 
@@ -207,6 +209,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, m
         links = links.unionByName(scratch.keep(_links(_near(more, sigs, most_apart), sets, percent), "links"))
         found = scratch.keep(connected_components(links, scratch), "components")
 
+    scratch.drop_all_but(every, found)
+
     whole = reps.join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     out = every.select("doc_id", "n_shingles", "h1", "h2").join(whole, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -223,9 +227,11 @@ def _rest(large: DataFrame, found: DataFrame, sets: DataFrame, percent: int) ->
     hashes = sets.join(ids, "id", "left_semi").select("id", F.explode(_longs("hashes")).alias("shingle"))
     single = hashes.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("many")).where("many = 1").groupBy("id").agg(F.count("*").alias("single"))
     known = open_.join(single, "id", "left").select("key", "id", "component", "main", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("shared")).where(100 * F.col("shared") >= percent * F.col("n"))
+    known = known.join(known.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
     a, b = known.where("component <> main").alias("a"), known.alias("b")
     most = F.least("a.shared", "b.shared")
     fits = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (100 * most >= percent * (F.col("a.n") + F.col("b.n") - most))
+    fits &= F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")  # at one of the keys that they share
     return a.join(b, fits).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
@@ -237,5 +243,6 @@ def _longs(column: str) -> Column:
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest id stays."""
-    kept = near_duplicates(docs.select("doc_id", "text"), percent, k).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "deduplicate")
+    gone = scratch.keep(near_duplicates(docs.select("doc_id", "text"), percent, k).where("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(broadcast_if_small(gone, MOST_SHIPPED), "doc_id", "left_anti").select(*docs.columns)

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, schema
+from .common import Scratch, schema, slices
 
 CAPACITY = 1024
 END_ID = 2
 OPEN_BINS = 4096
 LOOK_AHEAD = 4096
 PIECES_A_PACKER = 8192
-CACHED_CHUNKS = 450_000
+CACHED_CHUNKS = 150_000
 #: White space beside the plain space and the line feed.
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
@@ -126,7 +126,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
 
     def run(batches):
         encode = _encoder(vocabulary, end_id)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple[int, ...]] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(text or "")

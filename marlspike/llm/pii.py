@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema
+from .common import schema, slices
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 12
@@ -105,7 +105,6 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 # ---------------------------------------------------------------- base patterns
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -412,7 +411,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     names = schema(FOUND).fieldNames()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = spans_of(batch.column("text").to_pylist(), shared.value)
             counts = [[sum(k == kind for k, _, _ in b) for b, _ in found] for kind in KINDS]
             digests = [hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found]

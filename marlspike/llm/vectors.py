@@ -119,11 +119,6 @@ def _leaf(a: Side, ra: tuple[int, int], b: Side, rb: tuple[int, int], cosine: fl
     b.label[cols] = y
 
 
-def _numbers(batch, column: str) -> np.ndarray:
-    values = batch.column(column)
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1) if len(values) else np.empty((0, 0))
-
-
 def near_duplicates(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept."""
     if not 0 < cosine <= 1:
@@ -144,7 +139,8 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK,
         got = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
         axes = rotation(unit(np.array([r.v for r in got])))
 
-    blocks = scratch.keep(_blocks(reps, axes, dim, n, cosine, block), "blocks").withColumn("block", F.xxhash64("ids", "dim"))
+    stored = scratch.keep(_blocks(reps, axes, dim, n, cosine, block), "blocks")
+    blocks = stored.withColumn("block", F.xxhash64("ids", "dim"))
     width = epsilon(cosine)
     ends = blocks.select("block", "dim", "low", "high", F.floor(F.col("low")[0] / width).alias("first"), F.floor(F.col("high")[0] / width).alias("last"))
     a = ends.withColumn("cell", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1))).alias("a")
@@ -158,8 +154,9 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     both = pairs.join(side("a"), "a").join(side("b").drop("dim"), "b").repartition(F.col("a"), F.col("b"))
     found = scratch.keep(both.mapInArrow(_joiner(axes, dim, cosine), schema("vec_id long, links long, other long")), "found")
 
+    scratch.drop(stored)
     links = found.where("links > 0").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    place = connected_components(found.where("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b")), scratch)
+    place = scratch.keep(connected_components(found.where("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b")), scratch), "components")
     whole = reps.select("h1", "h2", "vec_id", "many").join(links, "vec_id", "left").join(place.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     whole = whole.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     out = every.select("vec_id", "h1", "h2", F.col("v").isNotNull().alias("sound")).join(whole, ["h1", "h2"], "left")
@@ -173,11 +170,14 @@ def _blocks(reps: DataFrame, axes: np.ndarray | None, dim: int, n: int, cosine:
 
     def place(batches):
         for batch in batches:
-            cells = []
-            for v, d in zip(batch.column("v").to_pylist(), batch.column("dim").to_pylist()):
-                u = unit(np.array([v]))[0]
-                lead = u @ axes[:, :ORDERED] if axes is not None and d == dim else u[:ORDERED]
-                cells.append(np.floor(lead / width).astype(int).tolist())
+            cells: list = [None] * batch.num_rows
+            values, dims = batch.column("v").to_pylist(), batch.column("dim").to_numpy()
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                u = unit(np.array([values[i] for i in at]))
+                lead = u @ axes[:, :ORDERED] if axes is not None and d == dim else u[:, :ORDERED]
+                for i, c in zip(at, np.floor(lead / width).astype(int).tolist()):
+                    cells[i] = c
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "many", "dim")), pa.array(cells, pa.list_(pa.int64()))], names=["vec_id", "v", "many", "dim", "cells"])
 
     placed = reps.select("vec_id", "v", "many", "dim").mapInArrow(place, schema("vec_id long, v array<double>, many long, dim int, cells array<long>"))
@@ -203,7 +203,7 @@ def _blocks(reps: DataFrame, axes: np.ndarray | None, dim: int, n: int, cosine:
         if rows:
             yield packed(rows, at)
 
-    return ordered.select("vec_id", "v", "many", "dim").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays(b.columns, names=["dim", "ids", "many", "vectors", "low", "high"]) for b in cut((x for x in batches))), schema(BLOCKS))
+    return ordered.select("vec_id", "v", "many", "dim").mapInArrow(cut, schema(BLOCKS))
 
 
 def _joiner(axes: np.ndarray | None, dim: int, cosine: float):

@@ -1,7 +1,6 @@
 """The ten operators against brute force, exact round trips and held-out labels, and their edge cases."""
 
 import hashlib
-import json
 import math
 import random
 import re
@@ -189,7 +188,7 @@ def test_base_patterns_are_the_plain_ones():
     for _ in range(20_000):
         text = "".join(rng.choice("0123456789..@@--++ ()ab%Z\n") for _ in range(rng.randint(0, 40)))
         assert pii.base_spans(text) == brute_pii(text)
-    assert pii.base_spans("a" * 100_000 + "@" + "1." * 100_000) == [("email", 0, 300_000)] or True
+    assert pii.emails("a" * 100_000 + "@" + "1." * 100_000) == [(0, 300_000)]
 
 
 def test_field_learns_its_table_and_adds_other_forms():
@@ -259,6 +258,15 @@ def test_restoring_obfuscated_words():
     assert "idiot" in toxicity.tokens("you i d i o t you") and "stupid" in toxicity.tokens("s.t.u.p.i.d!")
 
 
+def test_separable_labels_do_not_break_the_fit():
+    model = toxicity.Model(toxicity.CharacterModel({}), {}, 1, 1)
+    y = (np.arange(20_000) % 10 == 0).astype(float)
+    x = np.column_stack([np.ones(20_000), 9 * y, 3 * y, 2 * y])
+    model.fit(x, y)
+    p = 1 / (1 + np.exp(-x @ model.coefficients))
+    assert model.fitted and p[y == 1].min() > 0.95 and p[y == 0].max() < 0.05
+
+
 def test_obfuscated_documents_are_caught(spark):
     rng = random.Random(1)
     plain = "the and of with from house river garden winter summer people morning stone letter".split()
@@ -437,7 +445,3 @@ def test_score_beats_single_words_on_held_out_texts(spark):
 
 def test_scoring_nothing(spark):
     assert brown.score(docs_of(spark, ["a"]).limit(0)).collect() == []
-
-
-def test_labelled_table_is_json_free_text():
-    assert all("[" not in pii.unmarked(line)[0] or json.dumps(line) for line in pii.LABELLED.splitlines())
