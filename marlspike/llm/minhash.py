@@ -15,7 +15,8 @@ Rows of equal sets count as one (their smallest id) from the start. Then, withou
    that shares most keys with others. Links are confirmed on full sets. Most groups are whole after this.
 2. In larger buckets that still hold several components, members outside the bucket's largest component are compared
    with all others there, unless counts show that no link is possible: shingles that occur in one set only can't be
-   shared, which bounds the similarity from above. So no link is lost and the rest is small.
+   shared, which bounds the similarity from above. What is left is compared on full sets at once, so no link is lost.
+   In a bucket of many sets that are a little less alike than a link, its number still grows with their square.
 
 Links are exact: ``100 * intersection >= percent * union`` on 64-bit shingle hashes. Texts with fewer than five words
 have the whole sequence as their one shingle; null, empty and blank texts have none and are linked with nothing.
@@ -206,7 +207,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, m
 
     more = scratch.keep(_rest(large, found, sets, percent), "rest")
     if not more.isEmpty():
-        links = links.unionByName(scratch.keep(_links(_near(more, sigs, most_apart), sets, percent), "links"))
+        links = links.unionByName(scratch.keep(_links(more, sets, percent), "links"))
         found = scratch.keep(connected_components(links, scratch), "components")
 
     scratch.drop_all_but(every, found)
