@@ -2,11 +2,11 @@
 
 Each text becomes the set of its distinct five-word shingles and, from that, a signature of ``HASHES`` b-bit symbols:
 the low 16 bits of a mixed minimum per hash function. Two sets of similarity J differ in a binomial number of
-symbols of mean ``HASHES * (1 - J)``. ``MOST_APART`` is the signature distance within which every pair is found:
-for J = 0.85 a pair lies beyond it with a probability of less than 1 in 10,000, for more alike pairs less still.
+symbols of mean ``HASHES * (1 - J)``. :func:`distance` is the signature distance within which every pair is found:
+a pair at the threshold lies beyond it with a probability of less than ``MISSED``, more alike pairs with less still.
 
-Pigeonhole: the symbols are split into ``CHUNKS`` chunks with ``2 * CHUNKS > MOST_APART``, so that any pair within
-the distance has a chunk with at most one error. All such errors are enumerated: a key per place of a chunk, made of
+Pigeonhole: the symbols are split into so many chunks that twice their number exceeds the distance, so that any pair
+within it has a chunk with at most one error. All such errors are enumerated: a key per place of a chunk, made of
 the chunk's other symbols. Pairs that share no key are never looked at.
 
 Rows of equal sets count as one (their smallest id) from the start. Then, without emitting all pairs of a group:
@@ -25,6 +25,8 @@ Repeated rows are copies. Empty tables give empty tables. Other columns don't ma
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,20 +36,40 @@ from pyspark.sql import functions as F
 from .common import Scratch, broadcast_if_small, connected_components, schema, slices
 
 SHINGLE = 5
+#: Of op2_minhash, and of near_duplicates without another.
 PERCENT = 85
+#: Of deduplicate, as in the pipeline.
+STAGE_PERCENT = 80
 HASHES = 64
-MOST_APART = 21
-CHUNKS = 11
+#: Probability at most that a pair at the threshold is farther apart than the distance.
+MISSED = 1e-4
 SMALL_BUCKET = 16
 WORDS_CACHED = 150_000
 #: Ids that may be sent to every task; more are joined by a shuffle.
 MOST_SHIPPED = 500_000
 
+
+def distance(percent: int, missed: float = MISSED) -> int:
+    """The least number of differing symbols that a pair of similarity percent / 100 exceeds with a probability of at most missed."""
+    apart, beyond = 0, 1.0
+    for apart in range(HASHES):
+        beyond -= math.comb(HASHES, apart) * (1 - percent / 100) ** apart * (percent / 100) ** (HASHES - apart)
+        if beyond <= missed:
+            break
+    return apart
+
+
+def chunks(most_apart: int) -> int:
+    """So many chunks that two errors in each are more than most_apart."""
+    return most_apart // 2 + 1
+
+
+MOST_APART = distance(PERCENT)
+CHUNKS = chunks(MOST_APART)
+
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
-_BOUNDS = np.linspace(0, HASHES, CHUNKS + 1).astype(int)
-_CHUNK_OF = np.repeat(np.arange(CHUNKS), np.diff(_BOUNDS))
 _KEY_MUL = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEY_SALT = _rng.integers(0, 2**64, HASHES, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -94,18 +116,19 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (low ^ (low >> np.uint32(16))).astype(np.uint16)
 
 
-def keys(signatures: np.ndarray) -> np.ndarray:
+def keys(signatures: np.ndarray, n_chunks: int = CHUNKS) -> np.ndarray:
     """For each signature a key per symbol: its chunk without that symbol."""
+    bounds = np.linspace(0, HASHES, n_chunks + 1).astype(int)
     parts = signatures.astype(np.uint64) * _KEY_MUL
-    whole = np.add.reduceat(parts, _BOUNDS[:-1], axis=1)
-    return _mix(whole[:, _CHUNK_OF] - parts + _KEY_SALT).view(np.int64)
+    whole = np.add.reduceat(parts, bounds[:-1], axis=1)
+    return _mix(whole[:, np.repeat(np.arange(n_chunks), np.diff(bounds))] - parts + _KEY_SALT).view(np.int64)
 
 
 def _texts(batch) -> list[bytes]:
     return [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, k: int = SHINGLE, n_chunks: int = CHUNKS) -> DataFrame:
     """doc_id, n_shingles, h1 and h2 (128 bits that stand for the set), sig, keys."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
     names = ["doc_id", "n_shingles", "h1", "h2", "sig", "keys"]
@@ -119,7 +142,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 ids.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
                 if len(s):
                     sigs[i] = signature(s)
-            found = keys(sigs)
+            found = keys(sigs, n_chunks)
             cols = [batch.column(0), n, [h[0] for h in ids], [h[1] for h in ids], [s.tobytes() for s in sigs], [f if c else [] for f, c in zip(found, n)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(cols, kinds)], names=names)
 
@@ -174,15 +197,16 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, schema("a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, most_apart: int = MOST_APART, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, most_apart: int | None = None, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
 
-    most_apart may be at most 2 * CHUNKS - 1.
+    most_apart follows from percent where it isn't given; it must be less than HASHES.
     """
-    if most_apart >= 2 * CHUNKS:
-        raise ValueError(f"most_apart must be less than {2 * CHUNKS}")
+    most_apart = distance(percent) if most_apart is None else most_apart
+    if most_apart >= HASHES:
+        raise ValueError(f"most_apart must be less than {HASHES}")
     scratch = Scratch(docs.sparkSession, "minhash")
-    every = scratch.keep(signatures(docs, k), "signatures")
+    every = scratch.keep(signatures(docs, k, chunks(most_apart)), "signatures")
     reps = every.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
     own = scratch.keep(
         every.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "keys"), "sets"
@@ -242,7 +266,7 @@ def _longs(column: str) -> Column:
     return F.transform(starts, lambda i: F.hex(F.substring(F.col(column), i * 8 + 1, F.lit(8))))
 
 
-def deduplicate(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = STAGE_PERCENT, k: int = SHINGLE) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest id stays."""
     scratch = Scratch(docs.sparkSession, "deduplicate")
     gone = scratch.keep(near_duplicates(docs.select("doc_id", "text"), percent, k).where("NOT kept").select("doc_id").distinct(), "gone")

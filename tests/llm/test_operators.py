@@ -143,6 +143,35 @@ def test_deduplicate_keeps_columns_and_one_of_each(spark):
     assert minhash.deduplicate(df.limit(0)).collect() == []
 
 
+def test_distance_follows_from_the_threshold():
+    assert (minhash.distance(85), minhash.chunks(21)) == (21, 11)
+    rng = np.random.default_rng(2)
+    for percent in (50, 80, 90):
+        apart = minhash.distance(percent)
+        tail = lambda m: sum(math.comb(64, i) * (1 - percent / 100) ** i * (percent / 100) ** (64 - i) for i in range(m + 1, 65))
+        assert tail(apart) <= 1e-4 < tail(apart - 1)
+        for _ in range(100):
+            a = rng.integers(0, 2**16, minhash.HASHES).astype(np.uint16)
+            b = a.copy()
+            b[rng.choice(minhash.HASHES, apart, replace=False)] ^= 1
+            n = minhash.chunks(apart)
+            assert set(minhash.keys(a[None], n)[0]) & set(minhash.keys(b[None], n)[0])
+
+
+def test_the_stage_drops_copies_from_80_percent_on(spark):
+    rng = random.Random(8)
+    texts, gone = [], set()
+    for k in range(120):  # pairs of equally long texts with a changed end: n - c of n + c shingles are common
+        n, c = rng.choice([(90, 10), (99, 10), (120, 12), (180, 20), (110, 13), (80, 10)])
+        words = [f"p{k}w{i}" for i in range(n + 4)]
+        texts += [" ".join(words), " ".join(words[: n + 4 - c] + [f"q{k}x{i}" for i in range(c)])]
+        if 100 * (n - c) >= 80 * (n + c):
+            gone.add(2 * k + 1)
+    assert 60 < len(gone) < 120
+    assert {r.doc_id for r in minhash.deduplicate(docs_of(spark, texts)).collect()} == set(range(240)) - gone
+    assert minhash.deduplicate(docs_of(spark, texts), percent=85).count() == 240
+
+
 # ---------------------------------------------------------------- 3 lines
 
 
