@@ -197,6 +197,18 @@ def test_lines_edges(spark):
     assert [tuple(r) for r in lines.dedup(clash).collect()] == [(1, "a b c d e", 1, 2)]
 
 
+def test_a_leaf_has_several_templates(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    one = lambda: f"in the same order {word()} was sent by post to our house".split()
+    two = lambda: f"in the same week {word()} came back from school with a cold".split()
+    natural = [["in", "the", "same"] + [rng.choice(["order", "of", "was", "to", word()])] + [rng.choice([word(), word(), "of", "to"]) for _ in range(len(one()) - 4)] for _ in range(60)]
+    assert len(one()) == len(two())
+    texts = [" ".join(f()) + "\n" + " ".join(n) for f, n in zip([one, two] * 4 + [lambda: ["x"]] * 52, natural)]
+    got = {r.doc_id: r.dropped for r in lines.recurring_lines(docs_of(spark, texts)).collect()}
+    assert got == {i: [0] for i in range(2, 8)}  # the first line of each template stays, and all natural lines
+
+
 # ---------------------------------------------------------------- 4 personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
