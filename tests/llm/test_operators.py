@@ -299,6 +299,21 @@ def test_restoring_obfuscated_words():
     assert "idiot" in toxicity.tokens("you i d i o t you") and "stupid" in toxicity.tokens("s.t.u.p.i.d!")
 
 
+def test_restoring_spaced_joined_and_long_words():
+    count = Counter()
+    for w in "idiot moron loser stupid trash the and of you are such a a a complete person".split() * 5:
+        full = f"\x02\x02{w}\x03"
+        count.update(map("".join, zip(full, full[1:], full[2:])))
+    read = toxicity.Reader(toxicity.CharacterModel(count))
+    typed = {
+        "you are a s t u p i d person": "stupid", "y o u i d i o t": "idiot", "1 d 1 o t": "idiot", "$ t u p 1 d": "stupid", "you i d ! o t !": "idiot",
+        "id" + "i" * 60 + "ot": "idiot", "such,a/complete.idiot,you;are-such/a/complete,moron/you.person": "moron", "m o r o n": "moron",
+        "the/m0r0n/of": "moron", "the-" * 5_000 + "l0ser": "loser",
+    }
+    assert {t for t, w in typed.items() if not any(w in words for words in read.words(t))} == set()
+    assert all("idiot" not in words for t in ("i d o 1 2 3", "a b c d e f") for words in read.words(t))
+
+
 def test_separable_labels_do_not_break_the_fit():
     model = toxicity.Model(toxicity.CharacterModel({}), {}, 1, 1)
     y = (np.arange(20_000) % 10 == 0).astype(float)
