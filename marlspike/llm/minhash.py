@@ -13,14 +13,19 @@ Rows of equal sets count as one (their smallest id) from the start. Then, withou
 
 1. Buckets of up to ``SMALL_BUCKET`` sets give their pairs; a larger one links each member to its hub, the member
    that shares most keys with others. Links are confirmed on full sets. Most groups are whole after this.
-2. In larger buckets that still hold several components, members outside the bucket's largest component are compared
-   with all others there, unless counts show that no link is possible: shingles that occur in one set only can't be
-   shared, which bounds the similarity from above. What is left is compared on full sets at once, so no link is lost.
-   In a bucket of many sets that are a little less alike than a link, its number still grows with their square.
+2. What hubs leave apart: only documents of larger buckets that still hold several components are looked at, and only
+   pairs of different components. Shingles that more than ``COMMON`` of these documents hold are common, the others
+   rare. A pair shares at most as many common shingles as the poorer of both holds, so either that number alone allows a
+   link, or the pair shares a rare shingle; by the prefix rule, then, one among the first ``rare - needed + 1`` of each
+   in the order of hashes. Pairs of the first kind come from the buckets under that condition, pairs of the second from
+   the at most ``COMMON`` holders of a rare shingle. Both are compared on full sets, so no link is lost, and a bucket of
+   many sets that are a little less alike than a link costs rows in proportion to its members, not to their square.
 
 Links are exact: ``100 * intersection >= percent * union`` on 64-bit shingle hashes. Texts with fewer than five words
 have the whole sequence as their one shingle; null, empty and blank texts have none and are linked with nothing.
-Repeated rows are copies. Empty tables give empty tables. Other columns don't matter, whatever their names.
+Repeated rows are copies; a doc_id that occurs with several texts is linked wherever one of them is. Texts are read
+whole, however long; their sets travel as 8 bytes a shingle. Empty tables give empty tables. Other columns don't
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,6 +50,8 @@ HASHES = 64
 MISSED = 1e-4
 SMALL_BUCKET = 16
 WORDS_CACHED = 150_000
+#: A shingle with more holders among what hubs leave apart is common. It decides the work, never the result.
+COMMON = 64
 #: Ids that may be sent to every task; more are joined by a shuffle.
 MOST_SHIPPED = 500_000
 
@@ -225,11 +232,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, m
     pairs = scratch.keep(_near(near_small.unionByName(near_hub).distinct(), sigs, most_apart), "pairs")
 
     wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select(F.col("id").alias("doc_id"))).distinct(), "wanted")
-    sets = scratch.keep(_sets(docs.join(broadcast_if_small(wanted, MOST_SHIPPED), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), k), "hashes")
+    sets = scratch.keep(_sets(docs.join(broadcast_if_small(wanted, MOST_SHIPPED), "doc_id", "left_semi").select("doc_id", "text"), k).distinct(), "hashes")
     links = scratch.keep(_links(pairs, sets, percent), "links")
     found = scratch.keep(connected_components(links, scratch), "components")
 
-    more = scratch.keep(_rest(large, found, sets, percent), "rest")
+    more = scratch.keep(_rest(own, large.select("key").distinct(), found, sets, percent, scratch), "rest")
     if not more.isEmpty():
         links = links.unionByName(scratch.keep(_links(more, sets, percent), "links"))
         found = scratch.keep(connected_components(links, scratch), "components")
@@ -242,22 +249,35 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, m
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def _rest(large: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of large buckets, of different components, that hubs have not shown to be together and that counts don't rule out."""
-    placed = large.select("key", "id", "n").join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+def _rest(own: DataFrame, large_keys: DataFrame, found: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, common: int = COMMON) -> DataFrame:
+    """Pairs (a, b) of different components in large buckets that their shared common or rare shingles allow to be links."""
+    placed = own.join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
+    placed = placed.join(large_keys, "key")
     by_component = placed.groupBy("key", "component").agg(F.count("*").alias("many"))
     main = by_component.groupBy("key").agg(F.max(F.struct("many", F.col("component").alias("main"))).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.main").alias("main"))
-    open_ = placed.join(main, "key")
-    ids = open_.select("id").distinct()
-    hashes = sets.join(ids, "id", "left_semi").select("id", F.explode(_longs("hashes")).alias("shingle"))
-    single = hashes.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("many")).where("many = 1").groupBy("id").agg(F.count("*").alias("single"))
-    known = open_.join(single, "id", "left").select("key", "id", "component", "main", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("shared")).where(100 * F.col("shared") >= percent * F.col("n"))
-    known = known.join(known.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
-    a, b = known.where("component <> main").alias("a"), known.alias("b")
-    most = F.least("a.shared", "b.shared")
+    open_ = scratch.keep(placed.join(main, "key"), "open")
+    docs = scratch.keep(open_.select("id", "n", "component").distinct(), "apart")
+
+    held = docs.join(sets, "id").select("id", "n", "component", F.explode(_longs("hashes")).alias("shingle"))
+    held = scratch.keep(held, "held")
+    frequent = scratch.keep(held.groupBy("shingle").agg(F.count("*").alias("many")).where(F.col("many") > common).select("shingle"), "common")
+    rare = held.join(broadcast_if_small(frequent, MOST_SHIPPED), "shingle", "left_anti")
+    rare = rare.groupBy("id", "n", "component").agg(F.sort_array(F.collect_list("shingle")).alias("rare"))
+    rare = scratch.keep(rare.withColumn("needed", F.ceil(percent * F.col("n") / 100) - (F.col("n") - F.size("rare"))), "rare")
+
+    prefix = F.slice("rare", F.lit(1), F.greatest(F.size("rare") - F.greatest("needed", F.lit(1)) + 1, F.lit(0)).cast("int"))
+    holders = rare.select(F.explode(prefix).alias("shingle"), F.struct("id", "n", "component").alias("doc")).groupBy("shingle").agg(F.collect_list("doc").alias("docs")).where(F.size("docs") > 1)
+    each = holders.select("docs", F.explode("docs").alias("x")).select("x", F.explode("docs").alias("y"))
+    by_rare = each.where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _may_link(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    counted = docs.join(rare.select("id", "n", F.size("rare").alias("rare")), ["id", "n"], "left").select("id", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common"))
+    counted = counted.where(100 * F.col("common") >= percent * F.col("n"))
+    rich = scratch.keep(open_.join(counted, ["id", "n"]), "rich")
+    a, b = rich.where("component <> main").alias("a"), rich.alias("b")
+    most = F.least("a.common", "b.common")
     fits = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (100 * most >= percent * (F.col("a.n") + F.col("b.n") - most))
-    fits &= F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")  # at one of the keys that they share
-    return a.join(b, fits).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    by_common = a.join(b, fits).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+    return by_rare.unionByName(by_common).distinct()
 
 
 def _longs(column: str) -> Column:

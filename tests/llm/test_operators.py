@@ -127,6 +127,43 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_near(texts)
 
 
+def several_families():
+    """One large group: families around a common text, near misses between them, and links that only rare changes make."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for family in range(4):
+        own = list(base)
+        for at in rng.sample(range(120), 6):
+            own[at] = f"f{family}x{at}"
+        for k in range(12):
+            words = list(own)
+            for at in rng.sample(range(120), rng.choice([0, 1, 2, 3])):
+                words[at] = f"r{rng.randrange(3)}"
+            texts.append(" ".join(words[: 120 - rng.choice([0, 0, 4, 12])]))
+    for k in range(10):
+        words = [w if rng.random() > 0.06 else f"n{k}{i}" for i, w in enumerate(base)]
+        texts += [" ".join(words), " ".join(words[:50] + ["same"] + words[51:])]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("common", [2, 64])
+def test_components_within_one_large_bucket(spark, monkeypatch, common):
+    texts = several_families()
+    monkeypatch.setattr(minhash, "_rest", lambda *a, rest=minhash._rest: rest(*a, common=common))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_near(texts)
+    assert len({c for _, c, _ in want.values()}) > 5
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, small_bucket=3).collect()} == want
+
+
+def test_near_duplicates_of_long_and_repeated_texts(spark):
+    long_ = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long_), (1, long_), (2, long_ + " end"), (3, "a b c d e f"), (3, long_ + " other"), (4, "a b c d e f"), (None, "x y z")]
+    got = sorted({(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame([r for r in rows if r[0]], "doc_id long, text string")).collect()})
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 1)]
+
+
 def test_every_pair_within_the_distance_shares_a_key():
     rng = np.random.default_rng(1)
     for _ in range(200):
