@@ -2,22 +2,30 @@
 
 The base finds e-mail addresses, IP addresses, card numbers and phone numbers by fixed patterns, leftmost and without
 overlaps per kind, each in time linear in the text. The field adds spans of the same kinds: national phone numbers,
-addresses with a spelled-out at and dot, and the like. It labels tokens (letters, digits, or one sign) with O, B- or I-
-of a kind from the shapes of the token and its neighbours and from nearby key words. It is trained by the gradient of
-the exact log likelihood from ``LABELLED``, a small table in this module, and decoded by Viterbi in numpy over batches
-of token windows. Tokens further than ``REACH`` tokens from any digit, @ or spelled-out at are O in every path, so only
-windows around those are decoded. A span that the field finds counts if its digits or parts are plausible for its kind
-and if it overlaps no base span; base spans always stay.
-
-Null and empty texts have no spans. Repeated rows get equal results. Texts are read whole. Empty tables give empty
+addresses with a spelled-out at and dot, numbers that the base drops for the digits behind them, and the like. It labels
+tokens (letters, digits, or one sign) with O, B- or I- of a kind from the shapes of the token and its neighbours and
+from nearby key words, and is trained by the gradient of the exact log likelihood from a small table: ``LABELLED``, lines
+written by hand, and ``FORMS``, whose digits and names :func:`examples` fills in at random.
+
+The field's labellings are bounded by a rule, in training as in decoding: all tokens of a line are O but those within
+``REACH`` tokens of an anchor, which is a token of digits, an @, or a spelled-out at that a spelled-out dot, or a dot
+between letters, follows within ``REACH`` tokens. Every form of personal data here has an anchor. Decoding by Viterbi, in
+numpy over many stretches at once, is exact under this rule: between two stretches the state is O, so each is decoded
+on its own, with its real neighbours in its features and a transition from and to O.
+A span that the field finds counts if its digits or parts are plausible for its kind and if it overlaps no base span;
+base spans always stay.
+
+Null and empty texts have no spans. Repeated rows get equal results. Texts are read whole, however long. Empty tables give empty
 tables. Extra columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import schema, slices
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 12
+REACH = 20
 WINDOWS_A_BATCH = 512
-STEPS = 160
+STEPS = 90
+#: Lines that are made of each of FORMS.
+MADE = 8
 
 #: The labelled table: texts in which [kind|...] marks a span.
 LABELLED = """
@@ -95,11 +105,110 @@ http://example.com/page/2020/05/17/article-12345.html
 user @home and @work said 5 @ 3.50 each
 """
 
-KEYWORDS = frozenset("phone tel telefon telephone téléphone teléfono mobile call fax appelez llame number nummer mail email e at arobase arroba dot point punto punkt card karte kartennummer ip server host isbn version order id um le el am on a".split())
+#: Forms of which examples() makes lines: # is a digit, 0-9 stand for themselves, ~ a name, % a domain's word, ^ its end, * some words.
+FORMS = """
+* call * [phone|(###) ###-####] *
+* [phone|(###) ###-####] *
+* phone [phone|###-###-####] *
+* tel. [phone|### ### ####] * call us
+* number is [phone|###-####] *
+* Tel. [phone|0## ### ### ##] *
+* Telefon: [phone|0###/####-####] *
+* Fax [phone|0#### / ######] *
+* Telefon [phone|0###-#######] *
+* appelez le [phone|0# ## ## ## ##] *
+* téléphone [phone|0#.##.##.##.##] *
+* tél. [phone|##-##-##-##-##] *
+* phone [phone|##-##-####-##] *
+* mobile [phone|0##-###-####] *
+* llame al [phone|### ## ## ##] *
+* teléfono [phone|###-###-###] *
+* call [phone|1-800-###-####] *
+* mobile [phone|0#### ######] *
+* phone: [phone|##########] *
+* [phone|+# (###) ###-####] ### *
+* [phone|+# (###) ###-####] #### *
+* [phone|+# (###) ###-####] ##### #### *
+* [phone|+# (###) ###-####] #### ###### *
+* [phone|+## ### #######] #### *
+* [phone|+1 ### ### ####] ## ### *
+* [email|~ at % dot ^] *
+* [email|~ dot ~ at % dot ^] *
+* [email|~ (at) % (dot) ^] *
+* [email|~ [at] % [dot] ^], *
+* [email|~.~ (at) %.^] *
+* [email|~(at)%.^] *
+* [email|~[at]%.^] *
+* [email|~_~ AT % DOT ^] *
+* [email|~ at % dot % dot ^] *
+* [email|~ at %.^] *
+* [email|~ at %-% dot ^] *
+* [email|~ arobase % point ^] *
+* [email|~ point ~ arobase % point ^] *
+* [email|~ arroba % punto ^] *
+* [email|~ arroba %.^] *
+* [email|~ at % punkt ^] *
+* [email|~ punkt ~ at % punkt ^] *
+* [email|~## at % dot ^] *
+* [email|~### at % dot % dot ^] *
+* [email|~# at %.^] *
+* [email|~-~ at % dot ^] *
+* [email|~-~ at % dot % dot ^] *
+* [email|~-~ [at] % [dot] ^] *
+* [email|~_~ at %-% dot ^] *
+* [email|~ arobase %-%.^] *
+* [email|~-~ (at) %-%.^] *
+* [ip|10 . # . # . ##] *
+* [ip|1##[.]1##[.]#[.]##] *
+* server [ip|1##(.)##(.)1##(.)#] *
+* host [ip|## dot 1## dot # dot ##] *
+* card [card|4###.####.####.####] *
+* [card|5###/####/####/####] *
+* card no [card|4###_####_####_####] *
+* Karte [card|4###:####:####:####] *
+* ssn ###-##-#### *
+* ###-##-#### *
+* order ### ### #### *
+* order number ########## *
+* invoice ###-###-#### *
+* ticket ###-#### *
+* ref ### ## ## ## *
+* in 19## and 20## *
+* on 20##-0#-1# at 1#:## *
+* 1#/0#/20## *
+* pages ##-## *
+* #,###.## *
+* version #.#.# *
+* section #.## *
+* ISBN 978-#-##-######-# *
+* ################ *
+* token = "a##b####cc##d##ef####" *
+* key AKIA##Q#TSJYWX#JQHRE *
+* id ############# *
+* at * *
+* at the * dot the *
+* at noon at the * dot * point *
+* at home and at work. dot and *
+* look at it. * dot *
+* at home. * 
+* at ## and at ### *
+* ## of ## * # *
+* licensed under version #.# *
+* http://%.^/%/20##/##/% *
+"""
+
+#: Words around the spans of made lines, in the four languages.
+PROSE = "the of and to in that it was for on with as his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know der die und das ist nicht ein zu mit von auf für im dem sich des auch an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über le la les et des en un une du que est pour qui dans ce il au ne sur se pas plus par je avec tout el los las y se lo con su para como más pero sus este porque cuando muy sin sobre también me hasta hay donde".split()
+NAMES = "john mary anna peter max lena luis carmen marie paul jane bob smith doe muster keller garcia lopez durand martin info sales office support team".split()
+ENDS = "com org net de fr es edu io info eu uk ch".split()
+
+AT = frozenset("at arobase arroba".split())
+DOT = frozenset("dot point punto punkt".split())
+KEYWORDS = AT | DOT | frozenset(ENDS) | frozenset("phone tel tél telefon telephone téléphone teléfono mobile call fax appelez llame number nummer mail email e card karte kartennummer ip server host isbn version order invoice ticket ref case ssn section pages token key licensed id um le el am on a".split())
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 _MARKED = re.compile(r"\[(email|ip|card|phone)\|")
-_TRIGGER = re.compile(r"[0-9@]|[\[({] ?at ?[\])}]|\b(?:at|arobase|arroba)\b(?=.{1,40}\b(?:dot|point|punto)\b)", re.IGNORECASE)
+_HINT = re.compile(r"[0-9@]|(?<![^\W\d_])(?:at|arobase|arroba)(?![^\W\d_])", re.IGNORECASE)
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 # ---------------------------------------------------------------- base patterns
@@ -193,19 +302,32 @@ def features(tokens: list[tuple[str, int, int]]) -> list[list[str]]:
     shapes = ["^", "^", *(_shape(t) for t, _, _ in tokens), "$", "$"]
     lower = ["", "", *(t.lower() if t.lower() in KEYWORDS else "" for t, _, _ in tokens), "", ""]
     glue = [False, *(a[2] == b[1] for a, b in zip(tokens, tokens[1:])), False]
+    chunks = _chunks(tokens, glue)
     out, recent = [], ["-"] * 4
-    for i in range(len(tokens)):
+    for i, (token, _, _) in enumerate(tokens):
         p2, p, s, n, n2 = shapes[i : i + 5]
         word = lower[i + 2]
         near = next((w for w in reversed(recent) if w != "-"), "-")
         out.append([
             "1", f"s{s}", f"w{word}", f"p{p}", f"n{n}", f"ps{p} {s}", f"sn{s} {n}", f"psn{p} {s} {n}", f"p2{p2} {p} {s}", f"n2{s} {n} {n2}",
-            f"g{glue[i]}{glue[i + 1]} {s}", f"k{near} {s[0]}", f"pw{lower[i + 1]} {s}", f"nw{lower[i + 3]} {s}",
+            f"g{glue[i]}{glue[i + 1]} {s}", f"k{near} {s[0]}", f"pw{lower[i + 1]} {s}", f"nw{lower[i + 3]} {s}", f"z{token[0] == '0'} {s} {near}", f"c{chunks[i][0]}", f"kc{near} {chunks[i][0]}", f"pc{chunks[i][1]} {chunks[i][0]}",
         ])
         recent = [*recent[1:], word or "-"]
     return out
 
 
+def _chunks(tokens: list[tuple[str, int, int]], glue: list[bool]) -> list[tuple[str, str]]:
+    """For each token the pattern of its chunk between white space, and of the chunk before: lengths of digits, signs, x for letters; their beginnings."""
+    out: list[tuple[str, str]] = []
+    at, last = 0, ""
+    for i in range(1, len(tokens) + 1):
+        if not glue[i]:
+            pattern = "".join(str(min(len(t), 9)) if t.isdigit() else "x" if t[0].isalpha() else t for t, _, _ in tokens[at : min(i, at + 12)])
+            out += [(pattern, last)] * (i - at)
+            at, last = i, pattern
+    return out
+
+
 def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[tuple[str, int, int]]:
     return [(m[0], *m.span()) for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
 
@@ -234,32 +356,42 @@ def _labels(tokens: list[tuple[str, int, int]], spans: list[tuple[str, int, int]
     return out
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 #: Transitions that no labelling has: I- of a kind only follows B- or I- of that kind.
 _FORBIDDEN = np.array([[-1e4 if b and b % 2 == 0 and a not in (b - 1, b) else 0.0 for b in range(len(LABELS))] for a in range(len(LABELS))])
 _NO_START = np.array([-1e4 if b and b % 2 == 0 else 0.0 for b in range(len(LABELS))])
 
 
+class Stretch(NamedTuple):
+    """Tokens of a line that are decoded together, with up to four tokens before and two behind that are O."""
+
+    tokens: list[tuple[str, int, int]]
+    before: list[tuple[str, int, int]] = []
+    after: list[tuple[str, int, int]] = []
+    #: Where another label than O is allowed; None: everywhere.
+    free: np.ndarray | None = None
+
+
 class Field:
     """Weights of features and transitions."""
 
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.names, self.emit, self.move = names, emit, move
 
-    def decode(self, sequences: list[list[tuple[str, int, int]]]) -> list[np.ndarray]:
-        """The likeliest labels of each token sequence, by Viterbi over all sequences at once."""
+    def decode(self, sequences: list["Stretch"]) -> list[np.ndarray]:
+        """The likeliest labels of each stretch, by Viterbi over all stretches at once; inner ends follow and precede an O."""
         if not sequences:
             return []
-        longest = max(map(len, sequences))
+        longest = max(len(s.tokens) for s in sequences)
         score = np.zeros((len(sequences), longest, len(LABELS)))
-        lengths = np.array([len(s) for s in sequences])
+        lengths = np.array([len(s.tokens) for s in sequences])
+        unknown, known = len(self.names), self.names.get
         for i, s in enumerate(sequences):
-            idx = np.array([[self.names.get(f, len(self.names)) for f in row] for row in features(s)])
-            score[i, : len(s)] = self.emit[idx].sum(axis=1)
+            idx = np.array([[known(f, unknown) for f in row] for row in features([*s.before, *s.tokens, *s.after])[len(s.before) : len(s.before) + len(s.tokens)]])
+            score[i, : len(s.tokens)] = self.emit[idx].sum(axis=1)
+            score[i, 0] += self.move[0] if s.before else 0
+            score[i, len(s.tokens) - 1] += self.move[:, 0] if s.after else 0
+            if s.free is not None:
+                score[i, : len(s.tokens), 1:] -= 1e4 * ~s.free[:, None]
         move = self.move + _FORBIDDEN
         back = np.zeros(score.shape, np.int8)
         state = score[:, 0] + _NO_START
@@ -280,41 +412,62 @@ class Field:
         return out
 
 
+class _Group:
+    """Lines of similar length: expected minus true labels and transitions, by forward and backward sums over all at once."""
+
+    def __init__(self, lines: list[tuple], names: dict[str, int]):
+        n, longest, k = len(lines), max(len(t) for t, _, _ in lines), len(LABELS)
+        gold, self.mask, self.barred = np.zeros((n, longest), int), np.zeros((n, longest), bool), np.zeros((n, longest, k))
+        for i, (t, _, y) in enumerate(lines):
+            gold[i, : len(y)], self.mask[i, : len(y)] = y, True
+            self.barred[i, : len(y), 1:] = -1e4 * ~free(t)[:, None]
+        self.flat = np.array([names[x] for _, f, _ in lines for row in f for x in row])
+        self.truth = np.eye(k)[gold] * self.mask[..., None]
+        self.pairs = np.einsum("itj,itk->jk", self.truth[:, :-1], self.truth[:, 1:])
+
+    def gradient(self, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask, score, way = self.mask, self.barred.copy(), np.exp(move + _FORBIDDEN)
+        longest, k = score.shape[1], score.shape[2]
+        score[mask] += emit[self.flat].reshape(int(mask.sum()), -1, k).sum(axis=1)
+        top = score.max(axis=2, keepdims=True)
+        local = np.where(mask[..., None], np.exp(score - top), 1.0)
+        a, b = np.zeros_like(score), np.ones_like(score)
+        a[:, 0] = local[:, 0] * np.exp(_NO_START)
+        a[:, 0] /= a[:, 0].sum(axis=1, keepdims=True)
+        for t in range(1, longest):
+            x = a[:, t - 1] @ way * local[:, t]
+            a[:, t] = np.where(mask[:, t, None], x / x.sum(axis=1, keepdims=True), a[:, t - 1])
+        for t in range(longest - 2, -1, -1):
+            x = (local[:, t + 1] * b[:, t + 1]) @ way.T
+            b[:, t] = np.where(mask[:, t + 1, None], x / x.sum(axis=1, keepdims=True), 1.0)
+        here = a * b
+        here /= here.sum(axis=2, keepdims=True)
+        moved = np.zeros((k, k))
+        for t in range(1, longest):
+            pair = a[:, t - 1, :, None] * way * (local[:, t] * b[:, t])[:, None]
+            moved += (pair / pair.sum(axis=(1, 2), keepdims=True) * mask[:, t, None, None]).sum(axis=0)
+        return (here - self.truth)[mask], moved - self.pairs
+
+
 def train(lines: Iterable[str], steps: int = STEPS, penalty: float = 0.02) -> Field:
-    """Maximise the penalised log likelihood by Adam on the whole table; forward and backward run over all lines at once."""
+    """Maximise the penalised log likelihood by Adam on the whole table; lines of similar length are summed over at once."""
     rows = [unmarked(line) for line in lines if line.strip()]
     tokens = [tokens_of(text) for text, _ in rows]
     labels = [_labels(t, spans) for t, (_, spans) in zip(tokens, rows)]
     listed = [features(t) for t in tokens]
     names = {f: i for i, f in enumerate(sorted({f for rows_ in listed for row in rows_ for f in row}))}
-    n, longest, k = len(rows), max(map(len, tokens)), len(LABELS)
-    width = len(listed[0][0])
-    idx = np.full((n, longest, width), len(names))
-    gold, mask = np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for i, (f, y) in enumerate(zip(listed, labels)):
-        idx[i, : len(f)] = [[names[x] for x in row] for row in f]
-        gold[i, : len(y)], mask[i, : len(y)] = y, True
-    truth = np.eye(k)[gold] * mask[..., None]
-    pair_truth = np.einsum("itj,itk->jk", truth[:, :-1], truth[:, 1:])
+    k, width = len(LABELS), len(listed[0][0])
+    order = sorted(range(len(rows)), key=lambda i: len(tokens[i]))
+    groups = [_Group([(tokens[i], listed[i], labels[i]) for i in order[at : at + 64]], names) for at in range(0, len(order), 64)]
     emit, move = np.zeros((len(names) + 1, k)), np.zeros((k, k))
     slots = [[np.zeros_like(p), np.zeros_like(p)] for p in (emit, move)]
     for step in range(1, steps + 1):
-        score, way = emit[idx].sum(axis=2), move + _FORBIDDEN
-        a, b = np.zeros_like(score), np.zeros_like(score)
-        a[:, 0] = score[:, 0] + _NO_START
-        for t in range(1, longest):
-            a[:, t] = np.where(mask[:, t, None], _logsumexp(a[:, t - 1, :, None] + way, 1) + score[:, t], a[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            b[:, t] = np.where(mask[:, t + 1, None], _logsumexp(way + (score[:, t + 1] + b[:, t + 1])[:, None], 2), 0)
-        total = _logsumexp(a[:, -1], 1)
-        here = np.exp(a + b - total[:, None, None]) * mask[..., None]
-        moved = np.zeros((k, k))
-        for t in range(1, longest):
-            pair = a[:, t - 1, :, None] + way + (score[:, t] + b[:, t])[:, None] - total[:, None, None]
-            moved += (np.exp(np.minimum(pair, 0)) * mask[:, t, None, None]).sum(axis=0)
-        grad_emit = np.zeros_like(emit)
-        np.add.at(grad_emit, idx[mask], np.repeat((here - truth)[mask][:, None], width, axis=1))
-        grads = (grad_emit + penalty * emit, moved - pair_truth + penalty * move)
+        grads = [penalty * emit, penalty * move]
+        for group in groups:
+            apart, moved = group.gradient(emit, move)
+            apart = np.repeat(apart, width, axis=0)
+            grads[0] += np.stack([np.bincount(group.flat, weights=apart[:, j], minlength=len(emit)) for j in range(k)], axis=1)
+            grads[1] += moved
         for p, g, slot in zip((emit, move), grads, slots):
             slot[0] = 0.9 * slot[0] + 0.1 * g
             slot[1] = 0.99 * slot[1] + 0.01 * g * g
@@ -327,30 +480,61 @@ _TRAINED: list[Field] = []
 
 
 def default_field() -> Field:
-    """The field of LABELLED; it is trained once in a process."""
+    """The field of LABELLED and FORMS; it is trained once in a process."""
     if not _TRAINED:
-        _TRAINED.append(train(LABELLED.strip().splitlines()))
+        _TRAINED.append(train([*LABELLED.strip().splitlines(), *examples()]))
     return _TRAINED[0]
 
 
-def windows(text: str, reach: int = REACH) -> list[list[tuple[str, int, int]]]:
-    """Token sequences around triggers: up to ``reach`` tokens to either side, joined where they meet, within lines."""
-    hits = [m.start() for m in _TRIGGER.finditer(text)]
-    out: list[list[tuple[str, int, int]]] = []
-    k = 0
-    while k < len(hits):
-        start = text.rfind("\n", 0, hits[k]) + 1
-        end = text.find("\n", hits[k])
+def examples(made: int = MADE, seed: int = 7) -> list[str]:
+    """Marked lines from FORMS, the same for the same seed; card numbers are made to pass Luhn."""
+    rng = random.Random(seed)
+    prose = lambda: rng.choice(PROSE) if rng.random() < 0.7 else "".join(rng.choice("aeiouetnrshdlcmbgp") for _ in range(rng.randint(2, 9)))
+    fill = {
+        "#": lambda: rng.choice("0123456789"), "~": lambda: rng.choice(NAMES) if rng.random() < 0.5 else prose(), "%": prose, "^": lambda: rng.choice(ENDS),
+        "*": lambda: " ".join(prose() + rng.choice(["", "", "", "", ",", "."]) for _ in range(rng.randint(0, 7))),
+    }
+    out = []
+    for form in FORMS.strip().splitlines():
+        for _ in range(made):
+            line = "".join(fill[c]() if c in fill else c for c in form)
+            if "[card|" in line:
+                start = line.index("[card|") + 6
+                end = line.index("]", start)
+                line = line[: end - 1] + next(d for d in "0123456789" if luhn(_only_digits(line[start : end - 1]) + d)) + line[end:]
+            line = line.strip()
+            out.append(line[:1].upper() + line[1:] if rng.random() < 0.3 else line)
+    return out
+
+
+def free(tokens: list[tuple[str, int, int]], reach: int = REACH) -> np.ndarray:
+    """Which tokens of a line may have another label than O: those within reach of an anchor."""
+    words = [t.lower() for t, _, _ in tokens]
+    between = lambda i: 0 < i < len(tokens) - 1 and tokens[i - 1][2] == tokens[i][1] and tokens[i][2] == tokens[i + 1][1] and words[i - 1].isalpha() and words[i + 1].isalpha()
+    dots = np.array([i for i, w in enumerate(words) if w in DOT or w == "." and between(i)])
+    out = np.zeros(len(tokens), bool)
+    for i, w in enumerate(words):
+        anchor = w[0] in "0123456789@"
+        if w in AT and len(dots):
+            after = dots[np.searchsorted(dots, i) :]
+            anchor = len(after) > 0 and after[0] <= i + reach
+        if anchor:
+            out[max(0, i - reach) : i + reach + 1] = True
+    return out
+
+
+def stretches(text: str, reach: int = REACH) -> list[Stretch]:
+    """What may hold a span, line by line. Lines without a digit, an @ or a spelled-out at have no anchor and aren't cut into tokens."""
+    out: list[Stretch] = []
+    hit = _HINT.search(text)
+    while hit:
+        start = text.rfind("\n", 0, hit.start()) + 1
+        end = text.find("\n", hit.start())
         end = len(text) if end < 0 else end
         line = tokens_of(text, start, end)
-        starts = np.array([s for _, s, _ in line])
-        wanted = np.zeros(len(line), bool)
-        while k < len(hits) and hits[k] < end:
-            at = int(np.searchsorted(starts, hits[k], "right")) - 1
-            wanted[max(0, at - reach) : at + reach + 1] = True
-            k += 1
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], wanted.view(np.int8), [0]))))
-        out += [line[a:b] for a, b in zip(edges[::2], edges[1::2])]
+        edges = np.flatnonzero(np.diff(free(line, reach).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        out += [Stretch(line[a:b], line[max(0, a - 4) : a], line[b : b + 2]) for a, b in zip(edges[::2], edges[1::2])]
+        hit = _HINT.search(text, end)
     return out
 
 
@@ -381,16 +565,16 @@ def spans_of(texts: list[str | None], field: Field) -> list[tuple[list[tuple[str
     base = [base_spans(t) if t else [] for t in texts]
     places, sequences = [], []
     for i, t in enumerate(texts):
-        for window in windows(t) if t else []:
+        for stretch in stretches(t) if t else []:
             places.append(i)
-            sequences.append(window)
+            sequences.append(stretch)
     added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(sequences)), key=lambda j: len(sequences[j]))
+    order = sorted(range(len(sequences)), key=lambda j: len(sequences[j].tokens))
     for at in range(0, len(order), WINDOWS_A_BATCH):
         some = order[at : at + WINDOWS_A_BATCH]
         for j, labels in zip(some, field.decode([sequences[j] for j in some])):
             i = places[j]
-            for kind, start, end in _labelled_spans(sequences[j], labels):
+            for kind, start, end in _labelled_spans(sequences[j].tokens, labels):
                 free = not any(s < end and start < e for _, s, e in base[i])
                 if free and _plausible(kind, texts[i][start:end]):
                     added[i].append((kind, start, end))
