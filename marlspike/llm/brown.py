@@ -5,44 +5,55 @@
 Class transitions are smoothed over the classes, word emissions over the words of a class and one unknown word. A
 text's score is the sum of log10 probabilities of its words and of one end; its perplexity follows from it.
 
-All counts come from all training texts. What is clustered are units: each of the ``UNITS`` most frequent words is
-one, and all other words, seen or not, fall into ``ENDINGS`` units by a hash of their last three characters, so every
-word has a class. The counts of neighbouring units are a matrix of fixed size, summed up by Spark and clustered on
-the driver by exchanging units between classes while the classes' mutual information grows.
-
-Scoring needs each word's count, and there are more different words than any task can hold. The counts of at
-most the ``CARRIED`` most frequent words go to every task; rarer words leave the task as (row, word) pairs and meet their
-counts in a join.
-
-Null and empty texts are a single end. Repeated rows are scored alike and count as often as they occur. With no
-training text all counts are zero and scores are still finite. Extra columns don't matter, whatever their names.
+Every word of the training texts gets a class by its own neighbours, and all counts are of all training texts:
+
+1. The ``UNITS`` most frequent words (found by :func:`heavy`, a bounded count that misses none that is frequent) are
+   exchanged between classes, each to the one where the mutual information of neighbouring classes is largest, until a
+   whole sweep moves none. Their neighbour counts, a matrix of fixed size, are summed up by Spark and exchanged on the
+   driver.
+2. Every other word, however rare, is moved once: its counts with the classes of its neighbours among the units,
+   ``words by classes`` and sparse, are dealt out by word and sorted, and it goes to the class where they raise the
+   likelihood most, to first order. Neighbours that are no units give no evidence; a word with no other kind goes where
+   the class sizes put it. The table of words with their counts and classes grows with the corpus and stays on Spark.
+3. Class transitions are counted over the class sequences of all training texts, rare words included.
+
+Scoring needs each word's count and class, and there are more different words than any task can hold. Those of the
+``CARRIED`` most frequent words go to every task; rarer ones leave the task as (row, place, word), meet the table in a
+join and return to their text's sequence. Words that no training text has belong to the class with the most words.
+
+Null and empty texts are a single end. Repeated rows are scored alike and count as often as they occur. Texts are read
+whole, however long; their sequence is a byte a token. With no training text all counts are zero and scores are still
+finite. Extra columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, held_out, schema, slices
 
 FOLDS = 10
+#: At most 254, as a class is a byte.
 CLASSES = 64
 UNITS = 1500
-ENDINGS = 500
 CARRIED = 100_000
+#: Words that a task of heavy() holds; a word that is more than a 50,000th of its tokens is never lost.
+TRACKED = 50_000
 #: Stands for a text's end among the words; no word holds white space.
 END = "\n"
 PRIOR = 0.1
 HELD_WORDS = 200_000
 HELD_PAIRS = 4_000_000
+#: In sequences: a rare word whose class the task doesn't know.
+OPEN = 255
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -53,56 +64,37 @@ def _texts(batch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n: how often each word, and END, occurs in the texts."""
+class _Index(dict):
+    """word: its number, or -1."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
 
-    def rows(count: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()).cast(pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+def heavy(docs: DataFrame, most: int, tracked: int = TRACKED) -> list[bytes]:
+    """The most frequent words of the texts, by counts whose common part is taken off whenever a task holds too many words."""
 
     def run(batches):
         count: Counter[bytes] = Counter()
         for batch in slices(batches):
             for text in _texts(batch):
                 count.update(words(text))
-            count[END.encode()] += batch.num_rows
-            if len(count) > HELD_WORDS:
-                yield rows(count)
-                count = Counter()
-        yield rows(count)
-
-    return docs.select("text").mapInArrow(run, schema("word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
+            if len(count) > 4 * tracked:
+                count = cut(count)
+        count = cut(count) if len(count) > tracked else count
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()).cast(pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
+    def cut(count: Counter) -> Counter:
+        least = int(np.partition(np.fromiter(count.values(), np.int64, len(count)), -tracked - 1)[-tracked - 1])
+        return Counter({w: n - least for w, n in count.items() if n > least})
 
-class Units:
-    """The unit of a word: END is 0, frequent words follow, endings come last."""
+    summed = docs.select("text").mapInArrow(run, schema("word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word.encode() for r in summed.orderBy(F.desc("n"), "word").limit(most).collect()]
 
-    def __init__(self, frequent: list[bytes], endings: int = ENDINGS):
-        self.known = {w: i + 1 for i, w in enumerate(frequent)} | {END.encode(): 0}
-        self.first, self.endings = len(frequent) + 1, endings
-        self.size = self.first + endings
 
-    def of(self, word: bytes) -> int:
-        unit = self.known.get(word)
-        return self.first + zlib.crc32(word.decode()[-3:].encode()) % self.endings if unit is None else unit
-
-
-class _Memory(dict):
-    """word: what ``make`` gives for it; bounded."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: bytes):
-        if len(self) > HELD_WORDS:
-            self.clear()
-        got = self[word] = self.make(word)
-        return got
-
-
-def neighbours(docs: DataFrame, units: Units) -> np.ndarray:
-    """How often unit j follows unit i; a text begins after an end and ends with one."""
-    size = units.size
+def neighbours(docs: DataFrame, units: list[bytes]) -> np.ndarray:
+    """How often unit j follows unit i: 0 is the end, units come next, the last stands for all other words. A text begins after an end and ends with one."""
+    size = len(units) + 2
     shared = docs.sparkSession.sparkContext.broadcast(units)
 
     def rows(total: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -112,7 +104,7 @@ def neighbours(docs: DataFrame, units: Units) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(left[cut], pa.int32()), pa.array(pairs, pa.binary())], names=["left", "counts"])
 
     def run(batches):
-        unit = _Memory(shared.value.of)
+        unit = _Index((w, i + 1) for i, w in enumerate(shared.value))
         at, total, parts, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +117,7 @@ def neighbours(docs: DataFrame, units: Units) -> np.ndarray:
                 w = words(text)
                 u = np.zeros(len(w) + 2, np.int64)
                 u[1:-1] = np.fromiter(map(unit.__getitem__, w), np.int64, len(w))
+                u[u < 0] = size - 1
                 parts.append(u[:-1] * size + u[1:])
                 held += len(w) + 1
             if held > HELD_PAIRS:
@@ -148,7 +141,7 @@ def neighbours(docs: DataFrame, units: Units) -> np.ndarray:
     return out
 
 
-def exchange(follows: np.ndarray, classes: int = CLASSES, sweeps: int = 4) -> np.ndarray:
+def exchange(follows: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """The class of each unit. Unit 0, the end, keeps class 0 for itself.
 
     Units start dealt out by frequency and move, the most frequent first, to the class where the mutual information of
@@ -166,7 +159,7 @@ def exchange(follows: np.ndarray, classes: int = CLASSES, sweeps: int = 4) -> np
     to, back = follows @ member, follows.T @ member
     table = member.T @ to
     plogp = lambda x: x * np.log(np.maximum(x, 1e-300))
-    for _ in range(sweeps):
+    while True:
         moved = 0
         for u in order:
             out, into, self_ = to[u], back[u], follows[u, u]
@@ -213,14 +206,94 @@ def _counted(follows: np.ndarray, of: np.ndarray, classes: int) -> np.ndarray:
     return out
 
 
+def gains(follows: np.ndarray, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """What an occurrence after class l, and one before class r, adds to the likelihood if the word is in class c: [l, c] and [r, c].
+
+    One row more, of zeros, is for neighbours without a class. Class 0, the end's own, is ruled out.
+    """
+    table = _counted(follows.astype(float), of, classes) + PRIOR
+    after, before = np.zeros((classes + 1, classes)), np.zeros((classes + 1, classes))
+    after[:-1] = np.log(table) - np.log(table.sum(0))
+    before[:-1] = np.log(table.T) - np.log(table.sum(1))
+    if classes > 1:
+        after[:, 0] = -1e9
+    return after, before
+
+
+CLASSED = "word string, n long, class int"
+
+
+def other_words(docs: DataFrame, units: list[bytes], follows: np.ndarray, of: np.ndarray, classes: int) -> DataFrame:
+    """word, n, class of every word of the texts that is no unit."""
+    known = _Index({w: int(of[i + 1]) for i, w in enumerate(units)})
+    shared = docs.sparkSession.sparkContext.broadcast((known, *gains(follows, of, classes)))
+    side = classes + 1
+
+    def contexts(batches):
+        unit, count = shared.value[0], Counter()
+
+        def rows() -> pa.RecordBatch:
+            cols = list(zip(*count)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()).cast(pa.string()), pa.array(cols[1], pa.int32()), pa.array(list(count.values()), pa.int64())], names=["word", "context", "n"])
+
+        for batch in slices(batches):
+            for text in _texts(batch):
+                w = words(text)
+                c = np.zeros(len(w) + 2, np.int64)
+                c[1:-1] = np.fromiter(map(unit.__getitem__, w), np.int64, len(w))
+                rare = np.flatnonzero(c < 0)
+                c[rare] = classes
+                count.update(zip([w[i - 1] for i in rare.tolist()], (c[rare - 1] * side + c[rare + 1]).tolist()))
+            if len(count) > HELD_WORDS:
+                yield rows()
+                count = Counter()
+        yield rows()
+
+    def assign(batches):
+        _, after, before = shared.value
+        last: tuple[str, int, np.ndarray] | None = None
+
+        def rows(w, n, score) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array(np.argmax(score, axis=1), pa.int32())], names=["word", "n", "class"])
+
+        for batch in slices(batches, 20_000):
+            if not batch.num_rows:
+                continue
+            word, context, n = batch.column("word"), batch.column("context").to_numpy(), batch.column("n").to_numpy()
+            new = np.ones(len(n), bool)
+            new[1:] = pc.not_equal(word.slice(1), word.slice(0, len(n) - 1)).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            score = np.add.reduceat((after[context // side] + before[context % side]) * n[:, None], first, axis=0)
+            many, names = np.add.reduceat(n, first), word.take(pa.array(first))
+            if last and last[0] == names[0].as_py():
+                score[0] += last[2]
+                many[0] += last[1]
+            elif last:
+                yield rows([last[0]], [last[1]], last[2][None])
+            last = (names[len(first) - 1].as_py(), int(many[-1]), score[-1])
+            yield rows(names.slice(0, len(first) - 1), many[:-1], score[:-1]) if len(first) > 1 else rows([], [], np.empty((0, classes)))
+        if last:
+            yield rows([last[0]], [last[1]], last[2][None])
+
+    seen = docs.select("text").mapInArrow(contexts, schema("word string, context int, n long"))
+    return seen.repartition("word").sortWithinPartitions("word").mapInArrow(assign, schema(CLASSED))
+
+
 class Model:
-    def __init__(self, units: Units, of: np.ndarray, follows: np.ndarray, size: np.ndarray, kinds: np.ndarray, carried: dict[bytes, int], total: int, distinct: int):
-        classes = len(size)
-        self.units, self.of, self.carried, self.total, self.distinct = units, of, carried, total, distinct
-        between = _counted(follows.astype(float), of, classes)
-        self.move = np.log10((between + PRIOR) / (between.sum(1, keepdims=True) + PRIOR * classes))
+    """Words that every task knows, with their classes and counts; sizes of classes; transitions, once counted."""
+
+    def __init__(self, known: dict[bytes, tuple[int, int]], size: np.ndarray, kinds: np.ndarray):
+        self.index = _Index((w, i) for i, w in enumerate(known))
+        self.of = np.array([c for c, _ in known.values()], np.uint8)
+        self.n = np.array([n for _, n in known.values()], np.int64)
+        self.total, self.distinct = int(size.sum()), int(kinds.sum())
         self.emit = -np.log10(size + PRIOR * (kinds + 1))
-        self.base = math.log10(total + PRIOR * (distinct + 1))
+        self.unseen = 1 + int(np.argmax(kinds[1:])) if len(kinds) > 1 else 0
+        self.base = math.log10(self.total + PRIOR * (self.distinct + 1))
+        self.move = np.zeros((len(size), len(size)))
+
+    def learn(self, between: np.ndarray) -> None:
+        self.move = np.log10((between + PRIOR) / (between.sum(1, keepdims=True) + PRIOR * len(between)))
 
 
 def frequent(counts: DataFrame, most: int) -> list:
@@ -240,77 +313,129 @@ def frequent(counts: DataFrame, most: int) -> list:
 
 
 def fit(docs: DataFrame, scratch: Scratch, classes: int = CLASSES, units: int = UNITS, carried: int = CARRIED) -> tuple[Model, DataFrame]:
-    """The model of the texts of docs, and the counts of all their words."""
-    counts = scratch.keep(word_counts(docs), "counts")
-    top = frequent(counts.where(F.col("word") != END), carried)
-    unit = Units([r.word.encode() for r in top[:units]])
-    follows = neighbours(docs, unit)
-    of = exchange(follows, classes)
-
-    def sums(batches):
-        n, kinds = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
-        for batch in slices(batches):
-            c = of[[unit.of(w) for w in batch.column("word").cast(pa.binary()).to_pylist()]] if batch.num_rows else np.empty(0, int)
-            np.add.at(n, c, batch.column("n").to_numpy())
-            np.add.at(kinds, c, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(classes), pa.int32()), pa.array(n), pa.array(kinds)], names=["class", "n", "kinds"])
+    """The model of the texts of docs, yet without transitions, and the table of its words that are no units."""
+    top = heavy(docs, units)
+    follows = neighbours(docs, top)
+    of = exchange(follows[:-1, :-1], classes)
+    table = scratch.keep(other_words(docs, top, follows[:-1, :-1], of, classes), "words")
+    n = follows.sum(axis=1)[:-1]
+    size, kinds = np.bincount(of, n, classes), np.bincount(of[n > 0], minlength=classes).astype(float)
+    for r in table.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        size[r["class"]] += r.n
+        kinds[r["class"]] += r.kinds
+    known = {END.encode(): (int(of[0]), int(n[0]))} | {w: (int(of[i + 1]), int(n[i + 1])) for i, w in enumerate(top)}
+    known |= {r.word.encode(): (r["class"], r.n) for r in frequent(table, max(0, carried - len(top)))}
+    return Model(known, size, kinds), table
 
-    size, kinds = np.zeros(classes), np.zeros(classes)
-    for r in counts.mapInArrow(sums, schema("class int, n long, kinds long")).groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
-        size[r["class"]], kinds[r["class"]] = r.n, r.kinds
-    known = {r.word.encode(): r.n for r in top}
-    known |= {END.encode(): n for (n,) in counts.where(F.col("word") == END).select("n").collect()}
-    return Model(unit, of, follows, size, kinds, known, int(size.sum()), int(kinds.sum())), counts
 
-
-PARTS = "row long, doc_id long, n_tokens long, n_known long, in_class double, counted double, rare array<string>"
+PARTS = "row long, doc_id long, n_known long, counted double, sequence binary, rare array<struct<place:int,word:string>>"
 
 
 def _parts(docs: DataFrame, model: Model) -> DataFrame:
-    """Per text: tokens, sums over what the task knows, and the words whose counts it doesn't."""
+    """Per text: the classes of its words and its end, sums over what the task knows, and the words that it doesn't."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = schema(PARTS).fieldNames()
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("word", pa.string())]))
 
     def run(batches):
         m: Model = shared.value
-        memory = _Memory(lambda w: (m.of[m.units.of(w)], m.carried.get(w, -1)))
-        end = int(m.of[0])
-        ends = m.carried.get(END.encode(), 0)
+        end, logs = m.index[END.encode()], np.log10(m.n + PRIOR)
         for batch in slices(batches):
-            n, known, in_class, counted, rare = [], [], [], [], []
+            known, counted, sequences, places, rare, starts = [], [], [], [], [], [0]
             for text in _texts(batch):
                 w = words(text)
-                found = np.array([*map(memory.__getitem__, w), (end, ends)], np.int64)
-                c, k = found[:, 0], found[:, 1]
-                held = k >= 0
-                n.append(len(c))
-                known.append(int((k > 0).sum()))
-                in_class.append(float(m.move[np.concatenate(([end], c[:-1])), c].sum() + m.emit[c].sum()))
-                counted.append(float(np.log10(k[held] + PRIOR).sum()))
-                rare.append([w[i].decode() for i in np.flatnonzero(~held)])
-            arrays = [pa.array(x, t) for x, t in ((n, pa.int64()), (known, pa.int64()), (in_class, pa.float64()), (counted, pa.float64()), (rare, pa.list_(pa.string())))]
+                at = np.full(len(w) + 1, end, np.int64)
+                at[:-1] = np.fromiter(map(m.index.__getitem__, w), np.int64, len(w))
+                held = at >= 0
+                known.append(int((m.n[at[held]] > 0).sum()))
+                counted.append(float(logs[at[held]].sum()))
+                sequences.append(np.where(held, m.of[at], OPEN).astype(np.uint8).tobytes())
+                missed = np.flatnonzero(~held)
+                places.append(missed)
+                rare += [w[i] for i in missed.tolist()]
+                starts.append(len(rare))
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(places) if places else [], pa.int32()), pa.array(rare, pa.binary()).cast(pa.string())], fields=list(kind.value_type))
+            arrays = [pa.array(known, pa.int64()), pa.array(counted, pa.float64()), pa.array(sequences, pa.binary()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pairs, type=kind)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *arrays], names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, schema(PARTS))
 
 
+WHOLE = "doc_id long, n_known long, counted double, sequence binary"
+
+
+def _sequences(parts: DataFrame, table: DataFrame, unseen: int) -> DataFrame:
+    """The texts' class sequences without a gap, and their sums over all words."""
+    rare = parts.select("row", F.explode("rare").alias("rare")).select("row", "rare.place", "rare.word")
+    met = rare.join(table, "word", "left").select("row", (F.col("place").cast("long") * 256 + F.coalesce("class", F.lit(unseen))).alias("code"), F.log10(F.coalesce("n", F.lit(0)) + F.lit(PRIOR)).alias("part"), F.col("n").isNotNull().cast("long").alias("seen"))
+    met = met.groupBy("row").agg(F.collect_list("code").alias("codes"), F.sum("part").alias("part"), F.sum("seen").alias("seen"))
+    both = parts.drop("rare").join(met, "row", "left").select("doc_id", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), (F.col("counted") + F.coalesce("part", F.lit(0.0))).alias("counted"), "sequence", "codes")
+
+    names = schema(WHOLE).fieldNames()
+
+    def fill(batches):
+        for batch in slices(batches):
+            out = []
+            for sequence, codes in zip(batch.column("sequence").to_pylist(), batch.column("codes")):
+                if codes.is_valid:
+                    found = codes.values.to_numpy()
+                    whole = np.frombuffer(sequence, np.uint8).copy()
+                    whole[found >> 8] = found & 255
+                    sequence = whole.tobytes()
+                out.append(sequence)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_known"), batch.column("counted"), pa.array(out, pa.binary())], names=names)
+
+    return both.mapInArrow(fill, schema(WHOLE))
+
+
+def transitions(sequences: DataFrame, classes: int) -> np.ndarray:
+    """How often class j follows class i; a text begins after an end, which has class 0."""
+
+    def run(batches):
+        total = np.zeros(classes * classes, np.int64)
+        for batch in slices(batches):
+            for sequence in batch.column("sequence").to_pylist():
+                c = np.frombuffer(b"\0" + sequence, np.uint8).astype(np.int64)
+                total += np.bincount(c[:-1] * classes + c[1:], minlength=classes * classes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cell", "n"])
+
+    out = np.zeros(classes * classes)
+    for r in sequences.select("sequence").mapInArrow(run, schema("cell int, n long")).groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r.cell] = r.n
+    return out.reshape(classes, classes)
+
+
 def score(docs: DataFrame, classes: int = CLASSES, units: int = UNITS, carried: int = CARRIED) -> DataFrame:
     """One row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Learns from the texts whose crc32 of the id is no multiple of FOLDS and scores all. base_score is of single words.
     """
+    if not 2 <= classes < OPEN:
+        raise ValueError(f"classes must lie between 2 and {OPEN - 1}")
     scratch = Scratch(docs.sparkSession, "brown")
     docs = docs.select("doc_id", "text")
-    model, counts = fit(docs.where(~F.coalesce(held_out("doc_id", FOLDS), F.lit(False))), scratch, classes, units, carried)
+    train = lambda df: df.where(~F.coalesce(held_out("doc_id", FOLDS), F.lit(False)))
+    model, table = fit(train(docs), scratch, classes, units, carried)
     parts = scratch.keep(_parts(docs, model), "parts")
-    rare = parts.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("many"))
-    met = rare.join(counts, "word", "left").select("row", (F.col("many") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(PRIOR))).alias("part"), F.when(F.col("n") > 0, F.col("many")).otherwise(0).alias("seen"))
-    met = met.groupBy("row").agg(F.sum("part").alias("part"), F.sum("seen").alias("seen"))
-    by_word = F.col("counted") + F.coalesce("part", F.lit(0.0))
-    value = F.col("in_class") + by_word
-    return parts.drop("rare").join(met, "row", "left").select(
-        "doc_id", held_out("doc_id", FOLDS).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (by_word - F.col("n_tokens") * F.lit(model.base)).alias("base_score"),
+    whole = scratch.keep(_sequences(parts, table, model.unseen), "sequences")
+    scratch.drop(parts)
+    model.learn(transitions(train(whole), classes))
+    move, emit = model.move, model.emit
+
+    def run(batches):
+        for batch in slices(batches):
+            n, in_class = [], []
+            for sequence in batch.column("sequence").to_pylist():
+                c = np.frombuffer(b"\0" + sequence, np.uint8)
+                n.append(len(sequence))
+                in_class.append(float(move[c[:-1], c[1:]].sum() + emit[c[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_known"), batch.column("counted"), pa.array(n, pa.int64()), pa.array(in_class, pa.float64())], names=["doc_id", "n_known", "counted", "n_tokens", "in_class"])
+
+    value = F.col("in_class") + F.col("counted")
+    return whole.mapInArrow(run, schema("doc_id long, n_known long, counted double, n_tokens long, in_class double")).select(
+        "doc_id", held_out("doc_id", FOLDS).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("counted") - F.col("n_tokens") * F.lit(model.base)).alias("base_score"),
         value.alias("score"), F.pow(F.lit(10.0), -value / F.col("n_tokens")).alias("perplexity"),
     )

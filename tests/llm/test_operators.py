@@ -555,7 +555,7 @@ def test_nothing_to_pack(spark):
 
 def test_exchange_ends_in_a_local_optimum():
     follows = np.random.default_rng(0).poisson(0.3, (40, 40))
-    of = brown.exchange(follows, 6, sweeps=50)
+    of = brown.exchange(follows, 6)
 
     def information(classes):
         t = brown._counted(follows.astype(float), classes, 6)
@@ -582,15 +582,56 @@ def test_base_score_and_model_against_brute_force(spark, carried):
         assert r.base_score == pytest.approx(base, rel=1e-9) and math.isfinite(r.score) and r.score < 0
 
 
-def test_class_model_is_a_distribution_over_known_words(spark):
-    rows = [(i, t) for i, t in enumerate(["a b c a b", "b c a", "c a b b"] * 4)]
-    model, counts = brown.fit(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), classes=3, units=2)
-    assert np.allclose((10**model.move).sum(axis=1), 1)
-    in_class = Counter()
-    for r in counts.collect():
-        c = model.of[model.units.of(r.word.encode())]
-        in_class[c] += (r.n + 0.1) * 10 ** model.emit[c]
-    assert all(0 < v < 1 for v in in_class.values())
+@pytest.mark.parametrize("carried", [100_000, 12])
+def test_classes_and_score_against_brute_force(spark, monkeypatch, carried):
+    """Given the exchanged units, every other word's class, all counts and all scores are recomputed in plain Python."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()][:50]
+    rows += [(9001, None), (9002, ""), (9003, "zzz zzz unseen"), rows[0], (9004, rows[1][1]), (9005, "word " * 30_000 + "rareword")]
+    seen = {}
+    monkeypatch.setattr(brown, "fit", lambda *a, fit=brown.fit: seen.setdefault("fit", fit(*a)))
+    monkeypatch.setattr(brown, "exchange", lambda f, k, run=brown.exchange: seen.setdefault("units", (f, run(f, k)))[1])
+    monkeypatch.setattr(brown, "heavy", lambda *a, run=brown.heavy: seen.setdefault("top", run(*a)))
+    K = 6
+    got = brown.score(spark.createDataFrame(rows, "doc_id long, text string"), classes=K, units=10, carried=carried).collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    texts = [(i, [b"\n"] + (t or "").encode().lower().split() + [b"\n"]) for i, t in rows]
+    train = [w for i, w in texts if not held(i)]
+    follows, of = seen["units"]
+    cls = {w: int(c) for w, c in zip([b"\n", *seen["top"]], of)}
+    count = Counter(x for w in train for x in w[1:])
+    assert set(seen["top"]) == {w for w, _ in sorted(((w, n) for w, n in count.items() if w != b"\n"), key=lambda x: (-x[1], x[0]))[:10]}
+    after, before = brown.gains(follows, of, K)
+    votes = {}
+    for w in train:
+        for x, y, z in zip(w, w[1:], w[2:]):
+            if y not in cls:
+                votes[y] = votes.get(y, 0) + after[cls.get(x, K)] + before[cls.get(z, K)]
+    units = dict(cls)
+    best = {w: int(np.argmax(v)) for w, v in votes.items()}
+    table = {r.word.encode(): (r["class"], r.n) for r in seen["fit"][1].collect()}
+    assert {w: n for w, (_, n) in table.items()} == {w: n for w, n in count.items() if w not in units}
+    assert all(votes[w][c] >= votes[w][best[w]] - 1e-9 for w, (c, _) in table.items())
+    cls |= {w: c for w, (c, _) in table.items()}
+    size, kinds, between = np.zeros(K), np.zeros(K), np.zeros((K, K))
+    for w, n in count.items():
+        size[cls[w]] += n
+        kinds[cls[w]] += 1
+    for w in train:
+        for x, y in zip(w, w[1:]):
+            between[cls[x], cls[y]] += 1
+    unseen = 1 + int(np.argmax(kinds[1:]))
+    want = []
+    for i, w in texts:
+        c = [cls.get(x, unseen) for x in w]
+        total = sum(math.log10((between[a, b] + 0.1) / (between[a].sum() + 0.1 * K)) + math.log10((count[x] + 0.1) / (size[b] + 0.1 * (kinds[b] + 1))) for a, b, x in zip(c, c[1:], w[1:]))
+        want.append((i, len(w) - 1, round(total, 4)))
+    assert sorted((r.doc_id, r.n_tokens, round(r.score, 4)) for r in got) == sorted(want)
+
+
+def test_frequent_words_survive_the_bounded_count(spark):
+    rng = random.Random(1)
+    texts = [" ".join(["often", f"w{rng.randrange(10**6)}", rng.choice(["some", "more"]), f"v{rng.randrange(10**6)}"]) for _ in range(2000)]
+    assert brown.heavy(docs_of(spark, texts).coalesce(1), 3, tracked=50) == [b"often", *sorted([b"more", b"some"], key=lambda w: -sum(w.decode() in t.split() for t in texts))]
 
 
 def test_score_beats_single_words_on_held_out_texts(spark):
