@@ -5,15 +5,20 @@ principal axes of a bounded sample (``SAMPLE`` vectors by a hash of the id; it d
 most of the spread into the leading dimensions. Their coordinates, divided by epsilon, are the grid's cells, and the
 order of the cells is the epsilon grid order. The ordered sequence is cut into blocks of ``BLOCK`` vectors with their
 bounding boxes. Blocks whose cells in the first dimension are more than one apart never meet; of the others, those with
-boxes further apart than epsilon are skipped. A pair of blocks is joined recursively: intervals whose boxes are too far
-apart are skipped, large ones are halved, small ones are multiplied in double precision.
+boxes further apart than epsilon are skipped. All this is done on boxes alone. Vectors travel by tiles: ``TILE`` blocks
+next to each other in the order are a row, two rows are a tile, and a block goes once to each tile in which it has a
+partner, so that n blocks are sent n / ``TILE`` times at most, not n times. Within a tile each pair of blocks is joined
+recursively: intervals whose boxes are too far apart are skipped, large ones are halved, small ones are multiplied in
+double precision. A tile's task holds the blocks of two rows.
 
-What leaves a pair of blocks are counts and connecting labels, not links, so a dense group costs no more than a sparse
+What leaves a tile are counts and connecting labels, not links, so a dense group costs no more than a sparse
 one. Equal vectors are summed up first and count with their number. Components are found over labels.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
-component; vectors of different lengths are never linked. Rows are told apart by vec_id; the labels column isn't read,
-nor are other columns. An empty table gives an empty table.
+component; vectors of different lengths are never linked, and a cosine of exactly the threshold is a link as far as
+double precision tells. Rows are told apart by vec_id: a repeated row isn't another vector, so that it is counted once
+and each copy gets the same result; rows of one vec_id with different vectors count as vectors of their own. The labels
+column isn't read, nor are other columns. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +26,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +36,13 @@ from .common import Scratch, connected_components, schema
 
 COSINE = 0.9
 SAMPLE = 20_000
-BLOCK = 8192
+BLOCK = 2048
+TILE = 16
 LEAF = 512
 ORDERED = 4
 BOXED = 8
 
-BLOCKS = "dim int, ids binary, many binary, vectors binary, low array<double>, high array<double>"
+BLOCKS = "part int, dim int, ids binary, many binary, vectors binary, low array<double>, high array<double>"
 
 
 def epsilon(cosine: float) -> float:
@@ -119,7 +127,7 @@ def _leaf(a: Side, ra: tuple[int, int], b: Side, rb: tuple[int, int], cosine: fl
     b.label[cols] = y
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK, sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept."""
     if not 0 < cosine <= 1:
         raise ValueError("cosine must lie in (0, 1]")
@@ -129,8 +137,9 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     plain = F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x))  # one zero
     every = every.select("vec_id", F.when(sound, plain).alias("v")).select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2"))
-    reps = every.where("v IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "v")).alias("first"), F.count("*").alias("many"))
-    reps = scratch.keep(reps.select("h1", "h2", "first.vec_id", "first.v", "many", F.size("first.v").alias("dim")), "distinct")
+    reps = every.where("v IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "v")).alias("first"))
+    holders = every.where("v IS NOT NULL").select("h1", "h2", "vec_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("many"))
+    reps = scratch.keep(reps.join(holders, ["h1", "h2"]).select("h1", "h2", "first.vec_id", "first.v", "many", F.size("first.v").alias("dim")), "distinct")
 
     common = reps.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     dim, n = (common.dim, common.n) if common else (0, 0)
@@ -140,19 +149,19 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK,
         axes = rotation(unit(np.array([r.v for r in got])))
 
     stored = scratch.keep(_blocks(reps, axes, dim, n, cosine, block), "blocks")
-    blocks = stored.withColumn("block", F.xxhash64("ids", "dim"))
+    blocks = stored.withColumn("block", F.xxhash64("ids", "dim")).withColumn("row", F.floor(F.col("part") / tile).cast("int"))
     width = epsilon(cosine)
-    ends = blocks.select("block", "dim", "low", "high", F.floor(F.col("low")[0] / width).alias("first"), F.floor(F.col("high")[0] / width).alias("last"))
+    ends = blocks.select("block", "row", "dim", "low", "high", F.floor(F.col("low")[0] / width).alias("first"), F.floor(F.col("high")[0] / width).alias("last"))
     a = ends.withColumn("cell", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1))).alias("a")
     b = ends.withColumn("cell", F.explode(F.sequence("first", "last"))).alias("b")
     gap = F.zip_with(F.zip_with("a.low", "b.high", lambda x, y: F.greatest(x - y, F.lit(0.0))), F.zip_with("b.low", "a.high", lambda x, y: F.greatest(x - y, F.lit(0.0))), lambda x, y: F.greatest(x, y))
     close = F.aggregate(F.transform(gap, lambda x: x * x), F.lit(0.0), lambda s, x: s + x) <= width * width
     pairs = a.join(b, (F.col("a.dim") == F.col("b.dim")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.block") <= F.col("b.block")) & close)
-    pairs = pairs.select(F.col("a.block").alias("a"), F.col("b.block").alias("b")).distinct()
+    spot = lambda x: F.struct(F.col(f"{x}.block").alias("block"), F.least("a.row", "b.row").alias("low_row"), F.greatest("a.row", "b.row").alias("high_row"), "a.dim")
+    spots = pairs.select(F.explode(F.array(spot("a"), spot("b"))).alias("spot")).select("spot.*").distinct()
 
-    side = lambda k: blocks.select(F.col("block").alias(k), "dim", *(F.col(c).alias(f"{c}_{k}") for c in ("ids", "many", "vectors")))
-    both = pairs.join(side("a"), "a").join(side("b").drop("dim"), "b").repartition(F.col("a"), F.col("b"))
-    found = scratch.keep(both.mapInArrow(_joiner(axes, dim, cosine), schema("vec_id long, links long, other long")), "found")
+    both = spots.join(blocks.drop("dim", "part"), "block").groupBy("low_row", "high_row", "dim")
+    found = scratch.keep(both.applyInPandas(_joiner(axes, dim, cosine), schema("vec_id long, links long, other long")), "found")
 
     scratch.drop(stored)
     links = found.where("links > 0").groupBy("vec_id").agg(F.sum("links").alias("links"))
@@ -188,7 +197,7 @@ def _blocks(reps: DataFrame, axes: np.ndarray | None, dim: int, n: int, cosine:
         ids, many, vectors = (np.array(x) for x in zip(*rows))
         side = Side(ids, many, vectors, axes if d == dim else None)
         low, high = side.box(0, len(ids))
-        return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int64), many.astype(np.int64), vectors.astype(np.float64))), pa.array([low.tolist()]), pa.array([high.tolist()])], names=["dim", "ids", "many", "vectors", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([d], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int64), many.astype(np.int64), vectors.astype(np.float64))), pa.array([low.tolist()]), pa.array([high.tolist()])], names=["part", "dim", "ids", "many", "vectors", "low", "high"])
 
     def cut(batches):
         rows: list[tuple] = []
@@ -207,19 +216,21 @@ def _blocks(reps: DataFrame, axes: np.ndarray | None, dim: int, n: int, cosine:
 
 
 def _joiner(axes: np.ndarray | None, dim: int, cosine: float):
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                sides = [Side(*(np.frombuffer(row[f"{c}_{k}"], np.int64).copy() for c in ("ids", "many")), np.frombuffer(row[f"vectors_{k}"], np.float64).reshape(-1, row["dim"]), axes if row["dim"] == dim else None) for k in "ab"]
-                same = row["a"] == row["b"]
-                if same:
-                    sides[1] = sides[0]
-                edges = join_blocks(*sides, cosine, same)
-                for side in sides[: 1 if same else 2]:
-                    some = np.flatnonzero(side.links)
-                    yield pa.RecordBatch.from_arrays([pa.array(side.ids[some]), pa.array(side.links[some]), pa.nulls(len(some), pa.int64())], names=["vec_id", "links", "other"])
-                pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(np.zeros(len(pairs), np.int64)), pa.array(pairs[:, 1].copy())], names=["vec_id", "links", "other"])
+    """Joins the blocks of one tile: within its row, or between its two rows."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        low_row, high_row, d = map(int, key)
+        sides = []
+        for block, row, ids, many, vectors in sorted(group[["block", "row", "ids", "many", "vectors"]].itertuples(index=False), key=lambda x: x.block):
+            sides.append((row, Side(np.frombuffer(ids, np.int64).copy(), np.frombuffer(many, np.int64).copy(), np.frombuffer(vectors, np.float64).reshape(-1, d), axes if d == dim else None)))
+        edges: set[tuple[int, int]] = set()
+        for i, (row, side) in enumerate(sides):
+            for other_row, other in sides[i:]:
+                if {row, other_row} == {low_row, high_row}:
+                    edges |= join_blocks(side, other, cosine, side is other)
+        out = [(side.ids[some], side.links[some]) for _, side in sides if len(some := np.flatnonzero(side.links))]
+        links = pd.DataFrame({"vec_id": np.concatenate([i for i, _ in out]) if out else [], "links": np.concatenate([n for _, n in out]) if out else [], "other": None})
+        pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
+        return pd.concat([links, pd.DataFrame({"vec_id": pairs[:, 0], "links": 0, "other": pairs[:, 1]})]).astype({"vec_id": "Int64", "links": "Int64", "other": "Int64"})
 
     return run
