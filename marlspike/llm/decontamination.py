@@ -3,11 +3,13 @@
 Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and characters beyond ASCII. A window is
 ``n`` consecutive words of an item, or all words of a shorter one. Each distinct benchmark word is a symbol of the
 automaton and every other word is one foreign symbol, so that a text is scanned as a string of one symbol per word
-and windows never start or end inside a word. Matches are word positions; for the texts that have any, they are
+and windows never start or end inside a word. A symbol is one character, or, of more than ``ONE_CHARACTER`` words, two
+of disjoint alphabets, so that matches begin at a word there, too. Matches are word positions; for the texts that have any, they are
 mapped back to code points of the original text.
 
 The benchmark goes to every task. Its size is measured first; beyond ``SHARD_BYTES`` it is dealt into shards of at
-most that size, one scan each, and the matches of a document are joined over the shards.
+most that size, one scan each, and the matches of a document are joined over the shards. The driver holds one shard at
+a time.
 
 Null and empty texts and items have no words. Items without words match nothing. Repeated item ids count once,
 repeated documents are reported once each. Empty tables give empty tables or no matches. Other columns are kept.
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ from .common import Scratch, schema, slices
 
 WINDOW = 10
 SHARD_BYTES = 32 << 20
+#: Distinct words of one automaton up to which a character is enough.
+ONE_CHARACTER = 1_000_000
 FOREIGN = "\x01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of UTF-8: A-Z in lower case, all others that are no part of a word as spaces.
@@ -43,25 +47,31 @@ def words(text: str | None) -> list[bytes]:
 class Automaton:
     """All windows of the given items; hits() finds them in a list of words."""
 
-    def __init__(self, items: Iterable[tuple[str, str | None]], n: int):
+    def __init__(self, items: Iterable[tuple[str, str | None]], n: int, one_character: int = ONE_CHARACTER):
         import ahocorasick
 
-        self.symbols: dict[bytes, str] = {}
+        items = list(items)
+        distinct = dict.fromkeys(w for _, text in items for w in words(text))
+        self.width = 1 if len(distinct) <= one_character else 2
+        self.symbols = {w: self._symbol(i) for i, w in enumerate(distinct)}
+        self.foreign = FOREIGN * self.width
         owners: dict[str, set[str]] = {}
         for item, text in items:
-            symbols = "".join(self._symbol(w) for w in words(text))
+            symbols = [self.symbols[w] for w in words(text)]
             for at in range(max(1, len(symbols) - n + 1) if symbols else 0):
-                owners.setdefault(symbols[at : at + n], set()).add(item)
+                owners.setdefault("".join(symbols[at : at + n]), set()).add(item)
         self.search = ahocorasick.Automaton()
         for window, ids in owners.items():
-            self.search.add_word(window, (len(window), tuple(ids)))
+            self.search.add_word(window, (len(window) // self.width, tuple(ids)))
         self.any = bool(owners)
         if self.any:
             self.search.make_automaton()
 
-    def _symbol(self, word: bytes) -> str:
-        code = 2 + len(self.symbols)
-        return self.symbols.setdefault(word, chr(code if code < 0xD800 else code + 0x800))
+    def _symbol(self, i: int) -> str:
+        """Without surrogates; a pair is one of 0x4000 characters and one of those beyond U+FFFF."""
+        if self.width == 1:
+            return chr(2 + i if 2 + i < 0xD800 else 2 + i + 0x800)
+        return chr(2 + i % 0x4000) + chr(0x10000 + i // 0x4000)
 
     def hits(self, text_words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Disjoint ranges of hit words, in order, and the items whose windows occur."""
@@ -69,8 +79,9 @@ class Automaton:
         items: set[str] = set()
         if self.any:
             symbol = self.symbols.get
-            for end, (length, ids) in self.search.iter("".join([symbol(w, FOREIGN) for w in text_words])):
+            for end, (length, ids) in self.search.iter("".join([symbol(w, self.foreign) for w in text_words])):
                 items.update(ids)
+                end //= self.width
                 start = end + 1 - length
                 while ranges and ranges[-1][1] >= start:
                     start = min(start, ranges.pop()[0])
@@ -89,13 +100,13 @@ def _automaton(key: str, items, n: int) -> Automaton:
     return _BUILT[key]
 
 
-def shards(benchmark: DataFrame, limit: int = SHARD_BYTES) -> list[list[tuple[str, str | None]]]:
-    """The items, in parts that are each measured to be within the limit, apart from a single item that alone is larger."""
+def shards(benchmark: DataFrame, limit: int = SHARD_BYTES) -> tuple[int, Callable[[int], list[tuple[str, str | None]]]]:
+    """How many parts of about the limit at most the items make, and what collects one of them; a single item may be larger."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
     parts = -(-size * 2 // limit) if size > limit else 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [[(r.item_id, r.text) for r in rows.where(part == i).collect()] for i in range(parts)]
+    return parts, lambda i: [(r.item_id, r.text) for r in rows.where(part == i).collect()]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit: int = SHARD_BYTES) -> DataFrame:
@@ -104,12 +115,12 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit: int = SH
     Columns of docs with one of these names give way.
     """
     docs = docs.drop(*(f.name for f in schema(HITS).fields))
-    parts = shards(benchmark, limit)
-    scratch = Scratch(docs.sparkSession, "decontamination") if len(parts) > 1 else None
+    parts, part = shards(benchmark, limit)
+    scratch = Scratch(docs.sparkSession, "decontamination") if parts > 1 else None
     out = docs.withColumns({"items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<start:int,end:int>>")})
-    for k, part in enumerate(parts):
-        out = _scan(out, part, n, k == len(parts) - 1)
-        if k < len(parts) - 1:
+    for k in range(parts):
+        out = _scan(out, part(k), n, k == parts - 1)
+        if k < parts - 1:
             out = scratch.keep(out.drop("n_words", "n_hit"), "shard")
     return out
 
