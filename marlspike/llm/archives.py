@@ -9,11 +9,12 @@ digests of block and payload. Records whose payload of at least ``REVISIT_BYTES`
 X-Page-Id become revisits of the one with the largest; shorter payloads are always written out.
 
 A WARC file is what Spark's text writer makes of records with the line separator CR LF CR LF, which is what ends a
-WARC record; files are gzipped, of at most ``RECORDS_A_FILE`` records each, and read back as binary files. Payloads may
-be any bytes. Parsing never looks past a declared length.
+WARC record; files are gzipped, of at most ``RECORDS_A_FILE`` records each, and of fewer where the largest record times
+their number would be beyond ``FILE_BYTES``, and read back as binary files. Payloads may be any bytes. Parsing never
+looks past a declared length.
 
 Null payloads are empty, null addresses ``-``; white space in an address is percent-encoded. Rows without a page_id
-are written as pages 0. Empty tables give empty archives. Extra columns don't matter, whatever their names.
+have no X-Page-Id, come back without one, are never revisits and have none. Repeated rows are records of their own. Empty tables give empty archives. Extra columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, schema
+from .common import Scratch, schema, slices
 
 REVISIT_BYTES = 1000
+#: A file ends at so many records or, in bytes, at about so much; a larger record is a file by itself.
 RECORDS_A_FILE = 2000
 ARC_RECORDS = 500
+FILE_BYTES = 128 << 20
 
 #: Fixed names of the header fields of ARC records.
 ARC_FIELDS = {
@@ -46,13 +49,14 @@ RECORDS = "url string, date string, mime string, http binary, payload binary, pa
 WARC = "record_id string, type string, date string, url string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def arc_file(records: list[tuple[int, str, bytes]], version: int, date: str, name: str) -> bytes:
+def arc_file(records: list[tuple[int | None, str, bytes]], version: int, date: str, name: str) -> bytes:
     """An ARC file of HTTP responses: (page_id, url, payload)."""
     origin = f"{version} {1 if version == 1 else 0} Marlspike\n{ARC_FIELDS[version]}\n".encode()
     out = [_arc_record(version, f"filedesc://{name}", "0.0.0.0", date, "text/plain", origin, 0, name)]
     at = len(out[0])
     for page, url, payload in records:
-        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: %d\r\nContent-Length: %d\r\n\r\n" % (page, len(payload))
+        own = b"" if page is None else b"X-Page-Id: %d\r\n" % page
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n%sContent-Length: %d\r\n\r\n" % (own, len(payload))
         out.append(_arc_record(version, url, "0.0.0.0", date, "text/html", http + payload, at, name))
         at += len(out[-1])
     return b"".join(out)
@@ -175,26 +179,51 @@ def inflate(data: bytes) -> bytes:
 
 
 def arc_files(pages: DataFrame, date: str = "20240131120000") -> DataFrame:
-    """Pages as ARC files: name and content. Batches of up to ARC_RECORDS pages are one file each, of alternating versions."""
+    """Pages as ARC files: name and content. Up to ARC_RECORDS pages of about FILE_BYTES at most are a file, of alternating versions."""
 
     def run(batches):
         made = 0
-        for batch in batches:
+        for batch in slices(batches, ARC_RECORDS):
             ids, urls, bodies = (batch.column(c).to_pylist() for c in range(3))
-            rows = [(p or 0, re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), u) if u else "-", h or b"") for p, u, h in zip(ids, urls, bodies)]
-            for at in range(0, len(rows), ARC_RECORDS):
+            rows = [(p, re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), u) if u else "-", h or b"") for p, u, h in zip(ids, urls, bodies)]
+            for some in _by_bytes(rows, FILE_BYTES):
                 made += 1
                 name = f"pages-{made:05d}.arc"
-                content = arc_file(rows[at : at + ARC_RECORDS], 1 + made % 2, date, name)
+                content = arc_file(some, 1 + made % 2, date, name)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.large_binary()).cast(pa.binary())], names=["name", "content"])
 
     return pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary").alias("html")).mapInArrow(run, schema("name string, content binary"))
 
 
+def _by_bytes(rows: list[tuple], most: int) -> Iterator[list[tuple]]:
+    """The rows in parts whose payloads, the last of each row, are of so many bytes at most, or a single row."""
+    part, size = [], 0
+    for row in rows:
+        if part and size + len(row[-1]) > most:
+            yield part
+            part, size = [], 0
+        part.append(row)
+        size += len(row[-1])
+    if part:
+        yield part
+
+
 def _batches(rows: list[dict], names: list[str], kinds) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
 
 
+def _bounded(records: Iterator[dict], most: int = FILE_BYTES // 8) -> Iterator[list[dict]]:
+    """Up to 200 records, or as few as have the bytes."""
+    rows, size = [], 0
+    for record in records:
+        rows.append(record)
+        size += len(record["payload"])
+        if len(rows) == 200 or size > most:
+            yield rows
+            rows, size = [], 0
+    yield rows
+
+
 _ARC_KINDS = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string())
 _WARC_KINDS = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
 
@@ -206,33 +235,30 @@ def arc_records(files: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for row in read_arc(content.as_py() or b""):
-                    rows.append(row)
-                    if len(rows) == 200:
-                        yield _batches(rows, names, _ARC_KINDS)
-                        rows = []
-                yield _batches(rows, names, _ARC_KINDS)
+                for rows in _bounded(read_arc(content.as_py() or b"")):
+                    yield _batches(rows, names, _ARC_KINDS)
 
     return files.select("content").mapInArrow(run, schema(RECORDS))
 
 
-def to_warc(records: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES) -> None:
+def to_warc(records: DataFrame, path: str, scratch: Scratch, revisit_bytes: int = REVISIT_BYTES) -> None:
     """Write ARC records as WARC files."""
-    long_ = (F.octet_length("payload") >= revisit_bytes) & (F.col("arc_type") == "response")
+    long_ = (F.octet_length("payload") >= revisit_bytes) & (F.col("arc_type") == "response") & F.col("page_id").isNotNull()
     digest = F.sha1("payload")
-    copies = records.where(long_).select(digest.alias("digest"), "page_id").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("many")).where("many > 1").select("digest", "last")
+    sizes = scratch.keep(records.select(F.when(long_, digest).alias("digest"), "page_id", (F.octet_length("payload") + F.octet_length("http")).alias("bytes")), "sizes")
+    a_file = max(1, min(RECORDS_A_FILE, FILE_BYTES // (sizes.agg(F.max("bytes")).first()[0] or 1)))
+    copies = sizes.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("many")).where("many > 1").select("digest", "last")
     placed = records.withColumn("digest", F.when(long_, digest)).join(copies, "digest", "left").withColumn("refers_to", F.when(F.col("last") > F.col("page_id"), F.col("last")))
     names = [*schema(RECORDS).fieldNames(), "refers_to"]
 
     def run(batches):
         any_bytes = pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True)
-        for batch in batches:
+        for batch in slices(batches, 200):
             rows = batch.to_pylist()
             raw = pa.array([warc_record(r, r["refers_to"]) for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([raw.cast(options=any_bytes)], names=["value"])
 
-    placed.select(*names).mapInArrow(run, schema("value string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    placed.select(*names).mapInArrow(run, schema("value string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", a_file).text(path)
 
 
 def warc_records(files: DataFrame) -> DataFrame:
@@ -242,13 +268,8 @@ def warc_records(files: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for row in read_warc(content.as_py() or b""):
-                    rows.append(row)
-                    if len(rows) == 200:
-                        yield _batches(rows, names, _WARC_KINDS)
-                        rows = []
-                yield _batches(rows, names, _WARC_KINDS)
+                for rows in _bounded(read_warc(content.as_py() or b"")):
+                    yield _batches(rows, names, _WARC_KINDS)
 
     return files.select("content").mapInArrow(run, schema(WARC))
 
@@ -257,5 +278,5 @@ def convert(files: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """ARC files to WARC files in the shared folder, read back."""
     scratch = Scratch(files.sparkSession, "archives")
     path = scratch.path("warc")
-    to_warc(arc_records(files), path, revisit_bytes)
+    to_warc(arc_records(files), path, scratch, revisit_bytes)
     return warc_records(files.sparkSession.read.format("binaryFile").load(path))
