@@ -71,10 +71,17 @@ def test_vectors_against_brute_force(spark):
     rows = [(i, (centres[i % 12] + rng.normal(size=8) * rng.choice([0.05, 0.3, 1])).tolist()) for i in range(300)]
     rows += [(1000 + i, rows[0][1]) for i in range(5)] + [(2000, [0.0] * 8), (2001, None), (2002, []), (2003, [1.0, None] + [0.0] * 6), (2004, [float("nan")] * 8), (2005, [float("inf")] + [1.0] * 7), (2006, [1.0, 2.0]), (2007, [2.0, 4.0])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, h1 string")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, 0.9, block=64).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, 0.9, block=24, tile=3).collect()}
     assert got == brute_vectors(rows, 0.9)
 
 
+def test_repeated_vectors_and_ties_at_the_threshold(spark):
+    exact = [1.0] + [0.0] * 3
+    rows = [(1, exact), (1, exact), (2, [3.0, 4.0, 0.0, 0.0]), (3, [2.99, 4.01, 0.0, 0.0]), (4, [3.0, 0.0, 0.0, 0.0]), (4, [3.0, 0.0, 0.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.6).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 3, 1), (3, 1, 1), (4, 2, 1), (4, 2, 1)]
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
@@ -478,6 +485,19 @@ def test_empty_benchmark(spark):
     assert [r.n_hit for r in decontamination.find(docs_of(spark, ["a b"]), none).collect()] == [0]
 
 
+def test_symbols_of_two_characters_find_the_same():
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=rng.randint(1, 14)))) for i in range(60)]
+    one, two = (decontamination.Automaton(items, 4, most) for most in (1000, 10))
+    assert (one.width, two.width) == (1, 2)
+    for _ in range(200):
+        text = decontamination.words(" ".join(rng.choices([*vocabulary, "foreign"], k=30) + rng.choice(items)[1].split()))
+        assert one.hits(text) == two.hits(text)
+    some = [two._symbol(i) for i in (0, 1, 0x3FFF, 0x4000, 1_200_000, 4_000_000)]
+    assert len(set(some)) == 6 and all(len(x) == 2 and x.encode() for x in some)
+
+
 # ---------------------------------------------------------------- 7 archives
 
 
@@ -509,6 +529,16 @@ def test_archives_through_spark(spark):
     assert archives.convert(archives.arc_files(pages.limit(0))).collect() == []
 
 
+def test_pages_without_an_id_large_ones_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(archives, "FILE_BYTES", 4000)
+    big = "<p>" + "x" * 3000
+    rows = [(None, "http://a/0", big), (3, "http://a/3", big), (None, "http://a/0", "small"), (4, "http://a/4", big), (4, "http://a/4", big), (5, "http://a/5", "y" * 20_000)]
+    got = archives.convert(archives.arc_files(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))).where("type <> 'warcinfo'").collect()
+    want = [(None, "response", None, 3003), (None, "response", None, 5), (3, "revisit", 4, 3003), (4, "response", None, 3003), (4, "response", None, 3003), (5, "response", None, 20_000)]
+    key = lambda x: (x[0] or 0, x[3])
+    assert sorted(((r.page_id, r.type, r.refers_to, r.payload_bytes) for r in got), key=key) == sorted(want, key=key)
+
+
 def test_partial_dates():
     assert [archives.iso_date(d) for d in ("1999", "199907", "19990715083000")] == ["1999-01-01T00:00:00Z", "1999-07-01T00:00:00Z", "1999-07-15T08:30:00Z"]
 
@@ -546,6 +576,17 @@ def test_bounded_best_fit():
     assert [packer.place(n)[0] for n in (4, 7, 3, 3)] == [0, 1, 0, 0]  # the fullest open bin closes
 
 
+def test_the_bound_acts_and_costs_little():
+    rng = np.random.default_rng(0)
+    lengths = np.where(rng.random(60_000) < 0.3, 1024, rng.integers(1, 1025, 60_000))
+    packer = packing.BestFit(1024, packing.OPEN_BINS)
+    for at in range(0, len(lengths), packing.LOOK_AHEAD):
+        for n in -np.sort(-lengths[at : at + packing.LOOK_AHEAD]):
+            packer.place(int(n))
+    assert packer.closed > 0 and packer.open <= packing.OPEN_BINS
+    assert packer.bins <= 1.02 * -(-lengths.sum() // 1024)
+
+
 def test_nothing_to_pack(spark):
     assert packing.pack_documents(docs_of(spark, ["a"]).limit(0), tokenizer()).collect() == []
 
