@@ -159,6 +159,7 @@ def exchange(follows: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     to, back = follows @ member, follows.T @ member
     table = member.T @ to
     plogp = lambda x: x * np.log(np.maximum(x, 1e-300))
+    least = 1e-10 * max(1.0, float(plogp(table.sum())))  # beyond the rounding of sums, so that units never go round in circles
     known = plogp(table)  # of each cell; a move changes two rows and two columns
 
     def changed(c: int) -> None:
@@ -185,7 +186,7 @@ def exchange(follows: np.ndarray, classes: int = CLASSES) -> np.ndarray:
             gain -= plogp(left + out.sum()) - plogp(left) + plogp(right + into.sum()) - plogp(right)
             gain[0] = -np.inf
             best = int(np.argmax(gain))
-            if gain[best] <= gain[c] + 1e-9:
+            if gain[best] <= gain[c] + least:
                 best = c
             table[best] += out_
             table[:, best] += into_

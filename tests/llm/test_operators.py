@@ -607,6 +607,12 @@ def test_exchange_ends_in_a_local_optimum():
     assert all(information(np.where(np.arange(40) == u, c, of)) <= best + 1e-6 for u in range(1, 40) for c in range(1, 6))
 
 
+def test_exchange_ends_with_large_counts():
+    rng = np.random.default_rng(1)
+    of = brown.exchange(rng.zipf(1.3, (60, 60)).clip(max=10**6) * 997_331, 8)
+    assert len(set(of.tolist())) > 2 and of[0] == 0 and (of[1:] > 0).all()
+
+
 @pytest.mark.parametrize("carried", [100_000, 5])
 def test_base_score_and_model_against_brute_force(spark, carried):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()][:60] + [(9001, None), (9002, ""), (9003, "zzz zzz unseen")]
