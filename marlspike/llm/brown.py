@@ -182,7 +182,7 @@ def exchange(follows: np.ndarray, classes: int = CLASSES) -> np.ndarray:
             rows, cols, corner = plogp(table + out_), plogp(table + into_[:, None]), np.diag(table)
             kept = np.diag(known)
             gain = rows.sum(1) - known.sum(1) - np.diag(rows) + cols.sum(0) - known.sum(0) - np.diag(cols) + kept + plogp(corner + out_ + into_ + self_)
-            left, right = table.sum(1), table.sum(0)
+            left, right = table.sum(1) + into_, table.sum(0) + out_  # whatever the class, the others' totals hold the unit as a neighbour
             gain -= plogp(left + out.sum()) - plogp(left) + plogp(right + into.sum()) - plogp(right)
             gain[0] = -np.inf
             best = int(np.argmax(gain))
