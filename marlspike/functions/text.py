@@ -117,11 +117,10 @@ def filter_table_rows(text: Column) -> Column:
     return joined(F.filter(lines(text), lambda line: ~empty(line)))
 
 
-def strip_token_stats(title: Column, most: int = 6) -> Column:
-    """Drops trailing ``(n in/m out tokens)`` of a title."""
-    for _ in range(most):
-        title = F.regexp_replace(title, r"\((?=[^(]*in/)(?=[^(]*out tokens\))[^()]*\)([^(]*)$", "$1")
-    return trim(title)
+def strip_token_stats(title: Column) -> Column:
+    """Drops every ``(n in/m out tokens)`` behind which no other bracket opens, however many there are."""
+    stats = r"\((?=[^(]*in/)(?=[^(]*out tokens\))[^()]*\)"
+    return trim(F.regexp_replace(title, rf"{stats}(?=[^(]*(?:{stats}[^(]*)*$)", ""))
 
 
 def _starts(text: Column, prefixes: tuple[str, ...]) -> Column:
@@ -204,6 +203,6 @@ def is_binary_garbage(text: Column) -> Column:
 def merge_texts(a: Column, b: Column) -> Column:
     """The longer of two texts if more than half of the first one's lines lie in the second, else one after the other."""
     own = F.filter(F.transform(lines(a), trim), lambda x: x != "")
-    shared = F.size(F.filter(own, lambda x: F.exists(lines(b), lambda y: y.contains(x))))
+    shared = F.size(F.filter(own, lambda x: b.contains(x)))  # a line holds no line feed, so it lies within one line of b
     longer = F.when(F.octet_length(b) > F.octet_length(a), b).otherwise(a)
     return F.when(trim(a) == "", b).when(trim(b) == "", a).when((F.size(own) > 0) & (shared * 2 > F.size(own)), longer).otherwise(F.concat(a, F.lit("\n\n"), b))

@@ -22,3 +22,10 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_column: str = "vec_
     wanted = F.array(*(F.lit(float(x)) for x in query))
     scored = vectors.select(id_column, cosine(F.col(column), wanted).alias("similarity"))
     return scored.orderBy(F.desc("similarity"), id_column).limit(k)
+
+
+def top_k_of(vectors: DataFrame, query: DataFrame, k: int, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """The k rows most similar to the one vector that ``query`` holds; without it, none."""
+    one = query.select(F.col(column).alias("wanted")).limit(1)
+    both = vectors.join(F.broadcast(one)).withColumn("similarity", cosine(F.col(column), F.col("wanted")))
+    return both.orderBy(F.desc("similarity"), id_column).limit(k).drop("wanted")

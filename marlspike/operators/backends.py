@@ -50,8 +50,8 @@ def embed(texts: DataFrame, backend: EmbeddingBackend, cache: DataFrame | None =
     return hashed.select("id", "text_hash").join(known, "text_hash", "left")
 
 
-def light_embed(doc: DataFrame, backend: KeywordBackend = frequent_words, kinds: tuple[str, ...] = ("knowledge", "memory", "session"), parallel: int = 5) -> DataFrame:
-    """Active rows without tags get those that the back-end gives; no more than ``parallel`` requests run at once. Rows it gives none stay out."""
+def light_embed(doc: DataFrame, backend: KeywordBackend = frequent_words, kinds: tuple[str, ...] = ("knowledge", "memory", "session")) -> DataFrame:
+    """Active rows without tags get those that the back-end gives. Rows it gives none stay out. How many requests run at once is the back-end's to bound."""
     pending = doc.where((F.col("status") == "active") & F.col("type").isin(*kinds) & ~is_vectorized(F.col("metadata"))).select("id", "title", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,5 +59,5 @@ def light_embed(doc: DataFrame, backend: KeywordBackend = frequent_words, kinds:
             tags = [[t.strip() for t in backend(title, content).split(",") if t.strip()] for title, content in zip(rows["title"].fillna(""), rows["content"].fillna(""))]
             yield pd.DataFrame({"id": rows["id"], "tags": tags})[[bool(t) for t in tags]]
 
-    found = pending.repartition(parallel).mapInPandas(run, "id string, tags array<string>")
+    found = pending.mapInPandas(run, "id string, tags array<string>")
     return found.select("id", F.to_json("tags").alias("metadata"))

@@ -35,10 +35,15 @@ def json_document(memories: DataFrame) -> DataFrame:
 
 
 def markdown_sections(memories: DataFrame) -> DataFrame:
-    """Per memory type its section: a heading and the memories by title."""
+    """The blocks of a Markdown export, a row each: per memory type a heading (place 0), then its memories (place 1), to be read by type, place, title and id.
+
+    No type is gathered in one value; sorted by these columns and written as text, the rows are the document.
+    """
     item = F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.col("content"))
-    items = F.array_sort(F.collect_list(F.struct("title", "id", item.alias("item"))))
-    return memories.groupBy("memory_type").agg(F.concat(F.lit("# "), F.col("memory_type"), F.lit("\n\n"), F.array_join(F.transform(items, lambda x: x["item"]), "\n\n")).alias("section"))
+    items = memories.select("memory_type", F.lit(1).alias("place"), "title", "id", item.alias("block"))
+    none = F.lit(None).cast("string")
+    heads = memories.select("memory_type").distinct().select("memory_type", F.lit(0).alias("place"), none.alias("title"), none.alias("id"), F.concat(F.lit("# "), F.col("memory_type")).alias("block"))
+    return heads.unionByName(items)
 
 
 def imported(exports: DataFrame) -> DataFrame:

@@ -69,8 +69,8 @@ def search(doc: DataFrame, memory_ext: DataFrame, query: str, source_types: str
 
 
 def ranked(doc: DataFrame, memory_ext: DataFrame, query: str, limit: int) -> DataFrame:
-    """Hits in title or content with their rank: knowledge first, then the most trusted, then the newest."""
-    hits = doc.where((F.col("status") == "active") & matches(query, "title", "content"))
+    """Hits in title, content or tags with their rank: knowledge first, then the most trusted, then the newest."""
+    hits = doc.where((F.col("status") == "active") & matches(query, "title", "content", "metadata"))
     first = F.when(F.col("type") == "knowledge", 0).otherwise(1)
     return with_memory_defaults(hits, memory_ext).withColumn("first", first).orderBy("first", F.desc("confidence"), F.desc("updated_at"), "id").limit(limit)
 

@@ -16,7 +16,7 @@ query = registry.query
 
 #: Texts that the documents have no examples of; their ids are -1, -2, ...
 CASES = (
-    "line1\n\n\n\nline2\n\n\nline3", "这 是 一 个 test 测 试", "Hello​World﻿", "| A | B |\n| --- | --- |\n| | |\n| 1 | 2 |\n| | |", "hello world\nhello world\ndifferent line",
+    "top\n\n\n\n\nmiddle\n\n\n\nend", "数 据 very big 很 多 行", "zero\u200bwidth\u200c mark\ufeff", "| name | count |\n|---|---|\n|  |  |\n| pears | 7 |\n|  |", "same row\nsame row\nsame row\nother row",
     "user: hello", "mark\nbody one\nmark\nbody two\nmark\nbody three", "姓名：  电话：  \nname: value: \nnormal: line", "  indented   line  \n　　wide  space", "a\r\nb  \r\n",
     "Read HEARTBEAT.md now\n\nIf nothing needs attention stop\nreal line\nreply HEARTBEAT_OK", "---\ntitle: A: b\ntags: x, y ,,z\n---\n# Head\nbody", "# Only head\ntext", "", "x", "JFIF data", "\u0001\u0002\u0003\u0004\u0005\u0006\u0007abc",
 )
@@ -227,14 +227,14 @@ def extract_title(spark, d):
 
 @query(S.with_(S.DOC, "SELECT id, title FROM sessions"))
 def clean_session_title(spark, d):
-    noisy = F.concat("title", F.lit(" (12in/34out tokens) "))
+    noisy = F.concat("title", F.repeat(F.lit(" (12in/34out tokens) "), F.pmod(F.crc32("id"), F.lit(9)).cast("int")))
     return frames.sessions(spark, d).select("id", text.strip_token_stats(noisy).alias("title"))
 
 
-@query("SELECT doc_id, text AS merged FROM documents")
+@query(r"SELECT doc_id, CASE WHEN trim(text, E' \t\r\n') = '' THEN CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || 'more' ELSE 'zzqq xxww' END WHEN doc_id % 2 = 0 THEN text || chr(10) || 'more' ELSE text || chr(10) || chr(10) || 'zzqq xxww' END AS merged FROM documents")
 def text_merge(spark, d):
     docs = frames.table(spark, d, "documents")
-    return docs.select("doc_id", text.merge_texts(F.lit("").cast("string"), F.col("text")).alias("merged"))
+    return docs.select("doc_id", text.merge_texts(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\nmore"))).otherwise("zzqq xxww")).alias("merged"))
 
 
 @query(S.with_(S.KNOWLEDGE, f"SELECT id, {_blank('(' + _zero(_trailing('content')) + ')')} AS cleaned FROM knowledge WHERE status = 'active' AND {_blank('(' + _zero(_trailing('content')) + ')')} <> content"))

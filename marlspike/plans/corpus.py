@@ -115,10 +115,10 @@ def merge_source_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.merged_counts(one(frames.sessions(spark, d)), one(frames.memories(spark, d)))
 
 
-@query(S.with_(S.FULL, "SELECT memory_type, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM defaulted WHERE type = 'memory' GROUP BY memory_type"))
+@query(S.with_(S.FULL, "SELECT memory_type, count(*) AS n, min(updated_at) AS oldest, max(updated_at) AS newest FROM defaulted WHERE type = 'memory' GROUP BY memory_type"))
 def group_by_category(spark: SparkSession, d: str) -> DataFrame:
     rows = search.with_memory_defaults(frames.memories(spark, d), frames.memory_ext(spark, d))
-    return rows.groupBy("memory_type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    return rows.groupBy("memory_type").agg(F.count("*").alias("n"), F.min("updated_at").alias("oldest"), F.max("updated_at").alias("newest"))
 
 
 @query("SELECT conv_id, count(*) AS message_count FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
@@ -128,7 +128,7 @@ def session_message_count(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- ranking and context
 
-_RANKED = f"SELECT *, CASE WHEN type = 'knowledge' THEN 0 ELSE 1 END AS first FROM defaulted WHERE status = 'active' AND {_match('title', 'content')} ORDER BY first, confidence DESC, updated_at DESC, id"
+_RANKED = f"SELECT *, CASE WHEN type = 'knowledge' THEN 0 ELSE 1 END AS first FROM defaulted WHERE status = 'active' AND {_match('title', 'content', 'metadata')} ORDER BY first, confidence DESC, updated_at DESC, id"
 
 
 @query(S.with_(S.FULL, f"SELECT id, type, confidence, updated_at FROM ({_RANKED} LIMIT 20)"))
@@ -137,12 +137,11 @@ def context_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LABEL = "CASE WHEN source_type = 'knowledge' THEN '📚 知识库' WHEN source_type IN ('hermes', 'hermes_session') THEN '🤖 Hermes' WHEN source_type IN ('openclaw', 'openclaw_session') THEN '🐾 OpenClaw' WHEN source_type IN ('codex', 'codex_session') THEN '💻 Codex' WHEN source_type IN ('gemini', 'gemini_session') THEN '✨ Gemini' WHEN source_type = 'agent' THEN '🤖 Agent' WHEN source_type = 'manual' THEN '📝 手动' ELSE '📄 其他' END"
-_MEMORY_RANKED = _RANKED.replace("WHERE status", "WHERE type = 'memory' AND status").replace(_match("title", "content"), _match("title", "content").replace("'the'", "'e'"))
 
 
-@query(S.with_(S.FULL, f"SELECT id, title, preview, type, label, confidence FROM (SELECT *, substring(content, 1, 500) AS preview, {_LABEL} AS label, row_number() OVER (PARTITION BY source_path ORDER BY first, confidence DESC, updated_at DESC, id) AS place FROM ({_MEMORY_RANKED} LIMIT 20)) WHERE coalesce(source_path, '') = '' OR place = 1 ORDER BY first, confidence DESC, updated_at DESC, id LIMIT 10"))
+@query(S.with_(S.FULL, f"SELECT id, title, preview, type, label, confidence FROM (SELECT *, substring(content, 1, 500) AS preview, {_LABEL} AS label, row_number() OVER (PARTITION BY source_path ORDER BY first, confidence DESC, updated_at DESC, id) AS place FROM ({_RANKED} LIMIT 20)) WHERE coalesce(source_path, '') = '' OR place = 1 ORDER BY first, confidence DESC, updated_at DESC, id LIMIT 10"))
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    return search.context_pack(frames.memories(spark, d), frames.memory_ext(spark, d), "E", 10)
+    return search.context_pack(*_both(spark, d), WORD, 10)
 
 
 @query(S.with_(S.FULL, f"SELECT CASE WHEN count(*) = 0 THEN 0.0 WHEN bool_or(type = 'knowledge') THEN 0.95 ELSE 0.8 END::DOUBLE AS confidence, count(*) AS n FROM ({_RANKED} LIMIT 10)"))
@@ -160,8 +159,7 @@ def tool_context(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 10")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = frames.table(spark, d, "embeddings")
-    wanted = rows.where("vec_id = 0").select("embedding").first()
-    return vector.top_k(rows, wanted.embedding, 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    return vector.top_k_of(rows, rows.where("vec_id = 0"), 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings AS a JOIN embeddings AS b ON b.vec_id = a.vec_id + 1")
@@ -173,7 +171,7 @@ def cosine_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- labels of texts and paths
 
-_TASK = "substring(text, 1, 400) || CASE doc_id % 6 WHEN 0 THEN ' Design' WHEN 1 THEN ' implement' WHEN 2 THEN ' 测试' WHEN 3 THEN ' deploy SMB' WHEN 4 THEN ' fix delete password' ELSE '' END"
+_TASK = "text || CASE doc_id % 6 WHEN 0 THEN ' Design' WHEN 1 THEN ' implement' WHEN 2 THEN ' 测试' WHEN 3 THEN ' deploy SMB' WHEN 4 THEN ' fix delete password' ELSE '' END"
 
 
 @query(f"SELECT doc_id, CASE WHEN contains(t, '设计') OR contains(t, 'design') THEN 'technical_design' WHEN contains(t, '实现') OR contains(t, 'implement') THEN 'implementation' WHEN contains(t, '测试') OR contains(t, 'test') THEN 'testing' WHEN contains(t, '部署') OR contains(t, 'deploy') THEN 'deployment' WHEN contains(t, '修复') OR contains(t, 'fix') OR contains(t, 'bug') THEN 'bugfix' ELSE 'general' END AS intent FROM (SELECT doc_id, lower({_TASK}) AS t FROM documents)")
@@ -183,7 +181,7 @@ def detect_intent(spark: SparkSession, d: str) -> DataFrame:
 
 def _tasks(spark: SparkSession, d: str) -> DataFrame:
     tail = F.expr("case doc_id % 6 when 0 then ' Design' when 1 then ' implement' when 2 then ' 测试' when 3 then ' deploy SMB' when 4 then ' fix delete password' else '' end")
-    return frames.table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 400), tail).alias("task"))
+    return frames.table(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("task"))
 
 
 @query(f"SELECT doc_id, concat_ws('|', CASE WHEN contains(t, 'SMB') OR contains(t, 'smb') THEN 'SMB文件监听可能漏报，必须使用定时扫描兜底' END, CASE WHEN contains(t, '删除') OR contains(t, 'delete') THEN '删除操作请注意数据备份' END, CASE WHEN contains(t, '密码') OR contains(t, 'password') OR contains(t, 'secret') THEN '涉及敏感信息，请使用 policy.check 工具检查' END) AS warnings FROM (SELECT doc_id, {_TASK} AS t FROM documents)")
@@ -282,7 +280,7 @@ def export_filter(spark: SparkSession, d: str) -> DataFrame:
     return exchange.export_filter(rows, ["codex", "manual"], ["semantic", "decision"], activity=False).select("id")
 
 
-@query(S.with_(S.FULL, "SELECT '# ' || memory_type || chr(10) || chr(10) || string_agg('## ' || title || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY title, id) AS section, memory_type FROM defaulted WHERE type = 'memory' GROUP BY memory_type"))
+@query(S.with_(S.FULL, "SELECT DISTINCT memory_type, 0 AS place, NULL::VARCHAR AS title, NULL::VARCHAR AS id, '# ' || memory_type AS block FROM defaulted WHERE type = 'memory' UNION ALL SELECT memory_type, 1, title, id, '## ' || title || chr(10) || chr(10) || content FROM defaulted WHERE type = 'memory'"))
 def export_markdown(spark: SparkSession, d: str) -> DataFrame:
     return exchange.markdown_sections(search.with_memory_defaults(frames.memories(spark, d), frames.memory_ext(spark, d)))
 
