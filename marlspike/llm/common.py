@@ -25,6 +25,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_ROOT:
         _OWN_ROOT.append(f"file://{tempfile.mkdtemp(prefix='marlspike-')}")
         atexit.register(shutil.rmtree, _OWN_ROOT[0].removeprefix("file://"), ignore_errors=True)
