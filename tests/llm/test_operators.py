@@ -384,7 +384,36 @@ def test_prior_estimate():
     rng = np.random.default_rng(0)
     positive = np.hstack([rng.normal(3, 1, (2000, 2)), np.ones((2000, 1))])
     other = np.hstack([np.where(rng.random((4000, 1)) < 0.7, rng.normal(3, 1, (4000, 2)), rng.normal(-3, 1, (4000, 2))), np.ones((4000, 1))])
-    assert abs(quality.estimate_prior(positive, other) - 0.7) < 0.07
+    assert abs(quality.estimate_prior(positive, lambda w: quality.sums(other, w)) - 0.7) < 0.07
+
+
+def test_unlabelled_sums(spark):
+    """What Spark sums up over the features of all texts, against numpy."""
+    texts = ["a b c", None, "", "Some more words, and some more!", "a b c", "| x | y |\n" * 50, "word " * 30_000]
+    table = quality._measured(docs_of(spark, texts).repartition(3))
+    x = np.array([quality.features((t or "").encode()) for t in texts])
+    rows = quality.Unlabelled(table)
+    n, total, squares = rows.moments()
+    assert n == len(texts) and np.allclose(total, x.sum(0)) and np.allclose(squares, (x * x).sum(0))
+    w = np.linspace(-1, 1, x.shape[1])
+    assert np.allclose(rows.sums(lambda x: x, w), quality.sums(x, w))
+    assert quality.Unlabelled(table.limit(0)).moments()[0] == 0
+
+
+def test_gradient_of_the_risk():
+    """The gradients that Newton's steps follow, against differences of the risk."""
+    rng = np.random.default_rng(1)
+    positive, other = rng.normal(1, 1, (50, 3)), rng.normal(0, 1, (80, 3))
+    seen = []
+    quality_newton, quality.newton = quality.newton, lambda objective, size: seen.append(objective)
+    try:
+        quality.least_risk(positive, lambda w: quality.sums(other, w), 0.6, 1e-3)
+    finally:
+        quality.newton = quality_newton
+    for w in (np.zeros(3), rng.normal(0, 1, 3), np.full(3, 2.0)):
+        value, gradient, second = seen[0](w)
+        moved = [(seen[0](w + d)[0] - seen[0](w - d)[0]) / 2e-6 for d in np.eye(3) * 1e-6]
+        assert np.allclose(moved, gradient, atol=1e-5) and np.linalg.eigvalsh(second).min() > 0
 
 
 def test_classifiers_without_labels(spark):
