@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, brown, decontamination, lines, minhash, packing, pii, quality, toxicity, vectors
-from .common import table
+from . import archives, bpe, brown, centroids, decontamination, lexical, lines, minhash, packing, pii, quality, toxicity, vectors
+from .common import Scratch, table
 
 
 def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,27 @@ def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.sort_means(table(spark, sf_dir, "embeddings")))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "lexical")
+    index = lexical.build(table(spark, sf_dir, "documents"), scratch)
+    found = lexical.search(index, table(spark, sf_dir, "benchmark"), scratch)
+    scratch.drop(index.blocks)
+    return found
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), *how), *how)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), lambda x: x <> '') AS ws FROM documents
@@ -165,5 +186,57 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, ve
 FROM embeddings JOIN m ON m.id = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
-QUERIES = {"op1_vectors": op1_vectors, "op7_archives": op7_archives, "op3_lines": op3_lines, "op2_minhash": op2_minhash, "op4_pii": op4_pii, "op5_quality": op5_quality, "op9_toxicity": op9_toxicity, "op10_brown": op10_brown, "op6_decontamination": op6_decontamination, "op8_packing": op8_packing}
-ORACLE_SQL = {"op1_vectors": OP1_SQL, "op7_archives": OP7_SQL, "op3_lines": OP3_SQL, "op2_minhash": OP2_SQL, "op6_decontamination": OP6_SQL}
+_NEAREST = """a{i} AS MATERIALIZED (
+  SELECT rid, vec_id, e.v AS v, min({{'d': dist, 'c': c}}) AS best
+  FROM (SELECT rid, vec_id, k.v AS v, c, CAST(list_inner_product(k.v, k.v) + list_inner_product(m.v, m.v) - 2 * list_inner_product(k.v, m.v) AS BIGINT) AS dist FROM k, c{i} AS m) AS e
+  GROUP BY rid, vec_id, e.v
+)"""
+_MOVED = """c{j} AS MATERIALIZED (
+  SELECT c, coalesce(any_value(mean), any_value(old.v)) AS v FROM c{i} AS old LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n + n) % n)) // n AS DOUBLE) ORDER BY place) AS mean
+    FROM (SELECT best.c AS c, place, sum(CAST(x AS BIGINT)) AS s, count(*) AS n FROM (SELECT best, unnest(v) AS x, unnest(range(1, 65)) AS place FROM a{i}) GROUP BY best.c, place) GROUP BY c
+  ) USING (c) GROUP BY c
+)"""
+OP11_SQL = (
+    """
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, v FROM k WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 40)
+), """
+    + ", ".join(f"{_NEAREST.format(i=i)}, {_MOVED.format(i=i, j=i + 1)}" for i in range(5))
+    + f", {_NEAREST.format(i=5)}"
+    + """, s AS (
+  SELECT best.c AS c, CAST(sum(best.d) AS BIGINT) AS cluster_inertia FROM a5 GROUP BY best.c
+)
+SELECT vec_id, best.c AS cluster, best.d AS distance, cluster_inertia, (SELECT CAST(sum(best.d) AS BIGINT) FROM a5) AS inertia,
+       sha256(array_to_string(list_transform(c5.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a5 JOIN s ON s.c = best.c JOIN c5 ON c5.c = best.c
+"""
+)
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT rid, doc_id, unnest(ws) AS term, len(ws) AS n FROM (
+    SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), lambda x: x <> '') AS ws FROM documents
+  )
+), f AS (
+  SELECT rid, doc_id, term, any_value(n) AS n, count(*) AS tf FROM t GROUP BY rid, doc_id, term
+), s AS (
+  SELECT count(DISTINCT rid) AS n_docs, count(*) AS total FROM t
+), q AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), lambda x: x <> '')) AS term FROM benchmark
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM f WHERE term IN (SELECT term FROM q) GROUP BY term), s
+), p AS (
+  SELECT item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY item_id, rid, doc_id
+), r AS (
+  SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM p WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+QUERIES = {"op1_vectors": op1_vectors, "op7_archives": op7_archives, "op3_lines": op3_lines, "op2_minhash": op2_minhash, "op4_pii": op4_pii, "op5_quality": op5_quality, "op9_toxicity": op9_toxicity, "op10_brown": op10_brown, "op6_decontamination": op6_decontamination, "op8_packing": op8_packing, "op11_centroids": op11_centroids, "op12_lexical": op12_lexical, "op13_bpe": op13_bpe}
+ORACLE_SQL = {"op1_vectors": OP1_SQL, "op7_archives": OP7_SQL, "op3_lines": OP3_SQL, "op2_minhash": OP2_SQL, "op6_decontamination": OP6_SQL, "op11_centroids": OP11_SQL, "op12_lexical": OP12_SQL}
