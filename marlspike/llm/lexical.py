@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, broadcast_if_small, schema
+from .common import Scratch, schema, slices
 from .decontamination import FOLDED
 
 K = 10
@@ -46,11 +46,12 @@ BLOCK_BYTES = 1 << 20
 WINDOW = 256
 SHARD_ITEMS = 4096
 SHARD_BYTES = 16 << 20
-MOST_SHIPPED = 500_000
 
-#: ends: where each term's documents end in docs (places in ids) and in counts or impacts.
-COUNTED = "block long, n_docs long, n_terms long, ids array<long>, lengths array<long>, terms array<string>, ends array<int>, docs array<int>, counts array<int>"
-INDEX = "block long, ids array<long>, terms array<string>, top array<long>, ends array<int>, docs array<int>, impacts array<int>"
+#: Numbers and terms of a block travel as bytes: ids apart, they are of no use to Spark. term_ends: where each term ends in
+#: terms; ends: where its documents end in docs (places in ids) and in counts or impacts.
+COUNTED = "block long, n_docs long, n_terms long, ids array<long>, lengths binary, terms binary, term_ends binary, ends binary, docs binary, counts binary"
+INDEX = "block long, ids array<long>, terms binary, term_ends binary, top binary, ends binary, docs binary, impacts binary"
+PLACE, COUNT, LENGTH = np.dtype("<u2"), np.dtype("<i4"), np.dtype("<i8")
 BOUNDS = "item int, block long, bound long"
 SCORES = "item int, doc_id long, score long"
 #: In place of a null id in comparisons.
@@ -88,11 +89,11 @@ def _block(number: int, ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
     by_term = np.argsort(place, kind="stable")
     lengths = [len(w) for w in texts]
     row = {
-        "block": number, "n_docs": sum(map(bool, lengths)), "n_terms": sum(lengths), "ids": ids, "lengths": lengths, "terms": [t.decode() for t in terms],
-        "ends": np.cumsum(np.bincount(place, minlength=len(terms))), "docs": np.array(docs, np.int32)[by_term], "counts": np.array(counts, np.int32)[by_term],
+        "block": number, "n_docs": sum(map(bool, lengths)), "n_terms": sum(lengths), "ids": ids, "lengths": np.array(lengths, LENGTH), "terms": b"".join(terms), "term_ends": np.cumsum([len(t) for t in terms], dtype=COUNT),
+        "ends": np.cumsum(np.bincount(place, minlength=len(terms)), dtype=COUNT), "docs": np.array(docs, PLACE)[by_term], "counts": np.array(counts, COUNT)[by_term],
     }
-    kinds = {"block": pa.int64(), "n_docs": pa.int64(), "n_terms": pa.int64(), "ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "terms": pa.list_(pa.string())}
-    return pa.RecordBatch.from_pydict({c: pa.array([v], kinds.get(c, pa.list_(pa.int32()))) for c, v in row.items()})
+    kinds = {"block": pa.int64(), "n_docs": pa.int64(), "n_terms": pa.int64(), "ids": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_pydict({c: pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], kinds.get(c, pa.binary())) for c, v in row.items()})
 
 
 def _counted(docs: DataFrame, block: int) -> DataFrame:
@@ -118,27 +119,23 @@ def _counted(docs: DataFrame, block: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema(COUNTED))
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a column of arrays, and where each row's begin and end."""
-    offsets = column.offsets.to_numpy()
-    return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+def _numbers(batch: pa.RecordBatch, column: str, row: int, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[row].as_buffer(), kind)
 
 
 def _with_impacts(blocks: DataFrame, documents: int, total: int) -> DataFrame:
     names = [f.name for f in schema(INDEX).fields]
 
     def run(batches):
-        for batch in batches:
-            ends, at_end = _flat(batch.column("ends"))
-            docs, at_doc = _flat(batch.column("docs"))
-            counts, lengths, at_length = _flat(batch.column("counts"))[0], *_flat(batch.column("lengths"))
-            rows = np.repeat(at_length[:-1], np.diff(at_doc)) + docs
-            impacts = impact(counts.astype(np.int64), lengths[rows], documents, total)
-            begins = np.concatenate([[0], ends])[: len(ends)]
-            begins[at_end[:-1][np.diff(at_end) > 0]] = 0
-            begins = begins + np.repeat(at_doc[:-1], np.diff(at_end))
-            top = np.maximum.reduceat(impacts, begins) if len(begins) else impacts
-            made = {"top": pa.ListArray.from_arrays(pa.array(at_end, pa.int32()), pa.array(top, pa.int64())), "impacts": pa.ListArray.from_arrays(pa.array(at_doc, pa.int32()), pa.array(impacts, pa.int32()))}
+        for batch in slices(batches, WINDOW):
+            tops, found = [], []
+            for row in range(batch.num_rows):
+                ends, docs = _numbers(batch, "ends", row, COUNT), _numbers(batch, "docs", row, PLACE)
+                counts, lengths = _numbers(batch, "counts", row, COUNT), _numbers(batch, "lengths", row, LENGTH)
+                impacts = impact(counts.astype(np.int64), lengths[docs], documents, total)
+                tops.append((np.maximum.reduceat(impacts, np.concatenate([[0], ends[:-1]])) if len(ends) else impacts).astype(COUNT).tobytes())
+                found.append(impacts.astype(COUNT).tobytes())
+            made = {"top": pa.array(tops, pa.binary()), "impacts": pa.array(found, pa.binary())}
             yield pa.RecordBatch.from_pydict({c: made[c] if c in made else batch.column(c) for c in names})
 
     return blocks.mapInArrow(run, schema(INDEX))
@@ -166,11 +163,33 @@ def item_terms(items: DataFrame) -> DataFrame:
     return found.select("item_id", F.explode("terms").alias("term")).distinct()
 
 
-def _frequencies(index: Index, terms: DataFrame) -> DataFrame:
-    """term and how many documents hold it, of the terms that occur."""
-    held = F.transform("ends", lambda e, i: e - F.when(i > 0, F.get("ends", i - 1)).otherwise(0))
-    each = index.blocks.select(F.explode(F.arrays_zip("terms", held.alias("held"))).alias("t")).select(F.col("t.terms").alias("term"), "t.held")
-    return each.join(terms, "term").groupBy("term").agg(F.sum("held").alias("holding"))
+def _frequencies(blocks: DataFrame, terms: list[str]) -> dict[str, int]:
+    """How many documents hold each of the terms of a shard, for those that occur: a count per term and task, then their sums."""
+    shared = blocks.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        wanted = pa.array([t.encode() for t in shared.value], pa.binary())
+        held = np.zeros(len(wanted), np.int64)
+        for batch in slices(batches, WINDOW):
+            found, at = _terms(batch, wanted)
+            ends = np.concatenate([np.diff(_numbers(batch, "ends", r, COUNT), prepend=0) for r in range(batch.num_rows)])
+            np.add.at(held, found[found >= 0], ends[found >= 0])
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[some], pa.int64())], names=["term", "held"])
+
+    found = blocks.select("terms", "term_ends", "ends").mapInArrow(run, schema("term long, held long"))
+    return {terms[r.term]: r.held for r in found.groupBy("term").agg(F.sum("held").alias("held")).collect()}
+
+
+def _terms(batch: pa.RecordBatch, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For all terms of some blocks their place in ``wanted`` or -1, and where each block's terms begin and end."""
+    ends = [_numbers(batch, "term_ends", r, COUNT) for r in range(batch.num_rows)]
+    data = b"".join(batch.column("terms").to_pylist())
+    sizes = np.concatenate([np.diff(e, prepend=0) for e in ends]) if ends else np.zeros(0, COUNT)
+    offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64).tobytes())
+    terms = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, offsets, pa.py_buffer(data)])
+    found = pc.index_in(terms, value_set=wanted.cast(pa.large_binary())).fill_null(-1).to_numpy(zero_copy_only=False)
+    return found, np.cumsum([0, *map(len, ends)])
 
 
 class Query:
@@ -206,17 +225,15 @@ class Span:
 
     def __init__(self, batch: pa.RecordBatch, query: Query, wanted: pa.Array):
         self.batch, self.query = batch, query
-        terms = batch.column("terms")
-        at = terms.offsets.to_numpy()
-        found = pc.index_in(terms.flatten(), value_set=wanted).fill_null(-1).to_numpy(zero_copy_only=False)
-        self.place = np.flatnonzero(found >= 0)  # among all terms of the window
-        self.row = np.searchsorted(at - at[0], self.place, side="right") - 1
-        self.local = self.place - (at - at[0])[self.row]
+        found, at = _terms(batch, wanted)
+        self.place = np.flatnonzero(found >= 0)  # among all terms of the blocks
+        self.row = np.searchsorted(at, self.place, side="right") - 1
+        self.local = self.place - at[self.row]
         self.which, self.item, self.weight = query.entries(found[self.place])
 
     def bounds(self) -> np.ndarray:
         """Of each block (rows) for each item (columns)."""
-        top = _flat(self.batch.column("top"))[0][self.place]
+        top = np.concatenate([_numbers(self.batch, "top", r, COUNT) for r in range(self.batch.num_rows)])[self.place].astype(np.int64)
         out = np.zeros(self.batch.num_rows * self.query.items, np.int64)
         np.add.at(out, self.row[self.which] * self.query.items + self.item, self.weight * top[self.which])
         return out.reshape(self.batch.num_rows, -1)
@@ -229,20 +246,19 @@ class Span:
         column[items] = np.arange(len(items))
         mine = column[self.item[lo_entry:hi_entry]] >= 0
         which, item, weight = (x[lo_entry:hi_entry][mine] for x in (self.which, self.item, self.weight))
-        ends, docs, impacts = (self.batch.column(c)[row].values.to_numpy() for c in ("ends", "docs", "impacts"))
+        ends, docs, impacts = (_numbers(self.batch, c, row, k) for c, k in (("ends", COUNT), ("docs", PLACE), ("impacts", COUNT)))
         local = self.local[which]
         entry, at = _ranges(np.where(local > 0, ends[local - 1], 0), ends[local])
         size = len(self.batch.column("ids")[row])
         out = np.zeros(size * len(items), np.int64)
-        np.add.at(out, docs[at].astype(np.int64) * len(items) + column[item[entry]], weight[entry] * impacts[at])
+        np.add.at(out, docs[at].astype(np.int64) * len(items) + column[item[entry]], weight[entry] * impacts[at].astype(np.int64))
         return out.reshape(size, -1)
 
 
 def _windows(batches, query: Query, most: int):
-    wanted = pa.array(query.terms, pa.string())
-    for batch in batches:
-        for at in range(0, batch.num_rows, most):
-            yield Span(batch.slice(at, most), query, wanted)
+    wanted = pa.array([t.encode() for t in query.terms], pa.binary())
+    for batch in slices(batches, most):
+        yield Span(batch, query, wanted)
 
 
 def best_blocks(blocks: DataFrame, query, first: int) -> DataFrame:
@@ -260,7 +276,7 @@ def best_blocks(blocks: DataFrame, query, first: int) -> DataFrame:
         at, item = np.nonzero(best)
         yield pa.RecordBatch.from_arrays([pa.array(item, pa.int32()), pa.array(names[at, item], pa.int64()), pa.array(best[at, item], pa.int64())], names=["item", "block", "bound"])
 
-    found = blocks.select("block", "terms", "top").mapInArrow(run, schema(BOUNDS))
+    found = blocks.select("block", "terms", "term_ends", "top").mapInArrow(run, schema(BOUNDS))
     order = Window.partitionBy("item").orderBy(F.desc("bound"), "block")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= first).drop("place")
 
@@ -325,14 +341,14 @@ def search(index: Index, items: DataFrame, scratch: Scratch, k: int = K, first:
     spark = items.sparkSession
     kind = T.StructType([T.StructField("item", T.IntegerType()), items.schema["item_id"]])
     terms = scratch.keep(item_terms(items), "items")
-    held = broadcast_if_small(scratch.keep(terms.select("term").distinct(), "terms"), MOST_SHIPPED)
-    weighted = scratch.keep(terms.join(_frequencies(index, held), "term"), "weighted")
-    parts = _shards(weighted, shard_items, shard_bytes)
+    parts = _shards(terms, shard_items, shard_bytes)
     found: list[DataFrame] = []
     for part in range(parts):
-        weights: dict = {}
-        for r in weighted.where(_shard(parts) == part).collect():
-            weights.setdefault(r.item_id, {})[r.term] = weight(index.documents, r.holding)
+        held: dict = {}
+        for r in terms.where(_shard(parts) == part).collect():
+            held.setdefault(r.item_id, []).append(r.term)
+        holding = _frequencies(index.blocks, sorted({t for ts in held.values() for t in ts}))
+        weights = {item: {t: weight(index.documents, holding[t]) for t in ts if t in holding} for item, ts in held.items()}
         query = spark.sparkContext.broadcast(Query(list(weights.values()), k))
         chosen = best_blocks(index.blocks, query, first).select("block").distinct()
         start = ranked(scored(index.blocks.join(F.broadcast(chosen), "block"), query, np.zeros(len(weights), np.int64)), k)
