@@ -24,20 +24,12 @@ def create_memories(requests: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def patch(old: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
-    """Old rows with the values that a patch gives; updated_at moves only if it gives one. Patches of unknown ids do nothing."""
-    values = [c for c in patches.columns if c != "id"]
-    given = F.greatest(*(F.col(f"p.{c}").isNotNull() for c in values), F.lit(False))
-    rows = old.alias("o").join(patches.alias("p"), F.col("o.id") == F.col("p.id"), "left")
-    taken = {c: F.coalesce(f"p.{c}", f"o.{c}") for c in values} | {"updated_at": F.when(given, now).otherwise(F.col("o.updated_at"))}
-    return rows.select(*(taken.get(c, F.col(f"o.{c}")).alias(c) for c in old.columns))
-
-
-def delete(doc: DataFrame, knowledge_ext: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
-    """Marks rows as deleted; the versions of deleted knowledge aren't current any more."""
+def delete(doc: DataFrame, knowledge_ext: DataFrame, condition: Column, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Marks rows as deleted, whatever their status was, with the moment; the versions of deleted knowledge aren't current any more."""
+    condition = F.coalesce(condition, F.lit(False))
     gone = doc.where(condition & (F.col("type") == "knowledge")).select("id").distinct().withColumn("gone", F.lit(True))
     after = knowledge_ext.join(gone, "id", "left").withColumn("is_current", F.col("is_current") & F.col("gone").isNull()).drop("gone")
-    return doc.withColumn("status", F.when(condition, "deleted").otherwise(F.col("status"))), after
+    return doc.withColumns({"status": F.when(condition, "deleted").otherwise(F.col("status")), "updated_at": F.when(condition, now).otherwise(F.col("updated_at"))}), after
 
 
 def delete_under(doc: DataFrame, knowledge_ext: DataFrame, roots: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -46,12 +38,44 @@ def delete_under(doc: DataFrame, knowledge_ext: DataFrame, roots: list[str]) ->
     return doc.where(~under), knowledge_ext.join(doc.where(under).select("id").distinct(), "id", "left_anti")
 
 
-def clear(doc: DataFrame, category: str) -> DataFrame:
-    """Empties one category: ``deleted`` takes out what was marked, every other marks the rows of that type and resets their tags."""
-    if category == "deleted":
-        return doc.where("status IS DISTINCT FROM 'deleted'")
-    mine = F.col("type") == category
-    return doc.withColumn("status", F.when(mine, "deleted").otherwise(F.col("status"))).withColumn("metadata", F.when(mine, "[]").otherwise(F.col("metadata")))
+#: What each category of a clearing takes out: rows of doc by type, and whole tables.
+CLEARED = {
+    "memory": ("memory", ("memory_ext",)), "sessions": ("session", ("session_ext",)), "knowledge": ("knowledge", ("knowledge_ext", "config", "manifest")),
+    "artifacts": (None, ("artifact",)), "documents": (None, ("document",)), "configs": (None, ("config",)),
+}
+UNTAGGED = {"memory_metadata": "memory", "session_metadata": "session", "knowledge_metadata": "knowledge", "embeddings": None}
+CONFIRMED = "CONFIRM_CLEAR"
+
+
+def clear(tables: dict[str, DataFrame], categories: set[str], confirmation: str | None) -> dict[str, DataFrame]:
+    """The tables that change when categories are cleared, with what is left of them.
+
+    ``deleted`` takes out what was marked, with its rows in the other tables, and nothing else is cleared with it. Types
+    go with their extension tables, metadata categories leave the rows and set their metadata to null, ``all`` empties
+    every table. Nothing is cleared without the confirmation.
+    """
+    if confirmation != CONFIRMED:
+        raise ValueError(f"clearing needs the confirmation {CONFIRMED}")
+    unknown = categories - {"deleted", "all", *CLEARED, *UNTAGGED}
+    if unknown or not categories:
+        raise ValueError(f"no such categories: {', '.join(sorted(unknown))}" if unknown else "no category to clear")
+    doc = tables["doc"]
+    if "deleted" in categories:
+        gone = doc.where("status = 'deleted'").select("id").distinct()
+        exts = {name: tables[name].join(gone, "id", "left_anti") for name in ("memory_ext", "knowledge_ext", "session_ext") if name in tables}
+        return {"doc": doc.where("status IS DISTINCT FROM 'deleted'")} | exts
+    if "all" in categories:
+        return {name: rows.limit(0) for name, rows in tables.items()}
+    out: dict[str, DataFrame] = {}
+    untagged = [kind for name, kind in UNTAGGED.items() if name in categories]
+    if untagged:
+        mine = F.lit(True) if None in untagged else F.col("type").isin(untagged)
+        out["doc"] = doc.withColumn("metadata", F.when(~mine, F.col("metadata")))
+    for kind, names in (CLEARED[c] for c in sorted(categories & set(CLEARED))):
+        if kind:
+            out["doc"] = out.get("doc", doc).where(F.col("type").isNull() | (F.col("type") != kind))
+        out |= {name: tables[name].limit(0) for name in names if name in tables}
+    return out
 
 
 def devices(events: DataFrame, now: Column, minutes: int = 5) -> DataFrame:
@@ -128,15 +152,25 @@ def all_paths(configs: DataFrame) -> DataFrame:
     return configs.select("id", F.posexplode("paths").alias("place", "path"))
 
 
+def _versioned(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Old rows, and new ones beside them: an id that is there becomes ``id-vN``, one more than the highest version of it that there is."""
+    base, number = F.regexp_replace("id", r"-v[0-9]+$", ""), F.coalesce(F.try_to_number(F.regexp_extract("id", r"-v([0-9]{1,9})$", 1), F.lit("999999999")).cast("long"), F.lit(1))
+    highest = old.groupBy(base.alias("base")).agg(F.max(number).alias("highest"))
+    known = old.select("id").distinct().withColumn("known", F.lit(True))
+    rows = new.withColumn("base", base).join(highest, "base", "left").join(known, "id", "left")
+    again = rows.withColumn("nth", F.row_number().over(Window.partitionBy("base", "known").orderBy("id")))
+    name = F.when(F.col("known"), F.concat("base", F.lit("-v"), (F.col("highest") + F.col("nth")).cast("string"))).otherwise(F.col("id"))
+    return old.unionByName(again.select(name.alias("id"), "title", "content"))
+
+
 def import_rows(old: DataFrame, rows: DataFrame, strategy: str, order: str = "place") -> DataFrame:
     """id, title, content after an import: skip keeps old rows, overwrite replaces them, merge appends contents, version adds rows with a new id."""
-    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(order))).where("nth = 1")
-    new = first.select("id", F.col("title").alias("new_title"), F.col("content").alias("new_content"), F.lit(True).alias("there"))
-    both = old.select("id", "title", "content", F.lit(True).alias("known")).join(new, "id", "full_outer")
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(order))).where("nth = 1").select("id", "title", "content")
+    old = old.select("id", "title", "content")
     if strategy == "version":
-        again = F.col("known") & F.col("there")
-        rows_ = F.filter(F.array(F.when(F.col("known"), F.struct("id", "title", "content")), F.when(F.col("there"), F.struct(F.when(again, F.concat("id", F.lit("-v2"))).otherwise(F.col("id")).alias("id"), F.col("new_title").alias("title"), F.col("new_content").alias("content")))), lambda x: x.isNotNull())
-        return both.select(F.explode(rows_).alias("row")).select("row.*")
+        return _versioned(old, first)
+    new = first.select("id", F.col("title").alias("new_title"), F.col("content").alias("new_content"), F.lit(True).alias("there"))
+    both = old.withColumn("known", F.lit(True)).join(new, "id", "full_outer")
     old_first = {"skip": True, "overwrite": False, "merge": True}[strategy]
     pick = lambda c: F.when(F.col("known" if old_first else "there"), F.col(c if old_first else f"new_{c}")).otherwise(F.col(f"new_{c}" if old_first else c))
     content = F.concat_ws("\n\n", "content", "new_content") if strategy == "merge" else pick("content")

@@ -69,6 +69,11 @@ def watched(path: Column, include: list[str], exclude: list[str], roots: list[st
     return out & wanted
 
 
+def watch_changes(before: Column, after: Column) -> tuple[Column, Column]:
+    """The paths to watch from now on, and those to watch no more."""
+    return F.array_sort(F.array_except(after, before)), F.array_sort(F.array_except(before, after))
+
+
 def owners(paths: DataFrame, configs: DataFrame, most_configs: int = 10_000) -> DataFrame:
     """path to the first config (by place) whose root begins it. Configs are few; beyond most_configs they are matched by each of the path's prefixes instead."""
     if configs.limit(most_configs + 1).count() <= most_configs:

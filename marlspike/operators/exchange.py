@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions.text import trim
 
-EXPORT = "struct<schema_version:string,agent_id:string,memories:array<struct<id:string,title:string,content:string,memory_type:string,scope:string,visibility:string,confidence:double,tags:array<string>>>>"
+EXPORT = "struct<schema_version:string,agent_id:string,memories:array<struct<id:string,title:string,content:string,memory_type:string,scope:string,visibility:string,confidence:double,tags:array<string>,source:struct<source_type:string>,metadata:struct<confidence:double,visibility:string>>>>"
 
 
 def quoted(text: Column) -> Column:
@@ -28,12 +30,64 @@ def csv_line(memories: DataFrame) -> DataFrame:
     return memories.select("id", F.concat_ws(",", *map(quoted_if_needed, fields)).alias("line"))
 
 
+SCHEMA_VERSION = "2.0"
+
+
+def export_selection(memories: DataFrame, status: str = "active", ids: list[str] | None = None, kind: str | None = None) -> DataFrame:
+    """The rows that an export holds: of a status, and of the ids if there are any, else of a type if one is given."""
+    rows = memories.where(F.col("status") == status)
+    if ids:
+        return rows.where(F.col("id").isin(ids))
+    return rows.where(F.col("type") == kind) if kind else rows
+
+
+def export_lines(memories: DataFrame) -> DataFrame:
+    """id, line and updated_at: every text field in quotes, the confidence with two decimals."""
+    fields = ("id", "title", "content", "memory_type", "scope", "source_type", "visibility", "status")
+    return memories.select("id", F.concat_ws(",", *(quoted(F.col(c)) for c in fields), F.format_string("%.2f", "confidence")).alias("line"), "updated_at")
+
+
 def json_document(memories: DataFrame) -> DataFrame:
     """One JSON object per memory, as in an export's list."""
     body = F.struct("id", "title", "content", "memory_type", "scope", "visibility", "confidence", parse.tags(F.col("metadata")).alias("tags"))
     return memories.select("id", F.to_json(body).alias("json"))
 
 
+def export_items(memories: DataFrame) -> DataFrame:
+    """One JSON object per memory with nested source and metadata, as export files hold them."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    source = F.struct(F.col("source_type"), F.col("source_path").alias("file_path"))
+    about = F.struct("confidence", "visibility", "status")
+    body = F.struct("id", "title", "content", "memory_type", "scope", parse.tags(F.col("metadata")).alias("tags"), source.alias("source"), about.alias("metadata"), text("updated_at").alias("updated_at"))
+    return memories.select("id", F.to_json(body).alias("json"))
+
+
+def write_export(items: DataFrame, path: str, export_id: str, exported_at: str, agent_id: str = "hub") -> dict:
+    """Writes an export as parts of JSON lines and, last, its outer document; returns that document.
+
+    The parts are written where the rows are; their number is observed in the same pass and put into the outer document
+    (``path/export.json``), which names the folder of parts. An export without it is one that failed.
+    """
+    seen = Observation("export")
+    items.observe(seen, F.count("*").alias("total_count")).select(F.col("json").alias("value")).write.text(f"{path}/memories")
+    outer = {"schema_version": SCHEMA_VERSION, "export_id": export_id, "exported_at": exported_at, "workspace_id": "default", "agent_id": agent_id, "total_count": seen.get["total_count"], "memories": "memories"}
+    items.sparkSession.createDataFrame([(json.dumps(outer),)], "value string").coalesce(1).write.text(f"{path}/export.json")
+    return outer
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """The memories of a written export, as imported() gives them; fails if there are not as many as the outer document says."""
+    outer = json.loads(spark.read.text(f"{path}/export.json").first().value)
+    if outer["schema_version"] != SCHEMA_VERSION:
+        raise ValueError(f"version {outer['schema_version']} of exports isn't known")
+    lines = spark.read.text(f"{path}/{outer['memories']}")
+    if (found := lines.count()) != outer["total_count"]:
+        raise ValueError(f"the export holds {found} memories of {outer['total_count']}")
+    agent = F.lit(json.dumps(outer["agent_id"]))
+    flat = F.concat(F.lit('{"schema_version":"2.0","agent_id":'), agent, F.lit(',"memories":['), "value", F.lit("]}"))
+    return imported(lines.select(flat.alias("json")))
+
+
 def markdown_sections(memories: DataFrame) -> DataFrame:
     """The blocks of a Markdown export, a row each: per memory type a heading (place 0), then its memories (place 1), to be read by type, place, title and id.
 
@@ -52,7 +106,7 @@ def imported(exports: DataFrame) -> DataFrame:
     return found.select(
         "m.id", F.coalesce("m.title", F.substring("m.content", 1, 50)).alias("title"), F.coalesce("m.content", F.lit("")).alias("content"),
         parse.parse_memory_type(F.coalesce("m.memory_type", F.lit(""))).alias("memory_type"), F.coalesce("m.scope", F.lit("project")).alias("scope"),
-        F.coalesce("m.visibility", F.lit("private")).alias("visibility"), F.coalesce("m.confidence", F.lit(0.8)).alias("confidence"), F.lit("manual").alias("source_type"),
+        F.coalesce("m.visibility", "m.metadata.visibility", F.lit("private")).alias("visibility"), F.coalesce("m.confidence", "m.metadata.confidence", F.lit(0.8)).alias("confidence"), F.lit("manual").alias("source_type"),
     )
 
 

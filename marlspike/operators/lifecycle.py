@@ -23,23 +23,25 @@ def set_status(doc: DataFrame, condition: Column, status: str) -> DataFrame:
     return doc.withColumn("status", F.when(condition, status).otherwise(F.col("status")))
 
 
-def batch_delete(doc: DataFrame, ids: list[str] | None = None, source_type: str | None = None, all_of: str | None = None) -> DataFrame:
-    """Marks rows as deleted by the first criterion that is given, whatever their status was."""
+def deletion(ids: list[str] | None = None, source_type: str | None = None, all_of: str | None = None) -> Column:
+    """The rows that a deletion means, by the first criterion that is given: ids, the memories of a source, or all knowledge or memories."""
     if ids:
-        condition = F.col("id").isin(ids)
-    elif source_type:
-        condition = (F.col("source_type") == source_type) & (F.col("type") != "knowledge")
-    else:
-        condition = F.col("type") == (all_of or "")
-    return set_status(doc, condition, "deleted")
+        return F.col("id").isin(ids)
+    if source_type:
+        return F.coalesce((F.col("source_type") == source_type) & (F.col("type") == "memory"), F.lit(False))
+    if all_of in ("knowledge", "memory"):
+        return F.col("type") == all_of
+    raise ValueError("no criterion for a deletion")
 
 
-def restore_deleted(doc: DataFrame) -> DataFrame:
-    return set_status(doc, F.col("status") == "deleted", "active")
+def batch_delete(doc: DataFrame, now: Column, ids: list[str] | None = None, source_type: str | None = None, all_of: str | None = None) -> DataFrame:
+    """Marks rows as deleted, with the moment, whatever their status was."""
+    condition = deletion(ids, source_type, all_of)
+    return set_status(doc, condition, "deleted").withColumn("updated_at", F.when(condition, now).otherwise(F.col("updated_at")))
 
 
-def clear_metadata(doc: DataFrame, kind: str) -> DataFrame:
-    return doc.withColumn("metadata", F.when(F.col("type") == kind, "[]").otherwise(F.col("metadata")))
+def restore_deleted(doc: DataFrame) -> DataFrame:
+    return set_status(doc, F.col("status") == "deleted", "active")
 
 
 def candidate_queue(candidates: DataFrame, limit: int = 50) -> DataFrame:
@@ -62,6 +64,35 @@ def review(candidates: DataFrame, approved: Column, rejected: Column) -> DataFra
     return candidates.withColumn("review_status", F.when(waiting & approved, "approved").when(waiting & rejected, "rejected").otherwise(F.col("review_status")))
 
 
+def unsynced(pushed: DataFrame, known: DataFrame) -> DataFrame:
+    """The pushed rows whose id isn't known yet."""
+    return pushed.join(known.select("id"), "id", "left_anti")
+
+
+def pulled(rows: DataFrame, since: Column, limit: int = 100) -> DataFrame:
+    """The newest rows after a moment, with has_more: whether there are others than these."""
+    newer = rows.where(F.col("updated_at") > since)
+    more = newer.agg((F.count("*") > limit).alias("has_more"))
+    return newer.orderBy(F.desc("updated_at"), "id").limit(limit).join(F.broadcast(more))
+
+
+#: Days that memories of a scope live; others live as long as those of a project, global ones for ever.
+DAYS = {"session": 7, "project": 90}
+
+
+def expires_at(scope: Column, at: Column) -> Column:
+    days = F.when(scope == "session", DAYS["session"]).when(scope != "global", DAYS["project"])
+    return F.when(days.isNotNull(), F.timestamp_add("DAY", days, at))
+
+
+def relabelled(sessions: DataFrame) -> DataFrame:
+    """Rows whose titles show that they are sessions get the kind of a session as their source."""
+    bare = F.regexp_replace("source_type", "_session$", "")
+    dated = (bare == "hermes") & (F.col("title").rlike("^20[0-9][0-9]") | F.col("source_type").endswith("_session"))
+    named = bare.isin("gemini", "codex", "openclaw") & F.lower("title").contains("session")
+    return sessions.withColumn("source_type", F.when(dated | named, F.concat(bare, F.lit("_session"))).otherwise(F.col("source_type")))
+
+
 def last_seen(events: DataFrame, key: Column, at: Column) -> DataFrame:
     return events.groupBy(key.alias("agent")).agg(F.max(at).alias("last_seen"))
 
@@ -71,6 +102,6 @@ def offline(seen: DataFrame, now: Column, minutes: int = 5) -> DataFrame:
     return seen.withColumn("offline", F.timestamp_diff("SECOND", F.col("last_seen"), now) > 60 * minutes)
 
 
-def merge_settings(current: dict[str, str], backup: dict[str, str]) -> dict[str, str]:
-    """Adds keys that are missing; what is there stays."""
-    return backup | current
+def merge_settings(current: Column, backup: Column) -> Column:
+    """A map with the backup's keys that are missing added; what is there stays."""
+    return F.map_concat(current, F.map_filter(backup, lambda k, _: ~F.map_contains_key(current, k)))

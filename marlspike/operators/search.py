@@ -55,6 +55,26 @@ def search_filter(source_types: str | None) -> Column:
     return reduce(lambda a, b: a | b, map(one, wanted))
 
 
+def filters(
+    least_confidence: float | None = None, since: Column | None = None, until: Column | None = None, tags: list[str] | None = None, source_types: list[str] | None = None, types: list[str] | None = None
+) -> Column:
+    """What a request for context may ask of a row: all that is given, of tags at least one."""
+    out = F.lit(True)
+    if least_confidence is not None:
+        out = out & (F.col("confidence") >= least_confidence)
+    if since is not None:
+        out = out & (F.col("updated_at") >= since)
+    if until is not None:
+        out = out & (F.col("updated_at") <= until)
+    if tags:
+        out = out & F.arrays_overlap(parse.tags(F.col("metadata")), F.array(*map(F.lit, tags)))
+    if source_types:
+        out = out & F.col("source_type").isin(source_types)
+    if types:
+        out = out & F.col("type").isin(types)
+    return out
+
+
 def listed(doc: DataFrame, memory_ext: DataFrame, source_type: str | None, limit: int = 100, offset: int = 0, preview: int = 200) -> DataFrame:
     active = doc.where((F.col("status") == "active") & list_filter(source_type))
     rows = with_memory_defaults(active, memory_ext).orderBy(F.desc("updated_at"), "id").offset(offset).limit(limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,20 +20,41 @@ def classify(existing: DataFrame, scanned: DataFrame) -> DataFrame:
     return old.join(new, "path", "full_outer").select("path", "id", change.alias("change"))
 
 
-def reindex(existing: DataFrame, knowledge_ext: DataFrame, scanned: DataFrame) -> DataFrame:
-    """The rows after a scan: same ones stay, changed ones are archived and get a successor, new ones begin, missing ones are deleted."""
-    known = existing.join(knowledge_ext, "id", "left").select("id", F.col("source_path").alias("path"), F.coalesce("version", F.lit(1)).alias("version"), F.col("content").alias("old"))
-    both = known.join(scanned.withColumnRenamed("content", "new"), "path", "full_outer")
-    after = both.select("path", "id", "version", F.sha2("old", 256).alias("old_hash"), F.sha2("new", 256).alias("new_hash"))
-    same = F.col("old_hash") == F.col("new_hash")
-    row = lambda id_, version, status, now, hash_: F.struct(id_.alias("id"), version.cast("long").alias("version"), F.lit(status).alias("status"), F.lit(now).alias("is_current"), hash_.alias("content_hash"))
-    old, none = F.col("old_hash"), F.array().cast("array<struct<id:string,version:bigint,status:string,is_current:boolean,content_hash:string>>")
-    successor = row(F.sha2(F.concat_ws(":", "path", (F.coalesce("version", F.lit(0)) + 1).cast("string")), 256), F.coalesce("version", F.lit(0)) + 1, "active", True, F.col("new_hash"))
+def reindex(existing: DataFrame, knowledge_ext: DataFrame, scanned: DataFrame, now: Column) -> DataFrame:
+    """The rows after a scan, with their dates: same ones stay and are bumped, changed ones are archived and get a successor that keeps created_at, new ones begin, missing ones are deleted.
+
+    ``existing``: id, source_path, content, created_at; ``scanned``: path, content. The join meets hashes, not contents.
+    """
+    known = existing.join(knowledge_ext, "id", "left").select("id", F.col("source_path").alias("path"), F.coalesce("version", F.lit(1)).alias("version"), "created_at", F.sha2("content", 256).alias("old_hash"))
+    both = known.join(scanned.select("path", F.sha2("content", 256).alias("new_hash")), "path", "full_outer")
+    same, old = F.col("old_hash") == F.col("new_hash"), F.col("old_hash")
+    kind = "id:string,version:bigint,status:string,is_current:boolean,content_hash:string,created_at:timestamp_ntz,updated_at:timestamp_ntz"
+    row = lambda id_, version, status, current_, hash_, born: F.struct(
+        id_.alias("id"), version.cast("long").alias("version"), F.lit(status).alias("status"), F.lit(current_).alias("is_current"), hash_.alias("content_hash"), born.cast("timestamp_ntz").alias("created_at"), now.cast("timestamp_ntz").alias("updated_at")
+    )
+    born, following = F.coalesce("created_at", now), F.coalesce("version", F.lit(0)) + 1
+    successor = row(F.sha2(F.concat_ws(":", "path", following.cast("string")), 256), following, "active", True, F.col("new_hash"), born)
+    kept = lambda status, current_: row(F.col("id"), F.col("version"), status, current_, old, F.col("created_at"))
     rows = (
-        F.when(old.isNull(), F.array(successor)).when(F.col("new_hash").isNull(), F.array(row(F.col("id"), F.col("version"), "deleted", False, old)))
-        .when(same, F.array(row(F.col("id"), F.col("version"), "active", True, old))).when(~same, F.array(row(F.col("id"), F.col("version"), "archived", False, old), successor)).otherwise(none)
+        F.when(old.isNull(), F.array(successor)).when(F.col("new_hash").isNull(), F.array(kept("deleted", False)))
+        .when(same, F.array(kept("active", True))).when(~same, F.array(kept("archived", False), successor)).otherwise(F.array().cast(f"array<struct<{kind}>>"))
     )
-    return after.select("path", F.explode(rows).alias("row")).select("path", "row.*")
+    return both.select("path", F.explode(rows).alias("row")).select("path", "row.*")
+
+
+def to_read(listing: DataFrame, manifest: DataFrame) -> DataFrame:
+    """path, mtime, length of the files whose entry in the manifest of the last scan is missing or another one; only these have to be read."""
+    return listing.select("path", "mtime", "length").join(manifest.select("path", "mtime", "length"), ["path", "mtime", "length"], "left_anti")
+
+
+def vanished(listing: DataFrame, manifest: DataFrame) -> DataFrame:
+    """path of the files that the last scan had and this one hasn't."""
+    return manifest.select("path").join(listing.select("path"), "path", "left_anti")
+
+
+def missing(existing: DataFrame, scanned: DataFrame) -> DataFrame:
+    """The existing rows whose path the scan doesn't have."""
+    return existing.join(scanned.select(F.col("path").alias("source_path")), "source_path", "left_anti")
 
 
 def history(changes: DataFrame) -> DataFrame:

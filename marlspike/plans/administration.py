@@ -1,10 +1,12 @@
 """Queries over created memories, devices, tasks, configurations and lists."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import administration as ops
-from ..operators import search
+from ..operators import entities, search
 from ..sources import frames
 from . import sql as S
 from .registration import Registry
@@ -24,17 +26,60 @@ def create_memory(spark: SparkSession, d: str) -> DataFrame:
     return ops.create_memories(requests, F.expr(_NOW)).select("id", "source_type", "metadata", "scope", "confidence", "visibility", "owner")
 
 
-@query(S.with_(S.MEMORIES, "SELECT id, CASE WHEN item_id % 3 = 0 THEN 'patched' ELSE title END AS title, status, CASE WHEN item_id % 3 = 0 THEN TIMESTAMP '2024-02-01' ELSE updated_at END AS updated_at FROM memories JOIN (SELECT item_id FROM benchmark) ON id = 'm' || item_id"))
+_CHANGES = """c AS (
+  SELECT 'm' || user_id % 60 AS id, ts AS t0, event_id AS seq, CASE WHEN event_type = 'error' AND event_id % 8 = 0 THEN 'delete' ELSE 'set' END AS op,
+    CASE event_type WHEN 'click' THEN ['title'] WHEN 'view' THEN ['status'] WHEN 'purchase' THEN ['title', 'status'] ELSE [] END AS given,
+    CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type || event_id END AS title, 's' || event_id % 5 AS status FROM events
+), f AS (
+  SELECT id, max({'at': t0, 'seq': seq}) FILTER (op = 'delete') AS gone, max({'at': t0, 'seq': seq}) FILTER (op = 'set' AND len(given) > 0) AS wrote, max({'at': t0, 'seq': seq}) FILTER (op = 'set') AS last_set, min(t0) FILTER (op = 'set') AS created_at,
+    max({'at': t0, 'seq': seq, 'v': title}) FILTER (op = 'set' AND list_contains(given, 'title')) AS t, max({'at': t0, 'seq': seq, 'v': status}) FILTER (op = 'set' AND list_contains(given, 'status')) AS s FROM c GROUP BY id
+)"""
+_SINCE = "(gone IS NULL OR {'at': %s.at, 'seq': %s.seq} > gone)"
+
+
+def _entity_changes(spark: SparkSession, d: str) -> DataFrame:
+    return frames.table(spark, d, "events").selectExpr(
+        "concat('m', user_id % 60) AS id", "ts AS at", "event_id AS seq", "case when event_type = 'error' and event_id % 8 = 0 then 'delete' else 'set' end AS op",
+        "case event_type when 'click' then array('title') when 'view' then array('status') when 'purchase' then array('title', 'status') else cast(array() AS array<string>) end AS given",
+        "case when event_id % 3 = 0 then null else concat(event_type, event_id) end AS title", "concat('s', event_id % 5) AS status", "user_id",
+    )
+
+
+@query(S.with_(f"{S.MEMORIES}, {_CHANGES}", f"SELECT id, CASE WHEN t IS NOT NULL AND {_SINCE % ('t', 't')} THEN t.v WHEN gone IS NULL THEN title END AS title, CASE WHEN s IS NOT NULL AND {_SINCE % ('s', 's')} THEN s.v WHEN gone IS NULL THEN status END AS status, coalesce(wrote.at, updated_at) AS updated_at FROM memories LEFT JOIN f USING (id) WHERE gone IS NULL OR coalesce(wrote > gone, false)"))
 def patch_memory(spark: SparkSession, d: str) -> DataFrame:
-    items = frames.table(spark, d, "benchmark")
-    patches = items.selectExpr("concat(case when item_id % 7 = 0 then 'unknown' else '' end, 'm', item_id) AS id", "case when item_id % 3 = 0 then 'patched' end AS title").where("id LIKE 'm%' OR title IS NULL")
-    patches = patches.unionByName(items.where("item_id % 7 = 0 AND item_id % 3 = 0").selectExpr("concat('m', item_id) AS id", "'patched' AS title"))
-    return ops.patch(frames.memories(spark, d).select("id", "title", "status", "updated_at"), patches, F.expr(_NOW))
+    """Many sparse changes per memory, in no order, explicit nulls and deletions among them."""
+    return entities.patched(frames.memories(spark, d).select("id", "title", "status", "updated_at"), _entity_changes(spark, d), ["title", "status"])
+
+
+@query(S.with_(_CHANGES, f"SELECT id, CASE WHEN {_SINCE % ('t', 't')} THEN t.v END AS title, CASE WHEN {_SINCE % ('s', 's')} THEN s.v END AS status, created_at, last_set.at AS updated_at, CASE WHEN NOT lives THEN gone.at END AS deleted_at, lives FROM (SELECT *, last_set IS NOT NULL AND (gone IS NULL OR last_set > gone) AS lives FROM f)"))
+def entity_fold(spark: SparkSession, d: str) -> DataFrame:
+    return entities.fold(_entity_changes(spark, d), ["title", "status"])
 
 
-@query(S.with_(f"{S.DOC}, {S.EXTS}", "SELECT id, version, is_current AND coalesce(source_path NOT LIKE '/kb/src1/%', true) AS is_current FROM knowledge_ext LEFT JOIN doc USING (id)"))
+_TREE = """a AS (
+  SELECT 'a' || user_id % 200 AS id, max({'at': ts, 'seq': event_id}) FILTER (event_type <> 'error') AS last_set, max({'at': ts, 'seq': event_id}) FILTER (event_type = 'error') AS gone, 'w' || any_value(user_id) % 40 AS workspace_id FROM events GROUP BY user_id % 200
+), w AS (
+  SELECT 'w' || event_id % 50 AS id, max({'at': ts, 'seq': event_id}) FILTER (event_type <> 'signup') AS last_set, max({'at': ts, 'seq': event_id}) FILTER (event_type = 'signup') AS gone FROM events GROUP BY event_id % 50
+), ws AS (SELECT id, gone.at AS gone_at, coalesce(last_set > gone, gone IS NULL) AS lives FROM w), al AS (SELECT *, coalesce(last_set > gone, gone IS NULL) AS alive FROM a)"""
+
+
+@query(f"WITH {_TREE} SELECT al.id, workspace_id, alive AND coalesce(ws.lives, true) AS lives, CASE WHEN NOT (alive AND coalesce(ws.lives, true)) THEN coalesce(CASE WHEN NOT alive THEN al.gone.at END, ws.gone_at) END AS deleted_at FROM al LEFT JOIN ws ON ws.id = workspace_id")
+def workspace_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Artifacts go with their workspace."""
+    events = frames.table(spark, d, "events")
+    change = lambda key, deletes, more: events.selectExpr(f"{key} AS id", "ts AS at", "event_id AS seq", f"if(event_type = '{deletes}', 'delete', 'set') AS op", *more)
+    workspaces = entities.fold(change("concat('w', event_id % 50)", "signup", ["array('name') AS given", "'n' AS name"]), ["name"])
+    artifacts = entities.fold(change("concat('a', user_id % 200)", "error", ["array('workspace_id') AS given", "concat('w', user_id % 200 % 40) AS workspace_id"]), ["workspace_id"])
+    home = events.selectExpr("concat('a', user_id % 200) AS id", "concat('w', user_id % 200 % 40) AS workspace_id").distinct()
+    whole = artifacts.drop("workspace_id").join(home, "id")
+    return entities.cascaded(whole, workspaces, "workspace_id").select("id", "workspace_id", "lives", "deleted_at")
+
+
+@query(S.with_(f"{S.DOC}, {S.EXTS}", "SELECT 'ext' AS part, id, CAST(is_current AND coalesce(source_path NOT LIKE '/kb/src1/%', true) AS VARCHAR) AS state, NULL AS updated_at FROM knowledge_ext LEFT JOIN doc USING (id) UNION ALL SELECT 'doc', id, CASE WHEN starts_with(source_path, '/kb/src1/') THEN 'deleted' ELSE status END, CASE WHEN starts_with(source_path, '/kb/src1/') THEN TIMESTAMP '2024-02-01' ELSE updated_at END FROM doc"))
 def delete_flips_current(spark: SparkSession, d: str) -> DataFrame:
-    return ops.delete(frames.doc(spark, d), frames.knowledge_ext(spark, d), F.col("source_path").startswith("/kb/src1/"))[1].select("id", "version", "is_current")
+    doc, ext = ops.delete(frames.doc(spark, d), frames.knowledge_ext(spark, d), F.col("source_path").startswith("/kb/src1/"), F.expr(_NOW))
+    exts = ext.select(F.lit("ext").alias("part"), "id", F.col("is_current").cast("string").alias("state"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    return exts.unionByName(doc.select(F.lit("doc").alias("part"), "id", F.col("status").alias("state"), "updated_at"))
 
 
 @query(S.with_(f"{S.DOC}, {S.EXTS}", "SELECT 'doc' AS part, id FROM doc WHERE NOT coalesce(type = 'knowledge' AND (starts_with(source_path, '/kb/src0/') OR starts_with(source_path, '/kb/src2/')), false) UNION ALL SELECT 'ext', id FROM knowledge_ext WHERE id NOT IN (SELECT id FROM doc WHERE type = 'knowledge' AND (starts_with(source_path, '/kb/src0/') OR starts_with(source_path, '/kb/src2/')))"))
@@ -43,14 +88,27 @@ def delete_config_with_ext(spark: SparkSession, d: str) -> DataFrame:
     return doc.select(F.lit("doc").alias("part"), "id").unionByName(ext.select(F.lit("ext").alias("part"), "id"))
 
 
-@query(S.with_(S.DOC, "SELECT id, CASE WHEN type = 'session' THEN 'deleted' ELSE status END AS status, CASE WHEN type = 'session' THEN '[]' ELSE metadata END AS metadata FROM doc"))
+def _cleared(spark: SparkSession, d: str, *categories: str) -> DataFrame:
+    """table, id and metadata of all rows after a clearing."""
+    tables = {"doc": frames.doc(spark, d), "memory_ext": frames.memory_ext(spark, d), "knowledge_ext": frames.knowledge_ext(spark, d)}
+    after = tables | ops.clear(tables, set(categories), ops.CONFIRMED)
+    rows = [t.select(F.lit(n).alias("part"), "id", (F.col("metadata") if n == "doc" else F.lit(None).cast("string")).alias("metadata")) for n, t in after.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(S.with_(f"{S.DOC}, {S.EXTS}", "SELECT 'doc' AS part, id, CASE WHEN type <> 'session' THEN metadata END AS metadata FROM doc WHERE type <> 'memory' UNION ALL SELECT 'knowledge_ext', id, NULL FROM knowledge_ext"))
 def clear_category(spark: SparkSession, d: str) -> DataFrame:
-    return ops.clear(frames.doc(spark, d), "session").select("id", "status", "metadata")
+    """The rows of a type go with their extension table, another type only loses its metadata."""
+    return _cleared(spark, d, "memory", "session_metadata")
+
+
+_GONE = "(SELECT id FROM doc WHERE status = 'deleted')"
 
 
-@query(S.with_(S.DOC, "SELECT id, status FROM doc WHERE status <> 'deleted'"))
+@query(S.with_(f"{S.DOC}, {S.EXTS}", f"SELECT 'doc' AS part, id, metadata FROM doc WHERE status <> 'deleted' UNION ALL SELECT 'memory_ext', id, NULL FROM memory_ext WHERE id NOT IN {_GONE} UNION ALL SELECT 'knowledge_ext', id, NULL FROM knowledge_ext WHERE id NOT IN {_GONE}"))
 def clear_deleted(spark: SparkSession, d: str) -> DataFrame:
-    return ops.clear(frames.doc(spark, d), "deleted").select("id", "status")
+    """What was marked as deleted goes, with its rows in the extension tables; categories beside it count for nothing."""
+    return _cleared(spark, d, "deleted", "memory")
 
 
 _ACTION = "CASE event_type WHEN 'signup' THEN 'register' WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'revoke' ELSE 'heartbeat' END"

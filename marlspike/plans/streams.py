@@ -93,8 +93,8 @@ def owning_config(spark: SparkSession, d: str) -> DataFrame:
 def watch_diff(spark: SparkSession, d: str) -> DataFrame:
     early = F.col("ts") < F.expr("timestamp_ntz'2024-01-15 00:00:00'")
     sets = frames.table(spark, d, "events").groupBy("user_id").agg(F.collect_set(F.when(early, F.col("event_type"))).alias("before"), F.collect_set(F.when(~early, F.col("event_type"))).alias("after"))
-    difference = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), ",")
-    return sets.select("user_id", difference("after", "before").alias("added"), difference("before", "after").alias("removed"))
+    added, removed = ops.watch_changes(F.col("before"), F.col("after"))
+    return sets.select("user_id", F.array_join(added, ",").alias("added"), F.array_join(removed, ",").alias("removed"))
 
 
 @query("SELECT path, agent, event_type, place FROM (SELECT '/out/codex/e' || item_id || '/memory-export.json' AS path, 'codex' AS agent, 'memory_candidate' AS event_type, unnest([0, 1])::BIGINT AS place FROM benchmark WHERE item_id % 2 = 0) UNION ALL SELECT '/out/gemini/n' || item_id || '.md', 'gemini', 'artifact', 0 FROM benchmark WHERE item_id % 2 = 1")
@@ -108,9 +108,8 @@ def agent_output_events(spark: SparkSession, d: str) -> DataFrame:
 def settings_merge(spark: SparkSession, d: str) -> DataFrame:
     current = F.when(F.col("item_id") % 2 == 0, F.create_map(F.lit("theme"), F.lit("dark"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     backup = F.create_map(F.lit("theme"), F.lit("light"), F.lit("lang"), F.lit("en"))
-    missing = F.map_filter(backup, lambda k, _: ~F.map_contains_key("current", k))
     rows = frames.table(spark, d, "benchmark").select("item_id", current.alias("current"))
-    merged = rows.select("item_id", F.map_concat("current", missing).alias("m"))
+    merged = rows.select("item_id", lifecycle.merge_settings(F.col("current"), backup).alias("m"))
     return merged.select("item_id", F.element_at("m", "theme").alias("theme"), F.element_at("m", "lang").alias("lang"))
 
 

@@ -125,8 +125,9 @@ def test_top_k_is_the_largest(spark):
     assert [r.vec_id for r in vector.top_k(df, [1.0, 0.0], 3).collect()] == [19, 18, 17]
 
 
-def test_settings_keep_what_is_there():
-    assert lifecycle.merge_settings({"a": "1"}, {"a": "2", "b": "3"}) == {"a": "1", "b": "3"}
+def test_settings_keep_what_is_there(spark):
+    rows = spark.createDataFrame([({"a": "1"}, {"a": "2", "b": "3"})], "a map<string,string>, b map<string,string>")
+    assert rows.select(lifecycle.merge_settings(F.col("a"), F.col("b")).alias("m")).first().m == {"a": "1", "b": "3"}
 
 
 def test_many_configs_are_matched_without_a_broadcast(spark):
