@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import events as ops
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -62,6 +64,31 @@ def bursts(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes",
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("slot"), key).agg(F.count("*").alias("n"))
 
 
+def write_once(rows: DataFrame, folder: str, epoch: int) -> bool:
+    """Writes the rows of an epoch as Parquet to ``folder/epoch=N``, which appears as a whole; does nothing, rows not even computed, if it is there."""
+    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    done, part = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}") for name in (f"epoch={epoch}", f"_part-{epoch}"))
+    fs = done.getFileSystem(conf)
+    if fs.exists(done):
+        return False
+    rows.write.mode("overwrite").parquet(f"{folder}/_part-{epoch}")
+    fs.rename(part, done)
+    return True
+
+
+def agent_files(spark: SparkSession, path: str, processed: str, files_a_trigger: int = 100) -> DataFrame:
+    """path and content of files that agents put into their folders, each once; files that were read move to ``processed``."""
+    files = spark.readStream.schema("value string").option("wholetext", "true").option("cleanSource", "archive").option("sourceArchiveDir", processed)
+    rows = files.option("maxFilesPerTrigger", files_a_trigger).option("recursiveFileLookup", "true").text(path)
+    return rows.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.col("value").alias("content"))
+
+
+def watch_agents(files: DataFrame, root: str, out: str, checkpoint: str, **trigger):
+    """A query that writes the events of agents' files to ``out``, a folder per epoch, no epoch twice."""
+    write = lambda rows, epoch: write_once(ops.agent_outputs(rows, root), out, epoch)
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def upload(events: DataFrame, send: Callable[[DataFrame, int], None], log: str, checkpoint: str, retries: int = 3):
     """A query that sends each batch, tries again, and appends what happened to a Parquet log. A batch that fails for good is logged and passed over."""
 
