@@ -43,15 +43,14 @@ FIRST = 4
 BLOCK = 32
 BLOCK_BYTES = 1 << 20
 #: Blocks that a task orders and scores at a time.
-WINDOW = 256
+WINDOW = 64
 SHARD_ITEMS = 4096
 SHARD_BYTES = 16 << 20
 
 #: Numbers and terms of a block travel as bytes: ids apart, they are of no use to Spark. term_ends: where each term ends in
-#: terms; ends: where its documents end in docs (places in ids) and in counts or impacts.
-COUNTED = "block long, n_docs long, n_terms long, ids array<long>, lengths binary, terms binary, term_ends binary, ends binary, docs binary, counts binary"
+#: terms; ends: where its documents end in docs (places in ids) and in impacts.
 INDEX = "block long, ids array<long>, terms binary, term_ends binary, top binary, ends binary, docs binary, impacts binary"
-PLACE, COUNT, LENGTH = np.dtype("<u2"), np.dtype("<i4"), np.dtype("<i8")
+PLACE, NUMBER = np.dtype("u1"), np.dtype("<i4")
 BOUNDS = "item int, block long, bound long"
 SCORES = "item int, doc_id long, score long"
 #: In place of a null id in comparisons.
@@ -77,7 +76,7 @@ class Index:
     total: int
 
 
-def _block(number: int, ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
+def _block(number: int, ids: list, texts: list[list[bytes]], documents: int, total: int) -> pa.RecordBatch:
     terms: dict[bytes, int] = {}
     places, docs, counts = [], [], []
     for i, words in enumerate(texts):
@@ -85,69 +84,65 @@ def _block(number: int, ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
         places += [terms.setdefault(w, len(terms)) for w in found]
         docs += [i] * len(found)
         counts += found.values()
-    place = np.array(places, np.int64)
+    place, doc = np.array(places, np.int64), np.array(docs, np.int64)
     by_term = np.argsort(place, kind="stable")
-    lengths = [len(w) for w in texts]
-    row = {
-        "block": number, "n_docs": sum(map(bool, lengths)), "n_terms": sum(lengths), "ids": ids, "lengths": np.array(lengths, LENGTH), "terms": b"".join(terms), "term_ends": np.cumsum([len(t) for t in terms], dtype=COUNT),
-        "ends": np.cumsum(np.bincount(place, minlength=len(terms)), dtype=COUNT), "docs": np.array(docs, PLACE)[by_term], "counts": np.array(counts, COUNT)[by_term],
-    }
-    kinds = {"block": pa.int64(), "n_docs": pa.int64(), "n_terms": pa.int64(), "ids": pa.list_(pa.int64())}
-    return pa.RecordBatch.from_pydict({c: pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], kinds.get(c, pa.binary())) for c, v in row.items()})
+    lengths = np.array([len(w) for w in texts], np.int64)
+    impacts = impact(np.array(counts, np.int64), lengths[doc], documents, total)[by_term]
+    ends = np.cumsum(np.bincount(place, minlength=len(terms)))
+    top = np.maximum.reduceat(impacts, np.concatenate([[0], ends[:-1]])) if len(terms) else impacts
+    numbers = {"term_ends": np.cumsum([len(t) for t in terms]), "top": top, "ends": ends, "impacts": impacts}
+    row = {"block": number, "ids": ids, "terms": b"".join(terms), "docs": doc[by_term].astype(PLACE).tobytes()} | {c: v.astype(NUMBER).tobytes() for c, v in numbers.items()}
+    kinds = {"block": pa.int64(), "ids": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_pydict({c: pa.array([row[c]], kinds.get(c, pa.binary())) for c in (f.split()[0] for f in INDEX.split(", "))})
 
 
-def _counted(docs: DataFrame, block: int) -> DataFrame:
+def statistics(docs: DataFrame) -> tuple[int, int]:
+    """How many documents have terms, and how many terms all of them have: the sums that every impact needs, by a scan of its own."""
+
+    def run(batches):
+        n = total = 0
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()):
+                found = len((text.as_py() or b"").translate(FOLDED).split())
+                n, total = n + bool(found), total + found
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "total": pa.array([total], pa.int64())})
+
+    found = docs.select("text").mapInArrow(run, schema("n long, total long"))
+    return tuple(found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first())
+
+
+def _blocks(docs: DataFrame, block: int, documents: int, total: int) -> DataFrame:
     """Blocks of consecutive documents of a partition."""
 
     def run(batches):
         number, size = TaskContext.get().partitionId() << 33, 0
         ids: list = []
         texts: list[list[bytes]] = []
-        for batch in batches:
-            column = batch.column("text").cast(pa.binary())
-            for doc, text in zip(batch.column("doc_id").to_pylist(), column):
-                text = text.as_py() or b""
+        for batch in slices(batches, 200):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                text = text or b""
                 ids.append(doc)
                 texts.append(text.translate(FOLDED).split())
                 size += len(text)
                 if len(ids) == block or size >= BLOCK_BYTES:
-                    yield _block(number, ids, texts)
+                    yield _block(number, ids, texts, documents, total)
                     number, size, ids, texts = number + 1, 0, [], []
         if ids:
-            yield _block(number, ids, texts)
+            yield _block(number, ids, texts, documents, total)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema(COUNTED))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema(INDEX))
 
 
 def _numbers(batch: pa.RecordBatch, column: str, row: int, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(batch.column(column)[row].as_buffer(), kind)
 
 
-def _with_impacts(blocks: DataFrame, documents: int, total: int) -> DataFrame:
-    names = [f.name for f in schema(INDEX).fields]
-
-    def run(batches):
-        for batch in slices(batches, WINDOW):
-            tops, found = [], []
-            for row in range(batch.num_rows):
-                ends, docs = _numbers(batch, "ends", row, COUNT), _numbers(batch, "docs", row, PLACE)
-                counts, lengths = _numbers(batch, "counts", row, COUNT), _numbers(batch, "lengths", row, LENGTH)
-                impacts = impact(counts.astype(np.int64), lengths[docs], documents, total)
-                tops.append((np.maximum.reduceat(impacts, np.concatenate([[0], ends[:-1]])) if len(ends) else impacts).astype(COUNT).tobytes())
-                found.append(impacts.astype(COUNT).tobytes())
-            made = {"top": pa.array(tops, pa.binary()), "impacts": pa.array(found, pa.binary())}
-            yield pa.RecordBatch.from_pydict({c: made[c] if c in made else batch.column(c) for c in names})
-
-    return blocks.mapInArrow(run, schema(INDEX))
-
-
 def build(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> Index:
     """The index of docs (doc_id, text), a stored table."""
-    counted = scratch.keep(_counted(docs, block), "counted")
-    n, total = counted.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
-    blocks = scratch.keep(_with_impacts(counted, n, max(1, total)), "index")
-    scratch.drop(counted)
-    return Index(blocks, n, total)
+    if not 0 < block <= 256:
+        raise ValueError("a block holds 1 to 256 documents")
+    n, total = statistics(docs)
+    return Index(scratch.keep(_blocks(docs, block, n, max(1, total)), "index"), n, total)
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -172,7 +167,7 @@ def _frequencies(blocks: DataFrame, terms: list[str]) -> dict[str, int]:
         held = np.zeros(len(wanted), np.int64)
         for batch in slices(batches, WINDOW):
             found, at = _terms(batch, wanted)
-            ends = np.concatenate([np.diff(_numbers(batch, "ends", r, COUNT), prepend=0) for r in range(batch.num_rows)])
+            ends = np.concatenate([np.diff(_numbers(batch, "ends", r, NUMBER), prepend=0) for r in range(batch.num_rows)])
             np.add.at(held, found[found >= 0], ends[found >= 0])
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[some], pa.int64())], names=["term", "held"])
@@ -183,9 +178,9 @@ def _frequencies(blocks: DataFrame, terms: list[str]) -> dict[str, int]:
 
 def _terms(batch: pa.RecordBatch, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """For all terms of some blocks their place in ``wanted`` or -1, and where each block's terms begin and end."""
-    ends = [_numbers(batch, "term_ends", r, COUNT) for r in range(batch.num_rows)]
+    ends = [_numbers(batch, "term_ends", r, NUMBER) for r in range(batch.num_rows)]
     data = b"".join(batch.column("terms").to_pylist())
-    sizes = np.concatenate([np.diff(e, prepend=0) for e in ends]) if ends else np.zeros(0, COUNT)
+    sizes = np.concatenate([np.diff(e, prepend=0) for e in ends]) if ends else np.zeros(0, NUMBER)
     offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64).tobytes())
     terms = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, offsets, pa.py_buffer(data)])
     found = pc.index_in(terms, value_set=wanted.cast(pa.large_binary())).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -233,7 +228,7 @@ class Span:
 
     def bounds(self) -> np.ndarray:
         """Of each block (rows) for each item (columns)."""
-        top = np.concatenate([_numbers(self.batch, "top", r, COUNT) for r in range(self.batch.num_rows)])[self.place].astype(np.int64)
+        top = np.concatenate([_numbers(self.batch, "top", r, NUMBER) for r in range(self.batch.num_rows)])[self.place].astype(np.int64)
         out = np.zeros(self.batch.num_rows * self.query.items, np.int64)
         np.add.at(out, self.row[self.which] * self.query.items + self.item, self.weight * top[self.which])
         return out.reshape(self.batch.num_rows, -1)
@@ -246,7 +241,7 @@ class Span:
         column[items] = np.arange(len(items))
         mine = column[self.item[lo_entry:hi_entry]] >= 0
         which, item, weight = (x[lo_entry:hi_entry][mine] for x in (self.which, self.item, self.weight))
-        ends, docs, impacts = (_numbers(self.batch, c, row, k) for c, k in (("ends", COUNT), ("docs", PLACE), ("impacts", COUNT)))
+        ends, docs, impacts = (_numbers(self.batch, c, row, k) for c, k in (("ends", NUMBER), ("docs", PLACE), ("impacts", NUMBER)))
         local = self.local[which]
         entry, at = _ranges(np.where(local > 0, ends[local - 1], 0), ends[local])
         size = len(self.batch.column("ids")[row])
