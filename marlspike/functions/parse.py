@@ -167,12 +167,12 @@ def deterministic_id(source_type: Column, path: Column, name: Column) -> Column:
 
 
 def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
-    """Chunks of size characters, each beginning overlap characters before the last one's end."""
+    """Chunks of size characters, each beginning overlap characters before the last one's end; null for null."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
     n = F.char_length(text)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - overlap - 1), F.lit(size - overlap))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size))))
+    return F.when(n == 0, F.array().cast("array<string>")).when(n > 0, F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size))))
 
 
 def paragraph_chunks(text: Column, size: int) -> Column:

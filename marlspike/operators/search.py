@@ -81,27 +81,28 @@ def listed(doc: DataFrame, memory_ext: DataFrame, source_type: str | None, limit
     return rows.select("id", "title", F.substring("content", 1, preview).alias("preview"), "source_type", "memory_type", "scope", "confidence", "visibility")
 
 
-def search(doc: DataFrame, memory_ext: DataFrame, query: str, source_types: str | None = None, limit: int = 50, preview: int = 500) -> DataFrame:
-    """Active documents whose title, content or tags hold the query, the newest first."""
+def search(doc: DataFrame, memory_ext: DataFrame, query: str, source_types: str | None = None, limit: int = 50, preview: int = 500, where: Column | None = None) -> DataFrame:
+    """Active documents whose title, content or tags hold the query, and that filters() let through, the newest first."""
     hits = doc.where((F.col("status") == "active") & search_filter(source_types) & matches(query, "title", "content", "metadata"))
-    rows = with_memory_defaults(hits, memory_ext).orderBy(F.desc("updated_at"), "id").limit(limit)
+    rows = with_memory_defaults(hits, memory_ext).where(F.lit(True) if where is None else where).orderBy(F.desc("updated_at"), "id").limit(limit)
     return rows.select("id", "type", "title", F.substring("content", 1, preview).alias("preview"), "source_type", "memory_type", "confidence")
 
 
-def ranked(doc: DataFrame, memory_ext: DataFrame, query: str, limit: int) -> DataFrame:
+def ranked(doc: DataFrame, memory_ext: DataFrame, query: str, limit: int, where: Column | None = None) -> DataFrame:
     """Hits in title, content or tags with their rank: knowledge first, then the most trusted, then the newest."""
     hits = doc.where((F.col("status") == "active") & matches(query, "title", "content", "metadata"))
     first = F.when(F.col("type") == "knowledge", 0).otherwise(1)
-    return with_memory_defaults(hits, memory_ext).withColumn("first", first).orderBy("first", F.desc("confidence"), F.desc("updated_at"), "id").limit(limit)
+    rows = with_memory_defaults(hits, memory_ext).where(F.lit(True) if where is None else where)
+    return rows.withColumn("first", first).orderBy("first", F.desc("confidence"), F.desc("updated_at"), "id").limit(limit)
 
 
-def context_pack(doc: DataFrame, memory_ext: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def context_pack(doc: DataFrame, memory_ext: DataFrame, query: str, limit: int = 10, where: Column | None = None) -> DataFrame:
     """The best hits, one per file: twice as many are ranked, of each path the first stays, then they are cut to the limit.
 
     Windows run over the few ranked rows only.
     """
     order = (F.col("first"), F.desc("confidence"), F.desc("updated_at"), F.col("id"))
-    some = ranked(doc, memory_ext, query, 2 * limit)
+    some = ranked(doc, memory_ext, query, 2 * limit, where)
     place = F.row_number().over(Window.partitionBy("source_path").orderBy(*order))
     one = some.withColumn("place", place).where((F.coalesce("source_path", F.lit("")) == "") | (F.col("place") == 1))
     rows = one.orderBy(*order).limit(limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import exchange, ingest, retrieval, search
+from ..operators import exchange, ingest, retrieval, search, tables
 from ..sources import frames
 from . import sql as S
 from .registration import Registry
@@ -84,3 +84,17 @@ def export_selection(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the rows of one status and type."""
     rows = search.with_memory_defaults(frames.doc(spark, d), frames.memory_ext(spark, d), "shared")
     return exchange.export_lines(exchange.export_selection(rows, "archived", kind="knowledge"))
+
+
+@query("SELECT doc_id, CAST(place AS INTEGER) AS place, substring(text, place * 400 + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - 101) // 400 + 1)) AS place FROM documents WHERE length(text) > 0)")
+def chunk_lateral(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by a table function in a lateral join."""
+    tables.register(spark)
+    return spark.sql("SELECT d.doc_id, c.place, c.chunk FROM {docs} AS d, LATERAL chunk_fixed(d.text, 500, 100) AS c", docs=frames.table(spark, d, "documents"))
+
+
+@query(S.with_(S.MEMORIES, "SELECT id, unnest(CASE WHEN metadata LIKE '[%' THEN CAST(from_json(metadata, '[\"VARCHAR\"]') AS VARCHAR[]) ELSE [] END) AS tag FROM memories"))
+def tags_lateral(spark: SparkSession, d: str) -> DataFrame:
+    """A row per tag of a memory, by a table function in a lateral join."""
+    tables.register(spark)
+    return spark.sql("SELECT m.id, t.tag FROM {rows} AS m, LATERAL tags_of(m.metadata) AS t", rows=frames.memories(spark, d))

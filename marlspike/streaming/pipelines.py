@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import events as ops
+from ..sources.folders import write_whole
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -66,14 +67,7 @@ def bursts(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes",
 
 def write_once(rows: DataFrame, folder: str, epoch: int) -> bool:
     """Writes the rows of an epoch as Parquet to ``folder/epoch=N``, which appears as a whole; does nothing, rows not even computed, if it is there."""
-    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
-    done, part = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}") for name in (f"epoch={epoch}", f"_part-{epoch}"))
-    fs = done.getFileSystem(conf)
-    if fs.exists(done):
-        return False
-    rows.write.mode("overwrite").parquet(f"{folder}/_part-{epoch}")
-    fs.rename(part, done)
-    return True
+    return write_whole(rows, folder, f"epoch={epoch}")
 
 
 def agent_files(spark: SparkSession, path: str, processed: str, files_a_trigger: int = 100) -> DataFrame:
