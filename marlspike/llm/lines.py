@@ -7,10 +7,10 @@ at least ``SIMILAR`` of its tokens agree; places where they differ are variable
 
 Lines that a leaf's first template leaves over may have templates of their own. They are found by blocks: two texts
 that agree in enough places agree in the whole of at least one of so many blocks, so lines with an equal block are a
-group. Each line joins its largest group, whose most frequent tokens, if they occur twice at their place, make a
-template; every line over that agrees with it is looked up by the template's own blocks. This goes on with the lines
-that are still left, and the groups not yet tried, until there are none. Any other line is its own template, apart
-from its digits.
+group. Each line joins its largest group, all groups of all leaves at once; the most frequent tokens of a group's lines,
+if they occur twice at their place, make its template, and the lines that agree with it belong to it. Lines that don't
+have one more turn among themselves: ``TURNS`` in all, whatever the data. Any other line is its own template, apart from
+its digits.
 
 A template recurs if lines of two documents belong to it. Its first line (smallest doc_id, then place) stays, and all
 others are dropped, so that of copied passages one is left. Lines of fewer than ``SHORTEST`` tokens, or with fewer
@@ -26,6 +26,8 @@ document. Rows without a doc_id are left alone. Empty tables give empty tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ DEPTH = 3
 SIMILAR_PERCENT = 70
 SHORTEST = 4
 FIELD = "<*>"
+#: How often lines without a template look for one among themselves.
+TURNS = 2
 #: Rows of ids or places that may be sent to every task; more are joined by a shuffle.
 MOST_SHIPPED = 500_000
 
@@ -92,56 +96,38 @@ def templates(docs: DataFrame, lines: DataFrame, scratch: Scratch, depth: int =
 
 
 def _blocks(tokens: str, places: Column, similar: int) -> Column:
-    """A hash per block of an array of so many places, one more block than places may differ; null for blocks with a field."""
+    """The place and tokens of each block of an array of so many places, one more block than places may differ."""
     blocks = F.floor(places * (100 - similar) / 100).cast("int") + 1
     start = lambda j: F.floor(j * places / blocks).cast("int")
-    block = lambda j: F.slice(tokens, start(j) + 1, start(j + 1) - start(j))
-    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.when(F.forall(block(j), lambda t: t.isNotNull()), F.xxhash64(j, block(j))))
+    block = lambda j: F.array_join(F.slice(tokens, start(j) + 1, start(j + 1) - start(j)), " ")
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.concat_ws(":", j.cast("string"), block(j)))
 
 
 def _further(over: DataFrame, scratch: Scratch, depth: int, similar: int) -> DataFrame:
     """leaf, same, template of those distinct lines that belong to a further template with another one."""
     places = F.col("n") - depth
     left = over.where(places * (100 - similar) >= 100).select("leaf", "same", F.slice("tokens", depth + 1, places).alias("tokens"))
-    left = scratch.keep(left.withColumn("keys", _blocks("tokens", F.size("tokens"), similar)), "left")
-    found, tried, turn = [], None, 0
-    while True:
-        keyed = left.select("leaf", "same", F.explode("keys").alias("key"))
-        groups = keyed.groupBy("leaf", "key").agg(F.count("*").alias("many"), F.bit_xor("same").alias("members")).where("many > 1")
-        groups = groups.groupBy("leaf", "many", "members").agg(F.min("key").alias("key"))  # groups of the same lines count once
-        if tried is not None:
-            groups = groups.join(tried, ["leaf", "many", "members"], "left_anti")
-        best = keyed.join(groups, ["leaf", "key"]).groupBy("leaf", "same").agg(F.max(F.struct("many", "members", "key")).alias("group"))
-        best = scratch.keep(best.select("leaf", "same", "group.*"), "best")
-        if best.isEmpty():
-            break
-        turn += 1
-        each = best.join(left, ["leaf", "same"]).select("leaf", "key", F.posexplode("tokens").alias("place", "token"))
-        common = each.groupBy("leaf", "key", "place", "token").agg(F.count("*").alias("many"))
+    left = scratch.keep(left, "left")
+    found = []
+    for turn in range(TURNS):
+        keyed = left.select("leaf", "same", F.explode(_blocks("tokens", F.size("tokens"), similar)).alias("key"))
+        groups = keyed.groupBy("leaf", "key").agg(F.count("*").alias("many")).where("many > 1")
+        best = keyed.join(groups, ["leaf", "key"]).groupBy("leaf", "same").agg(F.max(F.struct("many", "key")).alias("top"))
+        member = scratch.keep(best.select("leaf", "same", F.col("top.key").alias("key")).join(left, ["leaf", "same"]), "members")
+        common = member.select("leaf", "key", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "key", "place", "token").agg(F.count("*").alias("many"))
         common = common.groupBy("leaf", "key", "place").agg(F.max(F.struct("many", "token")).alias("top"))
         token = F.when(F.col("top.many") > 1, F.col("top.token"))
-        made = common.groupBy("leaf", "key").agg(F.sort_array(F.collect_list(F.struct("place", token.alias("token")))).alias("top"))
-        made = scratch.keep(made.select("leaf", F.xxhash64(F.lit(turn), "key").alias("template"), F.col("top.token").alias("wanted")), "made")
-
-        sought = made.select("leaf", "template", F.explode(_blocks("wanted", F.size("wanted"), similar)).alias("key")).where("key IS NOT NULL")
-        met = keyed.join(sought, ["leaf", "key"]).select("leaf", "same", "template").distinct().join(left, ["leaf", "same"]).join(made, ["leaf", "template"])
-        agreeing = F.size(F.filter(F.zip_with("tokens", "wanted", lambda x, y: x == y), lambda x: x))
-        fits = scratch.keep(met.where(100 * agreeing >= similar * F.size("tokens")).select("leaf", "same", "template"), "fits")
-        sizes = fits.groupBy("leaf", "template").agg(F.count("*").alias("size"))
-        taken = fits.join(sizes, ["leaf", "template"]).groupBy("leaf", "same").agg(F.max(F.struct("size", "template")).alias("top")).select("leaf", "same", "top.template")
-        taken = scratch.keep(taken, "taken")
-        several = taken.groupBy("leaf", "template").agg(F.count("*").alias("size")).where("size > 1").select("leaf", "template")
-        found.append(scratch.keep(taken.join(several, ["leaf", "template"], "left_semi"), "found"))
-        seen = best.select("leaf", "many", "members")
-        tried_now = scratch.keep((seen if tried is None else seen.unionByName(tried)).distinct(), "tried")
-        rest = scratch.keep(left.join(found[-1], ["leaf", "same"], "left_anti"), "left")
-        for old in (left, best, made, fits, taken, *([tried] if tried is not None else [])):
+        made = common.groupBy("leaf", "key").agg(F.sort_array(F.collect_list(F.struct("place", token.alias("token")))).alias("wanted"))
+        agreeing = F.size(F.filter(F.zip_with("tokens", F.col("wanted.token"), lambda x, y: x == y), lambda x: x))
+        fits = scratch.keep(member.join(made, ["leaf", "key"]).where(100 * agreeing >= similar * F.size("tokens")).select("leaf", "same", "key"), "fits")
+        several = fits.groupBy("leaf", "key").agg(F.count("*").alias("size")).where("size > 1").select("leaf", "key")
+        taken = fits.join(several, ["leaf", "key"], "left_semi").select("leaf", "same", F.xxhash64(F.lit(turn + 1), "key").alias("template"))
+        found.append(scratch.keep(taken, "found"))
+        rest = scratch.keep(left.join(found[-1], ["leaf", "same"], "left_anti"), "left") if turn < TURNS - 1 else left
+        for old in (member, fits, *([left] if rest is not left else [])):
             scratch.drop(old)
-        left, tried = rest, tried_now
-    out = left.select("leaf", "same", F.lit(0).cast("long").alias("template")).limit(0)
-    for part in found:
-        out = out.unionByName(part)
-    return out
+        left = rest
+    return reduce(DataFrame.unionByName, found)
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, similar: int = SIMILAR_PERCENT, shortest: int = SHORTEST) -> DataFrame:

@@ -129,7 +129,26 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 FROM documents AS d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-OP3_SQL = r"""
+_BLOCKS = "len(toks) * 30 // 100 + 1"
+_TURN = """k{t} AS (
+  SELECT n, head, line, toks, j || ':' || array_to_string(toks[j * len(toks) // blocks + 1:(j + 1) * len(toks) // blocks], ' ') AS key
+  FROM (SELECT n, head, line, toks, {blocks} AS blocks, unnest(range(0, {blocks})) AS j FROM o{t})
+), b{t} AS (
+  SELECT n, head, line, any_value(toks) AS toks, max({{'many': many, 'key': key}}).key AS key
+  FROM k{t} JOIN (SELECT n, head, key, count(*) AS many FROM k{t} GROUP BY n, head, key HAVING count(*) > 1) USING (n, head, key) GROUP BY n, head, line
+), e{t} AS (
+  SELECT n, head, key, list(CASE WHEN top.many > 1 THEN top.token END ORDER BY place) AS wanted FROM (
+    SELECT n, head, key, place, max({{'many': many, 'token': token}}) AS top FROM (
+      SELECT n, head, key, place, token, count(*) AS many FROM (SELECT n, head, key, unnest(range(len(toks))) AS place, unnest(toks) AS token FROM b{t}) GROUP BY n, head, key, place, token
+    ) GROUP BY n, head, key, place
+  ) GROUP BY n, head, key
+), f{t} AS (
+  SELECT n, head, line, key FROM b{t} JOIN e{t} USING (n, head, key) WHERE 100 * len(list_filter(range(1, len(toks) + 1), lambda i: toks[i] = wanted[i])) >= 70 * len(toks)
+), g{t} AS (
+  SELECT n, head, line, '{t}' || key AS template FROM f{t} JOIN (SELECT n, head, key FROM f{t} GROUP BY n, head, key HAVING count(*) > 1) USING (n, head, key)
+)"""
+OP3_SQL = (
+    r"""
 WITH l AS (
   SELECT doc_id, line_no, line, len(tokens) AS n, tokens FROM (
     SELECT doc_id, line_no, line, string_split(line, ' ') AS tokens FROM (
@@ -143,20 +162,30 @@ WITH l AS (
   SELECT n, head, place, token, count(*) AS c FROM (SELECT n, head, tokens, unnest(range(4, n + 1)) AS place, unnest(tokens[4:]) AS token FROM d) GROUP BY n, head, place, token
 ), top AS (
   SELECT n, head, list(token ORDER BY place) AS template FROM (SELECT n, head, place, token, row_number() OVER (PARTITION BY n, head, place ORDER BY c DESC, token DESC) AS r FROM p) WHERE r = 1 GROUP BY n, head
-), m AS (
-  SELECT d.n, d.head, d.line, lo, hi, start,
-    CASE WHEN 100 * (SELECT count(*) FROM (SELECT unnest(d.tokens[4:]) AS x, unnest(top.template) AS y) WHERE x = y) >= 70 * (d.n - 3) THEN '' ELSE line END AS template
-  FROM d JOIN top ON top.n = d.n AND top.head = d.head
+), a0 AS (
+  SELECT d.n, d.head, d.line, d.tokens[4:] AS toks, 100 * len(list_filter(range(1, d.n - 2), lambda i: d.tokens[i + 3] = top.template[i])) >= 70 * (d.n - 3) AS alike FROM d JOIN top ON top.n = d.n AND top.head = d.head
+), g0 AS (
+  SELECT n, head, line, '' AS template FROM a0 JOIN (SELECT n, head FROM a0 WHERE alike GROUP BY n, head HAVING count(*) > 1) USING (n, head) WHERE alike
+), o1 AS (
+  SELECT n, head, line, toks FROM a0 ANTI JOIN g0 USING (n, head, line) WHERE len(toks) * 30 >= 100
+), """
+    + _TURN.format(t=1, blocks=_BLOCKS)
+    + ", o2 AS (SELECT n, head, line, toks FROM o1 ANTI JOIN g1 USING (n, head, line)), "
+    + _TURN.format(t=2, blocks=_BLOCKS)
+    + r""", m AS (
+  SELECT d.n, d.head, d.line, lo, hi, start, coalesce(x.template, 'line:' || d.line) AS template
+  FROM d LEFT JOIN (SELECT * FROM g0 UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2) AS x USING (n, head, line)
 ), t AS (
-  SELECT n, head, template, min(start) AS start FROM m GROUP BY n, head, template HAVING min(lo) < max(hi)
-), g AS (
+  SELECT n, head, template, min(start) AS start, max(hi) AS last FROM m GROUP BY n, head, template HAVING min(start) // 1000000 < max(hi)
+), h AS (
   SELECT DISTINCT l.doc_id, l.line_no FROM l JOIN m ON m.n = l.n AND m.line = l.line JOIN t ON t.n = m.n AND t.head = m.head AND t.template = m.template WHERE l.doc_id * 1000000 + l.line_no <> t.start
-), a AS (
-  SELECT doc_id, count(*) AS n_dropped, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS dropped FROM g GROUP BY doc_id
+), c AS (
+  SELECT doc_id, count(*) AS n_dropped, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS dropped FROM h GROUP BY doc_id
 )
 SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, coalesce(dropped, '') AS dropped
-FROM documents LEFT JOIN a USING (doc_id)
+FROM documents LEFT JOIN c USING (doc_id)
 """
+)
 
 OP7_SQL = r"""
 WITH p AS (

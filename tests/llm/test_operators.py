@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlspike.llm import archives, brown, decontamination, lines, minhash, packing, pii, quality, toxicity, vectors
+from marlspike.llm import archives, brown, decontamination, lines, minhash, packing, pii, quality, queries, toxicity, vectors
 from marlspike.llm.common import Scratch, broadcast_if_small, connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -253,6 +253,27 @@ def test_a_leaf_has_several_templates(spark):
     assert got == {i: [0] for i in range(2, 8)}  # the first line of each template stays, and all natural lines
 
 
+def test_lines_against_their_sql_on_crowded_leaves(spark, tmp_path):
+    """Many templates in few leaves, groups of equal size, lines far over a page: the query's SQL has the same rows."""
+    import duckdb
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    heads = ["once upon a", "at the end"]
+    bodies = [[word(1) for _ in range(rng.choice([6, 6, 7, 9]))] for _ in range(25)]
+    line = lambda: " ".join([rng.choice(heads), *(w if rng.random() < 0.85 else word(2) for w in rng.choice(bodies))])
+    texts = ["\n".join(line() + (f" {rng.randrange(9)}x" if rng.random() < 0.2 else "") for _ in range(rng.randrange(12))) for _ in range(150)]
+    texts += ["\n".join(line() for _ in range(300)), texts[0], texts[1], "a\tb  c d e\r\na b c d e", "very long " + "word " * 30_000 + "\nvery long " + "word " * 30_000, None, ""]
+    docs = docs_of(spark, texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.dropped) for r in queries.op3_lines(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(queries.OP3_SQL).fetchall())
+    found = {i: d for i, _, _, d in got}
+    assert found[151] == ",".join(map(str, range(len(texts[0].split("\n"))))) and found[153] == ""
+
+
 # ---------------------------------------------------------------- 4 personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
