@@ -24,7 +24,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +37,10 @@ from .common import schema, slices
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 20
-WINDOWS_A_BATCH = 512
+#: Tokens, padding among them, that are decoded at once; rows of features that are numbers at once; tokens of a chunk that has a pattern.
+CELLS = 50_000
+ROWS_AT_ONCE = 2_000
+LONG_CHUNK = 12
 STEPS = 90
 #: Lines that are made of each of FORMS.
 MADE = 8
@@ -126,6 +130,19 @@ FORMS = """
 * call [phone|1-800-###-####] *
 * mobile [phone|0#### ######] *
 * phone: [phone|##########] *
+* reach me on [phone|0##/#######] *
+* reach me at [phone|0### #######] *
+* tel [phone|0### #######] *
+* tel: [phone|0## #######] *
+* ring [phone|0#### #######] *
+* please ring [phone|0### ######] *
+* call [phone|0### ######] *
+* mobil [phone|0###-########] *
+* Fon [phone|0#### ## ## ##] *
+* tél : [phone|0# ## ## ## ##] *
+* numéro : [phone|0#.##.##.##.##] *
+* or [phone|(0##) ###-##-##] *
+* Ruf [phone|0##/### ## ##] *
 * [phone|+# (###) ###-####] ### *
 * [phone|+# (###) ###-####] #### *
 * [phone|+# (###) ###-####] ##### #### *
@@ -143,6 +160,18 @@ FORMS = """
 * [email|~ at % dot % dot ^] *
 * [email|~ at %.^] *
 * [email|~ at %-% dot ^] *
+[email|~ at % dot ^]
+[email|~ at % dot ^] *
+* [email|~ at % dot ^]
+[phone|0### ######]
+* [email|~_at_%_dot_^] *
+* [email|~_dot_~_at_%_dot_^] *
+* [email|~ dot ~ at %-% dot ^] *
+* [email|j dot ~ at % dot ^] *
+* [email|m dot ~ at t-% dot ^] *
+* [email|~ {at} % {dot} ^] *
+* [email|~ <at> % <dot> ^] *
+* [email|~.~ [at] %-% [dot] ^] *
 * [email|~ arobase % point ^] *
 * [email|~ point ~ arobase % point ^] *
 * [email|~ arroba % punto ^] *
@@ -166,6 +195,12 @@ FORMS = """
 * [card|5###/####/####/####] *
 * card no [card|4###_####_####_####] *
 * Karte [card|4###:####:####:####] *
+* host [ip|1## . 1## . # . #] *
+* [ip|1## . ## . # . ##] *
+20##-0#-1#T1#:##:##
+* 20##-1#-2#T0#:##:## *
+## ## ## ## ## *
+* numbers ## ## ## ## ## *
 * ssn ###-##-#### *
 * ###-##-#### *
 * order ### ### #### *
@@ -297,32 +332,32 @@ def _shape(token: str) -> str:
     return token
 
 
-def features(tokens: list[tuple[str, int, int]]) -> list[list[str]]:
-    """A fixed number of features per token: (text, start, end)."""
+def features(tokens: list[tuple[str, int, int]], start: int = 0, end: int | None = None) -> Iterator[list[str]]:
+    """A fixed number of features per token (text, start, end), row by row, for the tokens from start to end."""
     shapes = ["^", "^", *(_shape(t) for t, _, _ in tokens), "$", "$"]
     lower = ["", "", *(t.lower() if t.lower() in KEYWORDS else "" for t, _, _ in tokens), "", ""]
     glue = [False, *(a[2] == b[1] for a, b in zip(tokens, tokens[1:])), False]
     chunks = _chunks(tokens, glue)
-    out, recent = [], ["-"] * 4
-    for i, (token, _, _) in enumerate(tokens):
+    recent = ["-"] * 4
+    for i, (token, _, _) in enumerate(tokens[:end]):
         p2, p, s, n, n2 = shapes[i : i + 5]
         word = lower[i + 2]
-        near = next((w for w in reversed(recent) if w != "-"), "-")
-        out.append([
-            "1", f"s{s}", f"w{word}", f"p{p}", f"n{n}", f"ps{p} {s}", f"sn{s} {n}", f"psn{p} {s} {n}", f"p2{p2} {p} {s}", f"n2{s} {n} {n2}",
-            f"g{glue[i]}{glue[i + 1]} {s}", f"k{near} {s[0]}", f"pw{lower[i + 1]} {s}", f"nw{lower[i + 3]} {s}", f"z{token[0] == '0'} {s} {near}", f"c{chunks[i][0]}", f"kc{near} {chunks[i][0]}", f"pc{chunks[i][1]} {chunks[i][0]}",
-        ])
+        if i >= start:
+            near = next((w for w in reversed(recent) if w != "-"), "-")
+            yield [
+                "1", f"s{s}", f"w{word}", f"p{p}", f"n{n}", f"ps{p} {s}", f"sn{s} {n}", f"psn{p} {s} {n}", f"p2{p2} {p} {s}", f"n2{s} {n} {n2}",
+                f"g{glue[i]}{glue[i + 1]} {s}", f"k{near} {s[0]}", f"pw{lower[i + 1]} {s}", f"nw{lower[i + 3]} {s}", f"z{token[0] == '0'} {s} {near}", f"c{chunks[i][0]}", f"kc{near} {chunks[i][0]}", f"pc{chunks[i][1]} {chunks[i][0]}",
+            ]
         recent = [*recent[1:], word or "-"]
-    return out
 
 
 def _chunks(tokens: list[tuple[str, int, int]], glue: list[bool]) -> list[tuple[str, str]]:
-    """For each token the pattern of its chunk between white space, and of the chunk before: lengths of digits, signs, x for letters; their beginnings."""
+    """For each token the pattern of its chunk between white space, and of the chunk before: lengths of digits, signs, x for letters; chunks of more tokens than any form has are alike."""
     out: list[tuple[str, str]] = []
     at, last = 0, ""
     for i in range(1, len(tokens) + 1):
         if not glue[i]:
-            pattern = "".join(str(min(len(t), 9)) if t.isdigit() else "x" if t[0].isalpha() else t for t, _, _ in tokens[at : min(i, at + 12)])
+            pattern = "".join(str(min(len(t), 9)) if t.isdigit() else "x" if t[0].isalpha() else t for t, _, _ in tokens[at:i]) if i - at <= LONG_CHUNK else "long"
             out += [(pattern, last)] * (i - at)
             at, last = i, pattern
     return out
@@ -377,21 +412,32 @@ class Field:
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.names, self.emit, self.move = names, emit, move
 
+    def _scores(self, s: "Stretch") -> np.ndarray:
+        """Scores of a stretch's tokens for each label; features are turned into numbers a few rows at a time, so that a token takes what its scores take."""
+        unknown, known = len(self.names), self.names.get
+        rows = features([*s.before, *s.tokens, *s.after], len(s.before), len(s.before) + len(s.tokens))
+        parts = []
+        while some := list(islice(rows, ROWS_AT_ONCE)):
+            parts.append(self.emit[np.array([[known(f, unknown) for f in row] for row in some])].sum(axis=1))
+        score = np.concatenate(parts)
+        score[0] += self.move[0] if s.before else 0
+        score[-1] += self.move[:, 0] if s.after else 0
+        if s.free is not None:
+            score[:, 1:] -= 1e4 * ~s.free[:, None]
+        return score
+
     def decode(self, sequences: list["Stretch"]) -> list[np.ndarray]:
         """The likeliest labels of each stretch, by Viterbi over all stretches at once; inner ends follow and precede an O."""
         if not sequences:
             return []
-        longest = max(len(s.tokens) for s in sequences)
-        score = np.zeros((len(sequences), longest, len(LABELS)))
         lengths = np.array([len(s.tokens) for s in sequences])
-        unknown, known = len(self.names), self.names.get
-        for i, s in enumerate(sequences):
-            idx = np.array([[known(f, unknown) for f in row] for row in features([*s.before, *s.tokens, *s.after])[len(s.before) : len(s.before) + len(s.tokens)]])
-            score[i, : len(s.tokens)] = self.emit[idx].sum(axis=1)
-            score[i, 0] += self.move[0] if s.before else 0
-            score[i, len(s.tokens) - 1] += self.move[:, 0] if s.after else 0
-            if s.free is not None:
-                score[i, : len(s.tokens), 1:] -= 1e4 * ~s.free[:, None]
+        longest = int(lengths.max())
+        if len(sequences) == 1:
+            score = self._scores(sequences[0])[None]
+        else:
+            score = np.zeros((len(sequences), longest, len(LABELS)))
+            for i, s in enumerate(sequences):
+                score[i, : len(s.tokens)] = self._scores(s)
         move = self.move + _FORBIDDEN
         back = np.zeros(score.shape, np.int8)
         state = score[:, 0] + _NO_START
@@ -412,6 +458,19 @@ class Field:
         return out
 
 
+def _batches_of(sequences: list["Stretch"]) -> Iterator[list[int]]:
+    """Numbers of stretches that are decoded together: of similar length, and of no more than CELLS tokens when padded; a longer one is alone."""
+    order = sorted(range(len(sequences)), key=lambda j: len(sequences[j].tokens))
+    some: list[int] = []
+    for j in order:
+        if some and (len(some) + 1) * len(sequences[j].tokens) > CELLS:
+            yield some
+            some = []
+        some.append(j)
+    if some:
+        yield some
+
+
 class _Group:
     """Lines of similar length: expected minus true labels and transitions, by forward and backward sums over all at once."""
 
@@ -454,7 +513,7 @@ def train(lines: Iterable[str], steps: int = STEPS, penalty: float = 0.02) -> Fi
     rows = [unmarked(line) for line in lines if line.strip()]
     tokens = [tokens_of(text) for text, _ in rows]
     labels = [_labels(t, spans) for t, (_, spans) in zip(tokens, rows)]
-    listed = [features(t) for t in tokens]
+    listed = [list(features(t)) for t in tokens]
     names = {f: i for i, f in enumerate(sorted({f for rows_ in listed for row in rows_ for f in row}))}
     k, width = len(LABELS), len(listed[0][0])
     order = sorted(range(len(rows)), key=lambda i: len(tokens[i]))
@@ -541,7 +600,7 @@ def stretches(text: str, reach: int = REACH) -> list[Stretch]:
 def _plausible(kind: str, text: str) -> bool:
     digits = _only_digits(text)
     if kind == "email":
-        return bool(re.search(r"@|\bat\b|arobase|arroba", text, re.I) and re.search(r"\.|\bdot\b|\bpoint\b|\bpunto\b|\bpunkt\b", text, re.I))
+        return bool(re.search(r"@|(?<![^\W_])(?:at|arobase|arroba)(?![^\W_])", text, re.I) and re.search(r"\.|(?<![^\W_])(?:dot|point|punto|punkt)(?![^\W_])", text, re.I))
     if kind == "ip":
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(map(_byte, parts))
@@ -569,9 +628,7 @@ def spans_of(texts: list[str | None], field: Field) -> list[tuple[list[tuple[str
             places.append(i)
             sequences.append(stretch)
     added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(sequences)), key=lambda j: len(sequences[j].tokens))
-    for at in range(0, len(order), WINDOWS_A_BATCH):
-        some = order[at : at + WINDOWS_A_BATCH]
+    for some in _batches_of(sequences):
         for j, labels in zip(some, field.decode([sequences[j] for j in some])):
             i = places[j]
             for kind, start, end in _labelled_spans(sequences[j].tokens, labels):
