@@ -8,10 +8,10 @@ the date in ISO 8601, the type (warcinfo for the version block, response for HTT
 digests of block and payload. Records whose payload of at least ``REVISIT_BYTES`` another one holds with a larger
 X-Page-Id become revisits of the one with the largest; shorter payloads are always written out.
 
-A WARC file is what Spark's text writer makes of records with the line separator CR LF CR LF, which is what ends a
-WARC record; files are gzipped, of at most ``RECORDS_A_FILE`` records each, and of fewer where the largest record times
-their number would be beyond ``FILE_BYTES``, and read back as binary files. Payloads may be any bytes. Parsing never
-looks past a declared length.
+A WARC file is what Spark's text writer makes of gzipped records, a member each, with an empty member as the line
+separator; a file holds ``RECORDS_A_FILE`` records at most, and fewer where the largest record times their number would
+be beyond ``FILE_BYTES``. Files are read back as binary files. Payloads may be any bytes. Parsing never looks past a
+declared length. A revisit names the identifier, address and date of the record that it refers to.
 
 Null payloads are empty, null addresses ``-``; white space in an address is percent-encoded. Rows without a page_id
 have no X-Page-Id, come back without one, are never revisits and have none. Repeated rows are records of their own. Empty tables give empty archives. Extra columns don't matter, whatever their names.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import datetime
+import gzip
 import hashlib
 import re
 import uuid
@@ -39,6 +40,10 @@ REVISIT_BYTES = 1000
 RECORDS_A_FILE = 2000
 ARC_RECORDS = 500
 FILE_BYTES = 128 << 20
+PIECE = 1 << 16
+#: What ends a WARC record, and a gzip member that holds nothing.
+SEPARATOR = b"\r\n\r\n"
+NOTHING = gzip.compress(b"", mtime=0)
 
 #: Fixed names of the header fields of ARC records.
 ARC_FIELDS = {
@@ -122,20 +127,25 @@ def warc_digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def record_id(url: str, date: str, page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {page_id} {digest}')}>"
+
+
 def warc_record(record: dict, refers_to: int | None) -> bytes:
-    """A WARC record up to its closing separator. A revisit keeps the HTTP header and drops the payload."""
+    """A WARC record up to its closing separator. A revisit keeps the HTTP header, drops the payload and names the record that holds it."""
     payload = record["payload"] or b""
     http = record["http"] or b""
     block = http + (b"" if refers_to is not None else payload)
     kind = "revisit" if refers_to is not None else record["arc_type"]
-    identity = uuid.uuid5(uuid.NAMESPACE_URL, f"{record['url']} {record['date']} {record['page_id']} {warc_digest(payload)}")
+    digest = warc_digest(payload)
     head = [
-        "WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{identity}>", f"WARC-Date: {record['date']}", f"WARC-Target-URI: {record['url']}",
-        f"WARC-Payload-Digest: {warc_digest(payload)}", f"WARC-Block-Digest: {warc_digest(block)}",
+        "WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(record['url'], record['date'], record['page_id'], digest)}", f"WARC-Date: {record['date']}", f"WARC-Target-URI: {record['url']}",
+        f"WARC-Payload-Digest: {digest}", f"WARC-Block-Digest: {warc_digest(block)}",
         f"Content-Type: {'application/http; msgtype=response' if http else 'application/warc-fields' if kind == 'warcinfo' else record['mime']}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        there = record_id(record["refers_url"], record["refers_date"], refers_to, digest)
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {there}", f"WARC-Refers-To-Target-URI: {record['refers_url']}", f"WARC-Refers-To-Date: {record['refers_date']}", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block
 
 
@@ -169,12 +179,15 @@ def read_warc(data: bytes) -> Iterator[dict]:
 
 
 def inflate(data: bytes) -> bytes:
-    """All members of a gzip file, or the data if it is none."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
+    """All members of a gzip file, or the data if it is none. Read in pieces, so that what follows a member isn't copied whole for each."""
+    out, at = [], 0
+    while data[at : at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(wbits=31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data
+        while not member.eof and at < len(data):
+            piece = data[at : at + PIECE]
+            out.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        out.append(member.flush())
     return b"".join(out) if out else data
 
 
@@ -242,23 +255,27 @@ def arc_records(files: DataFrame) -> DataFrame:
 
 
 def to_warc(records: DataFrame, path: str, scratch: Scratch, revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Write ARC records as WARC files."""
+    """Write ARC records as WARC files: a gzip member per record, as readers that seek by record expect, and an empty one between two."""
     long_ = (F.octet_length("payload") >= revisit_bytes) & (F.col("arc_type") == "response") & F.col("page_id").isNotNull()
     digest = F.sha1("payload")
-    sizes = scratch.keep(records.select(F.when(long_, digest).alias("digest"), "page_id", (F.octet_length("payload") + F.octet_length("http")).alias("bytes")), "sizes")
+    sizes = scratch.keep(records.select(F.when(long_, digest).alias("digest"), "page_id", "url", "date", (F.octet_length("payload") + F.octet_length("http")).alias("bytes")), "sizes")
     a_file = max(1, min(RECORDS_A_FILE, FILE_BYTES // (sizes.agg(F.max("bytes")).first()[0] or 1)))
-    copies = sizes.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("many")).where("many > 1").select("digest", "last")
-    placed = records.withColumn("digest", F.when(long_, digest)).join(copies, "digest", "left").withColumn("refers_to", F.when(F.col("last") > F.col("page_id"), F.col("last")))
-    names = [*schema(RECORDS).fieldNames(), "refers_to"]
+    copies = sizes.where("digest IS NOT NULL").groupBy("digest").agg(F.max(F.struct("page_id", "url", "date")).alias("last"), F.count("*").alias("many")).where("many > 1").select("digest", "last")
+    refers = F.when(F.col("last.page_id") > F.col("page_id"), F.col("last"))
+    joined = records.where(long_).withColumn("digest", digest).join(copies, "digest", "left").withColumn("refers", refers).drop("digest", "last")
+    short = records.where(~F.coalesce(long_, F.lit(False)))  # goes round the join
+    placed = joined.unionByName(short.withColumn("refers", F.lit(None).cast("struct<page_id:bigint,url:string,date:string>")))
+    placed = placed.select("*", F.col("refers.page_id").alias("refers_to"), F.col("refers.url").alias("refers_url"), F.col("refers.date").alias("refers_date"))
+    names = [*schema(RECORDS).fieldNames(), "refers_to", "refers_url", "refers_date"]
 
     def run(batches):
         any_bytes = pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True)
         for batch in slices(batches, 200):
             rows = batch.to_pylist()
-            raw = pa.array([warc_record(r, r["refers_to"]) for r in rows], pa.binary())
+            raw = pa.array([gzip.compress(warc_record(r, r["refers_to"]) + SEPARATOR, mtime=0) for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([raw.cast(options=any_bytes)], names=["value"])
 
-    placed.select(*names).mapInArrow(run, schema("value string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", a_file).text(path)
+    placed.select(*names).mapInArrow(run, schema("value string")).write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", a_file).text(path)
 
 
 def warc_records(files: DataFrame) -> DataFrame:

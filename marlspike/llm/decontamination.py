@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 from .common import Scratch, schema, slices
 
 WINDOW = 10
-SHARD_BYTES = 32 << 20
+#: Bytes of items that one automaton holds. A megabyte of items of 35 words takes about 120 MB in a worker, so a shard stays below 500 MB.
+SHARD_BYTES = 4 << 20
 #: Distinct words of one automaton up to which a character is enough.
 ONE_CHARACTER = 1_000_000
 FOREIGN = "\x01"

@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
 Tokenising is a map over the documents. What is packed afterwards are pieces of a few numbers each, dealt to
-packers of bounded size by a hash of the document, so that neither texts nor token ids are shuffled.
+packers of bounded size by a hash of the piece and its row, so that neither texts nor token ids are shuffled, and rows
+that share an id, or have none, don't share a packer.
 
 A packer is a bounded-space online best-fit: a fixed number of open bins, kept in a bitset whose bit ``f`` says that
 a bin with ``f`` free places is open. A piece goes to the bin with the least room that still takes it; when no bin
@@ -194,7 +195,7 @@ def pack(pieces: DataFrame, n_pieces: int, capacity: int = CAPACITY, open_bins:
         bins, offsets = pack_lengths(group["length"].to_numpy(), capacity, open_bins, look_ahead)
         return group.assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)[[c.split()[0] for c in PLACES.split(", ")]]
 
-    order = F.xxhash64("doc_id", "piece")
+    order = F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id())  # pieces are a stored table, so a row's number stays
     dealt = pieces.withColumn("order", order).withColumn("packer", F.pmod(F.xxhash64("order"), F.lit(packers)).cast("int"))
     return dealt.groupBy("packer").applyInPandas(run, schema(PLACES))
 

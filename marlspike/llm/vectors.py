@@ -18,7 +18,7 @@ Vectors that are null, empty, zero or hold null or non-finite components link wi
 component; vectors of different lengths are never linked, and a cosine of exactly the threshold is a link as far as
 double precision tells. Rows are told apart by vec_id: a repeated row isn't another vector, so that it is counted once
 and each copy gets the same result; rows of one vec_id with different vectors count as vectors of their own. The labels
-column isn't read, nor are other columns. An empty table gives an empty table.
+column isn't read, nor are other columns. Rows without a vec_id link with nothing, have no component and are kept. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -134,9 +134,9 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     spark = rows.sparkSession
     scratch = Scratch(spark, "vectors")
     every = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
+    sound = F.col("vec_id").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     plain = F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x))  # one zero
-    every = every.select("vec_id", F.when(sound, plain).alias("v")).select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2"))
+    every = every.select("vec_id", F.when(sound, plain).alias("v")).select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.reverse("v")).alias("h2"))
     reps = every.where("v IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "v")).alias("first"))
     holders = every.where("v IS NOT NULL").select("h1", "h2", "vec_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("many"))
     reps = scratch.keep(reps.join(holders, ["h1", "h2"]).select("h1", "h2", "first.vec_id", "first.v", "many", F.size("first.v").alias("dim")), "distinct")
@@ -170,7 +170,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     whole = whole.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     out = every.select("vec_id", "h1", "h2", F.col("v").isNotNull().alias("sound")).join(whole, ["h1", "h2"], "left")
     component = F.when(F.col("sound"), F.col("component_id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("sound"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.when(F.col("sound"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def _blocks(reps: DataFrame, axes: np.ndarray | None, dim: int, n: int, cosine: float, block: int) -> DataFrame:

@@ -82,6 +82,13 @@ def test_repeated_vectors_and_ties_at_the_threshold(spark):
     assert got == [(1, 2, 1), (1, 2, 1), (2, 3, 1), (3, 1, 1), (4, 2, 1), (4, 2, 1)]
 
 
+def test_vectors_without_an_id(spark):
+    v, w = [1.0, 2.0, 3.0], [3.0, -1.0, 0.0]
+    rows = spark.createDataFrame([(None, v), (3, v), (None, None), (5, v), (9, w), (None, w)], "vec_id long, embedding array<float>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(rows).collect()), key=repr)
+    assert got == sorted([(None, 0, None, True)] * 3 + [(3, 1, 3, True), (5, 1, 3, False), (9, 0, 9, True)], key=repr)
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
@@ -606,6 +613,40 @@ def test_arc_round_trip(version):
     assert [b["payload_digest"] for b in back[1:]] == [hashlib.sha1(p).hexdigest() for p in payloads]
 
 
+def test_warc_files_have_a_member_a_record_and_name_what_revisits_refer_to(spark, tmp_path):
+    import zlib as z
+
+    pages = [(i, f"http://a/{i}", "x" * 1200 if i % 3 else f"y{i}" * 700) for i in range(30)] + [(40, "http://a/short", "s"), (41, "http://a/short2", "s")]
+    rows = archives.arc_records(archives.arc_files(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    archives.to_warc(rows, str(tmp_path / "w"), Scratch(spark, "t"))
+    ids, named, members = {}, [], 0
+    for file in (tmp_path / "w").glob("part-*"):
+        data = file.read_bytes()
+        while data:
+            member = z.decompressobj(wbits=31)
+            record, data = member.decompress(data) + member.flush(), member.unused_data
+            if not record:
+                continue
+            head = dict(x.split(": ", 1) for x in record.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+            assert record.startswith(b"WARC/1.0\r\n") and record.endswith(b"\r\n\r\n") and record.count(b"WARC/1.0") == 1
+            members += head["WARC-Type"] != "warcinfo"
+            ids[head["WARC-Record-ID"]] = head
+            if head["WARC-Type"] == "revisit":
+                named.append(head)
+    assert members == 32 == sum(h["WARC-Type"] != "warcinfo" for h in ids.values()) and len(named) == 19
+    for head in named:
+        there = ids[head["WARC-Refers-To"]]
+        assert there["WARC-Type"] == "response" and there["WARC-Payload-Digest"] == head["WARC-Payload-Digest"]
+        assert (there["WARC-Target-URI"], there["WARC-Date"]) == (head["WARC-Refers-To-Target-URI"], head["WARC-Refers-To-Date"])
+
+
+def test_members_are_inflated_one_after_the_other():
+    import gzip
+
+    parts = [b"", b"a" * 10, bytes(range(256)) * 2000, b"", b"end"]
+    assert archives.inflate(b"".join(gzip.compress(p) for p in parts)) == b"".join(parts) and archives.inflate(b"plain") == b"plain"
+
+
 def test_archives_through_spark(spark):
     big, small = "<p>" + "x" * 1000, "tiny"
     rows = [(1, "http://a b/1", big, 1), (2, None, big, 1), (5, "http://a/5", big, 1), (3, "http://a/3", small, 1), (4, "http://a/4", small, 1), (6, "http://a/6", None, 1), (7, "http://a/7", "\r\n\r\nWARC/1.0", 1)]
@@ -677,6 +718,17 @@ def test_the_bound_acts_and_costs_little():
     assert packer.bins <= 1.02 * -(-lengths.sum() // 1024)
 
 
+def test_rows_without_an_id_share_no_packer(spark):
+    rows = spark.createDataFrame([(None, "a"), (None, "b"), (7, "a")] * 400, "doc_id long, text string")
+    pieces = packing.token_pieces(rows, tokenizer(), 64)
+    scratch = Scratch(spark, "t")
+    kept = scratch.keep(pieces, "pieces")
+    got = packing.pack(kept, kept.count(), 64, a_packer=100).collect()
+    packers = Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 1200 and len(packers) == 12 and max(packers.values()) < 200
+    assert sum(r.length for r in got) == sum(r.length for r in kept.collect())
+
+
 def test_nothing_to_pack(spark):
     assert packing.pack_documents(docs_of(spark, ["a"]).limit(0), tokenizer()).collect() == []
 
