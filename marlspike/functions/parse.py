@@ -136,6 +136,24 @@ def source_label(source_type: Column) -> Column:
     return out
 
 
+#: Fixed: sources that are agents; all others belong to the category other.
+AGENT_SOURCES = ("hermes", "codex", "gemini", "openclaw", "agent")
+
+
+def source_category(source_type: Column) -> Column:
+    """agent or other; sessions belong where their agent does."""
+    return F.when(F.regexp_replace(source_type, "_session$", "").isin(*AGENT_SOURCES), "agent").otherwise("other")
+
+
+def legacy_source(kind: Column, source_type: Column) -> Column:
+    """The source by which older clients know a document."""
+    return F.when(kind == "knowledge", "knowledge").otherwise(source_type)
+
+
+def fingerprint(device: Column, system: Column) -> Column:
+    return F.sha2(F.concat(device, F.lit(":"), system), 256)
+
+
 def agent_id(name: Column) -> Column:
     lower = F.lower(name)
     out = lower

@@ -131,16 +131,21 @@ def _starts(text: Column, prefixes: tuple[str, ...]) -> Column:
 
 
 def strip_heartbeat(text: Column) -> Column:
-    """Drops heartbeat blocks: from a starting line on, until a line that neither continues the block nor is blank."""
+    """Drops heartbeat blocks: from a starting line on, until a line that neither continues the block nor is blank.
 
-    def step(state: Column, line: Column) -> Column:
-        bare = trim(line)
-        start = _starts(bare, HEARTBEAT_START) | (bare.startswith("When reading HEARTBEAT.md") & bare.contains("workspace"))
-        more = state["skip"] & ((bare == "") | _starts(bare, HEARTBEAT_MORE))
-        return F.struct((start | more).alias("skip"), F.when(start | more, state["kept"]).otherwise(F.concat(state["kept"], F.array(line))).alias("kept"))
+    Each line becomes a letter (start, more, other); what is dropped are starts and the mores right behind what is dropped.
+    """
 
-    first = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("kept"))
-    return F.aggregate(lines(text), first, step, lambda s: joined(s["kept"]))
+    def letter(line: Column) -> Column:
+        start = _starts(line, HEARTBEAT_START) | (line.startswith("When reading HEARTBEAT.md") & line.contains("workspace"))
+        return F.when(start, "s").when((line == "") | _starts(line, HEARTBEAT_MORE), "m").otherwise("o")
+
+    def kept(all_lines: Column) -> Column:
+        letters = F.array_join(F.transform(all_lines, lambda x: bind(trim(x), letter)), "")
+        marks = F.split(F.regexp_replace(letters, r"s|(?!^)\Gm", "x"), "")
+        return bind(marks, lambda m: joined(F.filter(all_lines, lambda _, i: F.get(m, i) != "x")))
+
+    return bind(lines(text), kept)
 
 
 def clean_knowledge(text: Column, config: CleanConfig = CleanConfig()) -> Column:

@@ -147,6 +147,23 @@ def next_run(at: Column, now: Column) -> Column:
     return F.when(today > now, today).otherwise(F.timestamp_add("DAY", F.lit(1), today))
 
 
+def due(at: Column, now: Column, last_run: Column) -> Column:
+    """Whether a task for a time of day HH:MM is to run in this minute: it is its time, and it hasn't run today."""
+    return (F.date_format(now, "HH:mm") == at) & ~F.coalesce(last_run.cast("date") == now.cast("date"), F.lit(False))
+
+
+def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with equal keys the first by order; one aggregation, so that a key with very many rows is summed up first."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    first = F.min(F.struct(*order, *rest)).alias("first")
+    return rows.groupBy(*keys).agg(first).select(*(F.col(c) if c in keys else F.col(f"first.{c}") for c in rows.columns))
+
+
+def installed_agents(probes: DataFrame) -> DataFrame:
+    """The agents found on machines: of valid probes (agent_type, environment, path, valid) one per type and environment, by the smallest path."""
+    return first_by(probes.where("valid").drop("valid"), ["agent_type", "environment"], ["path"])
+
+
 def all_paths(configs: DataFrame) -> DataFrame:
     """The paths of all configurations as rows, in the configurations' order: place, path."""
     return configs.select("id", F.posexplode("paths").alias("place", "path"))

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import is_vectorized
+from ..functions.parse import is_vectorized, utf8_prefix
+from .search import expanded
 
 
 class EmbeddingBackend(Protocol):
@@ -26,6 +27,24 @@ class KeywordBackend(Protocol):
     def __call__(self, title: str, content: str) -> str: ...
 
 
+class SummaryBackend(Protocol):
+    """A text to its summary of at most so many characters."""
+
+    def __call__(self, text: str, most: int) -> str: ...
+
+
+def summarize(doc: DataFrame, backend: SummaryBackend, most: int = 300, most_bytes: int = 5000) -> DataFrame:
+    """id and summary of documents with content, of which the back-end sees so many bytes, cut after a whole character; empty answers stay out."""
+    rows = doc.where("content <> ''").select("id", utf8_prefix(F.col("content"), most_bytes).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            said = [(backend(t, most) or "").strip()[:most] for t in part["text"]]
+            yield pd.DataFrame({"id": part["id"], "summary": said})[[bool(s) for s in said]]
+
+    return rows.mapInPandas(run, "id string, summary string")
+
+
 def frequent_words(title: str, content: str, most: int = 5) -> str:
     """The default: the most frequent words of at least four letters, ties by the alphabet."""
     count = Counter(re.findall(r"[^\W\d_]{4,}", f"{title} {content}".lower()))
@@ -50,9 +69,9 @@ def embed(texts: DataFrame, backend: EmbeddingBackend, cache: DataFrame | None =
     return hashed.select("id", "text_hash").join(known, "text_hash", "left")
 
 
-def light_embed(doc: DataFrame, backend: KeywordBackend = frequent_words, kinds: tuple[str, ...] = ("knowledge", "memory", "session")) -> DataFrame:
-    """Active rows without tags get those that the back-end gives. Rows it gives none stay out. How many requests run at once is the back-end's to bound."""
-    pending = doc.where((F.col("status") == "active") & F.col("type").isin(*kinds) & ~is_vectorized(F.col("metadata"))).select("id", "title", "content")
+def light_embed(doc: DataFrame, backend: KeywordBackend = frequent_words, kind: str | None = None) -> DataFrame:
+    """Active rows without tags, of a type or a source if one is given, get those that the back-end gives. Rows it gives none stay out. How many requests run at once is the back-end's to bound."""
+    pending = doc.where((F.col("status") == "active") & expanded(kind) & ~is_vectorized(F.col("metadata"))).select("id", "title", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

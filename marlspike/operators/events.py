@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +15,26 @@ def debounced(events: DataFrame, seconds: int, key: str = "key", at: str = "ts",
     """Accepted events: an event counts if the last one that counted for its key is at least so long ago.
 
     An event that follows the one before it by that long always counts, so events fall into bursts that don't depend on
-    each other; only a burst is folded in order.
+    each other. Bursts are dealt out by key and number and read in order, with nothing but the last accepted moment in
+    memory, however long a burst is.
     """
     order = Window.partitionBy(key).orderBy(at, tie)
     gap = F.timestamp_diff("SECOND", F.lag(at).over(order), F.col(at))
     bursts = events.withColumn("starts", F.when(gap.isNull() | (gap >= seconds), 1).otherwise(0)).withColumn("burst", F.sum("starts").over(order))
-    rows = bursts.groupBy(key, "burst").agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie")))).alias("rows"))
-    none = F.slice("rows", 1, 0)
-    taken = F.aggregate("rows", none, lambda got, r: F.when((F.size(got) == 0) | (F.timestamp_diff("SECOND", F.get(got, F.size(got) - 1)["at"], r["at"]) >= seconds), F.concat(got, F.array(r))).otherwise(got))
-    return rows.select(key, F.explode(taken).alias("row")).select(key, F.col("row.at").alias(at), F.col("row.tie").alias(tie))
+    rows = bursts.select(key, "burst", at, tie).repartition(key, "burst").sortWithinPartitions(key, "burst", at, tie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, 0
+        for batch in batches:
+            taken = []
+            moments = batch.column(2).cast(pa.timestamp("us", getattr(batch.column(2).type, "tz", None))).cast(pa.int64()).to_pylist()
+            for i, (k, burst, moment) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), moments)):
+                if (k, burst) != now or (moment - last) // 1_000_000 >= seconds:
+                    taken.append(i)
+                    now, last = (k, burst), moment
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema).select(key, at, tie)
 
 
 def cooled(events: DataFrame, done: DataFrame, seconds: int, key: str = "key", at: str = "ts") -> DataFrame:

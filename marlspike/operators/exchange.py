@@ -141,13 +141,35 @@ def section_memories(texts: DataFrame, category: str) -> DataFrame:
     return parts.select("id", "place", title.alias("title"), F.when(named, trim(F.regexp_replace("section", r"\A[^:]*:", ""))).otherwise(F.col("section")).alias("body"))
 
 
+#: Fixed values of what each kind of activity becomes: type, scope, confidence, visibility.
+ACTIVITIES = {
+    "agent": ("episodic", "session", 0.8, "agent"), "decision": ("decision", "project", 0.9, "project"), "git": ("episodic", "project", 1.0, "project"),
+    "browser": ("episodic", "session", 0.6, "private"), "chat": ("episodic", "session", 0.7, "private"), "preference": ("preference", "global", 1.0, "private"),
+}
+
+
 def activity_memories(events: DataFrame) -> DataFrame:
-    """Events as memories, each kind with its type, scope, confidence and visibility."""
-    pick = lambda click, error, purchase, signup, other: (
-        F.when(F.col("event_type") == "click", click).when(F.col("event_type") == "error", error).when(F.col("event_type") == "purchase", purchase).when(F.col("event_type") == "signup", signup).otherwise(other)
-    )
-    return events.select(
-        "event_id", F.concat(pick("Browser: ", "Decision: ", "Git: ", "Preference: ", "Chat: "), F.col("event_id").cast("string")).alias("title"),
-        pick("episodic", "decision", "episodic", "preference", "episodic").alias("memory_type"), pick("session", "project", "project", "global", "session").alias("scope"),
-        pick(0.6, 0.9, 1.0, 0.95, 0.7).alias("confidence"), pick("private", "project", "project", "private", "agent").alias("visibility"),
+    """Activities (event_id, kind, title, content, detail, actor, tags) as memories, each kind with its texts, tags and constants.
+
+    detail: a decision's reason, a commit's hash, a page's address, a chat's platform, a preference's value; actor: who
+    committed, sent or decided.
+    """
+    kind, title, detail = F.col("kind"), F.coalesce("title", F.lit("")), F.coalesce("detail", F.lit(""))
+    body = F.coalesce("content", F.lit(""))
+    first_line = F.coalesce(F.nullif(F.split(title, "\n")[0], F.lit("")), F.lit("No message"))
+    name = F.when(kind == "git", F.concat(F.lit("Git: "), first_line)).when(kind == "browser", F.concat(F.lit("浏览: "), title)).when(kind == "chat", F.concat(detail, F.lit(": "), F.coalesce("title", "actor"))).when(kind == "preference", F.concat(F.lit("偏好: "), title)).otherwise(title)
+    text = (
+        F.when(kind == "decision", F.concat(F.lit("# "), title, F.lit("\n\n"), body, F.lit("\n\n## 决策原因\n"), detail))
+        .when(kind == "git", F.concat(F.lit("# Git Commit\n\n**Hash:** "), detail, F.lit("\n**Author:** "), F.coalesce("actor", F.lit("")), F.lit("\n**Message:**\n"), title, F.lit("\n\n**Files Changed:**\n"), body))
+        .when(kind == "browser", F.concat(F.lit("# 浏览: "), title, F.lit("\n\n**URL:** "), detail, F.lit("\n\n"), body))
+        .when(kind == "preference", F.concat(F.lit("# 偏好: "), title, F.lit("\n\n**值:** "), detail, F.lit("\n\n"), F.when(body != "", F.concat(F.lit("**上下文:**\n"), body)).otherwise(""))).otherwise(body)
+    )
+    own = F.coalesce("tags", F.array().cast("array<string>"))
+    tags = F.when(kind == "git", F.array(F.lit("git"), F.lit("commit"))).when(kind == "browser", F.array(F.lit("browser"), F.lit("web"))).when(kind == "chat", F.array(detail, F.lit("chat"))).when(kind == "preference", F.array(F.lit("preference"), title)).otherwise(own)
+    source = F.when(kind.isin("agent", "decision"), "agent").when(kind == "chat", F.when(detail.isin("wechat", "feishu"), detail).otherwise("manual")).when(kind == "preference", "manual").otherwise(kind)
+    owner = F.when(kind.isin("git", "chat"), F.col("actor"))
+    constant = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in ACTIVITIES.items() for x in (k, v[i]))), kind)
+    return events.where(kind.isin(*ACTIVITIES)).select(
+        "event_id", name.alias("title"), text.alias("content"), constant(0).alias("memory_type"), constant(1).alias("scope"), constant(2).alias("confidence"), constant(3).alias("visibility"),
+        tags.alias("tags"), source.alias("source_type"), owner.alias("owner"),
     )

@@ -42,6 +42,21 @@ def list_filter(source_type: str | None) -> Column:
     return (F.col("type") == kind) & (F.col("source_type") == source_type)
 
 
+def expanded(kind: str | None) -> Column:
+    """Which documents a job for a type covers: knowledge, memory or session, the documents of one source, or all."""
+    if kind is None:
+        return F.lit(True)
+    return F.col("type" if kind in ("knowledge", "memory", "session") else "source_type") == kind
+
+
+def pending(doc: DataFrame, knowledge_ext: DataFrame, kind: str | None = None) -> DataFrame:
+    """Active documents of a type that have no tags yet; of knowledge only current versions."""
+    rows = doc.where((F.col("status") == "active") & expanded(kind) & ~parse.is_vectorized(F.col("metadata")))
+    if kind != "knowledge":
+        return rows
+    return rows.join(knowledge_ext.where("NOT is_current").select("id"), "id", "left_anti")
+
+
 def search_filter(source_types: str | None) -> Column:
     """Which documents a search over a comma-separated list of sources covers; ``x_session`` also covers sessions of ``x``."""
     wanted = [s.strip() for s in (source_types or "").split(",") if s.strip()]

@@ -45,6 +45,38 @@ def progress(doc: DataFrame) -> DataFrame:
     return active.withColumn("percent", percent(F.col("embedded"), F.col("total")))
 
 
+def totals_by_source(doc: DataFrame, kind: str) -> DataFrame:
+    """As by_source, with the grand total in the row of source ``all``."""
+    active = doc.where((F.col("type") == kind) & (F.col("status") == "active"))
+    out = active.rollup("source_type").agg(F.count("*").alias("total"), count_if(is_vectorized(F.col("metadata"))).alias("embedded"), F.grouping("source_type").alias("all"))
+    return out.select(F.when(F.col("all") == 1, "all").otherwise(F.col("source_type")).alias("source_type"), "total", "embedded")
+
+
+def task_progress(doc: DataFrame, knowledge_ext: DataFrame, task: DataFrame) -> DataFrame:
+    """One row: stage, indexed_count, vectorized_count, total_files, index_progress, vectorize_progress and last_indexed.
+
+    ``task`` (stage, total, indexed, vectorized) has a row while one runs. While files are scanned or indexed, their share
+    is of what the task found, while rows are vectorized, theirs is; all other shares are of the current versions.
+    """
+    known = knowledge_ext.agg(count_if(F.col("is_current")).alias("db_total"))
+    active = (F.col("type") == "knowledge") & (F.col("status") == "active")
+    there = doc.agg(count_if(active).alias("db_indexed"), count_if(active & is_vectorized(F.col("metadata"))).alias("db_vectorized"), F.max(F.when(F.col("type") == "knowledge", F.col("updated_at"))).alias("last_indexed"))
+    rows = there.join(F.broadcast(known)).join(F.broadcast(task.limit(1)), F.lit(True), "left")
+    indexing, vectorizing = F.coalesce(F.col("stage").isin("indexing", "scanning"), F.lit(False)), F.coalesce(F.col("stage").startswith("vectorizing"), F.lit(False))
+    busy = F.col("stage").isNotNull() & ~vectorizing  # whatever else runs shows its own counts
+    return rows.select(
+        F.when(vectorizing, "vectorizing").otherwise(F.coalesce("stage", F.lit("idle"))).alias("stage"), F.when(busy, F.col("total")).otherwise(F.col("db_total")).alias("total_files"),
+        F.when(busy, F.col("indexed")).otherwise(F.col("db_indexed")).alias("indexed_count"), F.when(busy & ~indexing, F.col("vectorized")).otherwise(F.col("db_vectorized")).alias("vectorized_count"),
+        F.when(indexing, percent(F.col("indexed"), F.col("total"))).otherwise(percent(F.col("db_indexed"), F.col("db_total"))).alias("index_progress"),
+        F.when(vectorizing, percent(F.col("vectorized"), F.col("total"))).otherwise(percent(F.col("db_vectorized"), F.col("db_total"))).alias("vectorize_progress"), "last_indexed",
+    )
+
+
+def grouped(rows: DataFrame, by: str) -> DataFrame:
+    """How many rows each group of a list has, and its oldest and newest."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.min("updated_at").alias("oldest"), F.max("updated_at").alias("newest"))
+
+
 def coverage(doc: DataFrame) -> DataFrame:
     """Whole percents of embedded documents by kind and over all."""
     out = doc.where("status = 'active'").rollup("type").agg(F.count("*").alias("total"), count_if(is_vectorized(F.col("metadata"))).alias("embedded"))

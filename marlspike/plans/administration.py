@@ -179,7 +179,8 @@ def config_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT 'kind' || user_id % 5 AS agent_type, 'env' || user_id % 3 AS environment FROM events")
 def distinct_agents(spark: SparkSession, d: str) -> DataFrame:
-    return frames.table(spark, d, "events").selectExpr("concat('kind', user_id % 5) AS agent_type", "concat('env', user_id % 3) AS environment").dropDuplicates(["agent_type", "environment"])
+    probes = frames.table(spark, d, "events").selectExpr("concat('kind', user_id % 5) AS agent_type", "concat('env', user_id % 3) AS environment", "'' AS path", "true AS valid")
+    return ops.installed_agents(probes).drop("path")
 
 
 def _imported(spark: SparkSession, d: str, strategy: str) -> DataFrame:

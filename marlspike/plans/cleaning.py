@@ -16,9 +16,9 @@ query = registry.query
 
 #: Texts that the documents have no examples of; their ids are -1, -2, ...
 CASES = (
-    "top\n\n\n\n\nmiddle\n\n\n\nend", "数 据 very big 很 多 行", "zero\u200bwidth\u200c mark\ufeff", "| name | count |\n|---|---|\n|  |  |\n| pears | 7 |\n|  |", "same row\nsame row\nsame row\nother row",
-    "user: hello", "mark\nbody one\nmark\nbody two\nmark\nbody three", "姓名：  电话：  \nname: value: \nnormal: line", "  indented   line  \n　　wide  space", "a\r\nb  \r\n",
-    "Read HEARTBEAT.md now\n\nIf nothing needs attention stop\nreal line\nreply HEARTBEAT_OK", "---\ntitle: A: b\ntags: x, y ,,z\n---\n# Head\nbody", "# Only head\ntext", "", "x", "JFIF data", "\u0001\u0002\u0003\u0004\u0005\u0006\u0007abc",
+    "\t\n \nfirst\n\nsecond\n\t \n\n \nthird\n\n", "go 東 京\tへ 1 春 夏秋  冬 end", "‎​one⁠two‮﻿", "  |   | |\n||\n| --- |\n  | : | - |\n| \t |x|\n|---|---", "abcd\nabcd\nabcde\n  abcde\t\nabcde\né é\né é\nabcde",
+    "tool: nothing said", " note 7\nA\nnote 7\t\nB\n\tnote 7 \nnote\nnote\nC", "電話：  住所：\nroom:  floor: \nroom: 3 floor:\na: b: c", "\t tab  first\n 　 two　　words \n\n\t\t\nx\ty", "one\r\n\r\n two \t\r\nthree\r",
+    "If nothing needs attention\nwell\n Current time: now\n\n\t\nDo not infer it\nDo not\nWhen reading HEARTBEAT.md in a workspace\nDo not read\nFollow it strictly", "---\nkey: v: w\n title : Own: name \nempty:\ntags: p ,q,, r\nno colon\n---\n\n# Name\nrest", "#  Spaced head \nx", "", "7", "RIFF data", "\u0001\u0002a\u0003b\u0004c",
 )
 
 
@@ -213,13 +213,17 @@ def binary_garbage(spark, d):
 _FRONT = r"'(?s)\A---(.*?)---(.*)\z'"
 
 
-@query(S.with_(TEXTS, rf"SELECT id, regexp_matches(content, '(?s)\A---.*?---') AS found, CASE WHEN regexp_matches(content, '(?s)\A---.*?---') THEN {_trim(f'regexp_extract(content, {_FRONT}, 2)')} ELSE content END AS body, CASE WHEN regexp_matches(content, '(?s)\A---.*?---') THEN 2 ELSE 0 END::BIGINT AS n_keys FROM texts"))
+@query(S.with_(TEXTS, rf"SELECT id, regexp_matches(content, '(?s)\A---.*?---') AS found, CASE WHEN regexp_matches(content, '(?s)\A---.*?---') THEN {_trim(f'regexp_extract(content, {_FRONT}, 2)')} ELSE content END AS body, CASE WHEN regexp_matches(content, '(?s)\A---.*?---') THEN len(list_distinct(list_transform(list_filter(string_split(regexp_extract(content, {_FRONT}, 1), chr(10)), lambda x: contains(x, ':')), lambda x: trim(split_part(x, ':', 1))))) ELSE 0 END::BIGINT AS n_keys FROM texts"))
 def frontmatter(spark, d):
     meta, body = parse.frontmatter(F.col("content"))
     return texts(spark, d).select("id", F.col("content").rlike(r"(?s)\A---.*?---").alias("found"), body.alias("body"), F.size(F.map_keys(meta)).cast("long").alias("n_keys"))
 
 
-@query(S.with_(TEXTS, r"SELECT id, CASE WHEN regexp_matches(content, '(?s)\A---.*?---') THEN 'A: b' WHEN regexp_matches(content, '(?m)^[ \t]*# ') THEN regexp_extract(content, '(?m)^[ \t]*# (.*)$', 1) ELSE 'file_' || id END AS title FROM texts"))
+_HEADING = _trim(r"regexp_extract(body, '(?m)^[ \t]*# (.*)$', 1)")
+_BODIES = rf"b AS (SELECT id, CASE WHEN found THEN {_trim(f'regexp_extract(content, {_FRONT}, 2)')} ELSE content END AS body, CASE WHEN found THEN regexp_extract(content, {_FRONT}, 1) ELSE '' END AS block FROM (SELECT *, regexp_matches(content, '(?s)\A---.*?---') AS found FROM texts))"
+
+
+@query(S.with_(f"{TEXTS}, {_BODIES}", rf"SELECT id, CASE WHEN regexp_matches(block, '(?m)^\s*title\s*:') THEN {_trim(r"regexp_extract(block, '(?m)^\s*title\s*:(.*)$', 1)")} WHEN regexp_matches(body, '(?m)^[ \t]*# ') THEN {_HEADING} ELSE 'file_' || id END AS title FROM b"))
 def extract_title(spark, d):
     meta, body = parse.frontmatter(F.col("content"))
     return texts(spark, d).select("id", parse.title(meta, body, F.expr("concat('/kb/file_', id, '.md')")).alias("title"))

@@ -118,7 +118,7 @@ def merge_source_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(S.with_(S.FULL, "SELECT memory_type, count(*) AS n, min(updated_at) AS oldest, max(updated_at) AS newest FROM defaulted WHERE type = 'memory' GROUP BY memory_type"))
 def group_by_category(spark: SparkSession, d: str) -> DataFrame:
     rows = search.with_memory_defaults(frames.memories(spark, d), frames.memory_ext(spark, d))
-    return rows.groupBy("memory_type").agg(F.count("*").alias("n"), F.min("updated_at").alias("oldest"), F.max("updated_at").alias("newest"))
+    return stats.grouped(rows, "memory_type")
 
 
 @query("SELECT conv_id, count(*) AS message_count FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")

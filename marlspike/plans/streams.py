@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..operators import events as ops
-from ..operators import exchange, lifecycle
+from ..operators import lifecycle
 from ..sources import frames
 from . import sql as S
 from .registration import Registry
@@ -73,11 +73,6 @@ def device_offline(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.offline(seen, F.expr("timestamp_ntz'2024-01-29 12:00:00'"))
 
 
-@query("SELECT event_id, ['Browser: ', 'Decision: ', 'Git: ', 'Preference: ', 'Chat: '][k] || event_id AS title, ['episodic', 'decision', 'episodic', 'preference', 'episodic'][k] AS memory_type, ['session', 'project', 'project', 'global', 'session'][k] AS scope, [0.6, 0.9, 1.0, 0.95, 0.7][k]::DOUBLE AS confidence, ['private', 'project', 'project', 'private', 'agent'][k] AS visibility FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS k FROM events)")
-def activity_to_memory(spark: SparkSession, d: str) -> DataFrame:
-    return exchange.activity_memories(frames.table(spark, d, "events"))
-
-
 @query(S.with_(S.FILE_EVENTS, "SELECT event_id, (starts_with(path, '/kb/src1') OR starts_with(path, '/kb/src2')) AND NOT contains(path, 'error') AS watched FROM file_events"))
 def glob_filter(spark: SparkSession, d: str) -> DataFrame:
     return frames.file_events(spark, d).select("event_id", ops.watched(F.col("path"), ["*.md", "*.txt"], ["error"], ["/kb/src1", "/kb/src2"]).alias("watched"))

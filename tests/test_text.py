@@ -13,20 +13,24 @@ def one(spark, value, step):
 @pytest.mark.parametrize(
     ("step", "given", "wanted"),
     [
-        (text.compress_blank_lines, "top\n\n\n\n\nmiddle\n\n\nend", "top\n\nmiddle\n\nend\n"),
-        (text.fix_cjk_spacing, "数 据 big 很 多 行", "数据 big 很多行"),
-        (text.strip_zero_width, "zero​width‌ mark﻿", "zerowidth mark"),
-        (text.filter_table_rows, "| name | n |\n|---|---|\n|  |  |\n| pears | 7 |", "| name | n |\n|---|---|\n| pears | 7 |"),
-        (text.strip_token_stats, "A title (12in/34out tokens)", "A title"),
-        (text.strip_token_stats, "Plan" + " (1in/2out tokens) x" * 9 + " (1in/2out tokens)", "Plan" + "  x" * 9),
-        (text.dedup_adjacent_lines, "same row\nsame row\nother row", "same row\nother row\n"),
-        (text.remove_watermarks, "mark\nbody one\nmark\nbody two\nmark\nbody three", "body one\nbody two\nbody three"),
-        (text.remove_watermarks, "a\nb\na\n", "a\nb\na\n"),
-        (text.compress_spaces, "　　wide  space\n  in   dent  ", "　　wide space\n  in dent"),
-        (text.remove_template_lines, "姓名：  电话：  \nname: value: x\nok", "name: value: x\nok"),
-        (text.strip_heartbeat, "Read HEARTBEAT.md now\n\nIf nothing needs attention stop\nreal line\nreply HEARTBEAT_OK", "real line\nreply HEARTBEAT_OK"),
-        (text.trim_trailing, "a\r\nb  \r\n", "a\nb"),
+        (text.compress_blank_lines, "\t\n \nfirst\n\nsecond\n\t \n\n \nthird\n\n", "\nfirst\n\nsecond\n\nthird\n\n"),
+        (text.compress_blank_lines, "x", "x\n"),
+        (text.fix_cjk_spacing, "go 東 京\tへ 1 春 夏秋  冬 end", "go 東京\tへ 1 春夏秋  冬 end"),
+        (text.strip_zero_width, "‎​one⁠two‮﻿", "onetwo"),
+        (text.filter_table_rows, "  |   | |\n||\n| --- |\n  | : | - |\n| \t |x|", "| --- |\n  | : | - |\n| \t |x|"),
+        (text.strip_token_stats, "(3in/0out tokens) lead", "lead"),
+        (text.strip_token_stats, "a (1in/2out tokens) (b)", "a (1in/2out tokens) (b)"),
+        (text.dedup_adjacent_lines, "abcd\nabcd\nabcde\n  abcde\t\nabcde\né é\né é\nabcde", "abcd\nabcd\nabcde\né é\nabcde\n"),
+        (text.remove_watermarks, " note 7\nA\nnote 7\t\nB\n\tnote 7 \nnote\nnote\nC", "A\nB\nnote\nnote\nC"),
+        (text.remove_watermarks, "\n".join(["w" * 80] * 3 + ["v" * 79] * 2), "\n".join(["w" * 80] * 3 + ["v" * 79] * 2)),
+        (text.compress_spaces, "\t tab  first\n 　 two　　words \n\t\t\nx\ty", "\t tab first\n 　 two words\n\nx y"),
+        (text.remove_template_lines, "電話：  住所：\nroom:  floor: \nroom: 3 floor:\na: b: c", "room:  floor: \nroom: 3 floor:\na: b: c"),
+        (text.strip_heartbeat, "If nothing needs attention\nwell\n Current time: now\n\n\t\nDo not infer it\nDo not\nWhen reading HEARTBEAT.md in a workspace\nDo not read\nFollow it strictly", "If nothing needs attention\nwell\nDo not"),
+        (text.strip_heartbeat, "\n\nWhen reading HEARTBEAT.md\nCurrent time:", "\n\nWhen reading HEARTBEAT.md"),
+        (text.trim_trailing, "one\r\n\r\n two \t\r\nthree\r", "one\n\n two\nthree"),
         (text.clean_memory, "", ""),
+        (text.clean_knowledge, "表 头 一\t\n| |\n|  a  |\n\n\n\nmark\nline  one​ \nline one\nmark\n  in  dent\nmark\n住所： 電話：\n", "表头一\n|  a  |\n\nline one\n  in dent\n".replace("|  a  |", "| a |")),
+        (text.clean_session, "Read HEARTBEAT.md\n\nDo not read it\nuser: hello ​\nuser: hello\n\n\n\nassistant: so⁠ it is\t\nCurrent time: 5\n", "user: hello \nuser: hello\n\nassistant: so it is\n"),
     ],
 )
 def test_cleaning(spark, step, given, wanted):
@@ -39,9 +43,9 @@ def test_steps_can_be_left_out(spark):
 
 
 def test_empty_sessions(spark):
-    assert one(spark, "user: hello", text.is_empty_session)
-    assert not one(spark, "user: hello\nassistant: hi", text.is_empty_session)
-    assert not one(spark, "user: " + "x" * 60, text.is_empty_session)
+    assert one(spark, "tool: nothing said", text.is_empty_session)
+    assert not one(spark, "x\n  codex:", text.is_empty_session)
+    assert one(spark, "é" * 25, text.is_empty_session) and not one(spark, "é" * 25 + "x", text.is_empty_session)
 
 
 def test_tiny_is_in_bytes(spark):
