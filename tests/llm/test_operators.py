@@ -772,36 +772,44 @@ def test_base_score_and_model_against_brute_force(spark, carried):
         assert r.base_score == pytest.approx(base, rel=1e-9) and math.isfinite(r.score) and r.score < 0
 
 
-@pytest.mark.parametrize("carried", [100_000, 12])
+@pytest.mark.parametrize("carried", [100_000, 60, 12])
 def test_classes_and_score_against_brute_force(spark, monkeypatch, carried):
-    """Given the exchanged units, every other word's class, all counts and all scores are recomputed in plain Python."""
+    """Given the exchanged words' classes, all counts, every other word's class and all scores are recomputed in plain Python."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()][:50]
     rows += [(9001, None), (9002, ""), (9003, "zzz zzz unseen"), rows[0], (9004, rows[1][1]), (9005, "word " * 30_000 + "rareword")]
     seen = {}
-    monkeypatch.setattr(brown, "fit", lambda *a, fit=brown.fit: seen.setdefault("fit", fit(*a)))
-    monkeypatch.setattr(brown, "exchange", lambda f, k, run=brown.exchange: seen.setdefault("units", (f, run(f, k)))[1])
+    monkeypatch.setattr(brown, "fit", lambda *a, run=brown.fit: seen.setdefault("fit", run(*a)))
+    monkeypatch.setattr(brown, "sweeps", lambda *a, run=brown.sweeps: seen.setdefault("sweeps", run(*a)))
     monkeypatch.setattr(brown, "heavy", lambda *a, run=brown.heavy: seen.setdefault("top", run(*a)))
-    K = 6
-    got = brown.score(spark.createDataFrame(rows, "doc_id long, text string"), classes=K, units=10, carried=carried).collect()
+    K, least = 6, 20
+    got = brown.score(spark.createDataFrame(rows, "doc_id long, text string"), classes=K, units=10, carried=carried, least=least).collect()
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     texts = [(i, [b"\n"] + (t or "").encode().lower().split() + [b"\n"]) for i, t in rows]
     train = [w for i, w in texts if not held(i)]
-    follows, of = seen["units"]
-    cls = {w: int(c) for w, c in zip([b"\n", *seen["top"]], of)}
     count = Counter(x for w in train for x in w[1:])
-    assert set(seen["top"]) == {w for w, _ in sorted(((w, n) for w, n in count.items() if w != b"\n"), key=lambda x: (-x[1], x[0]))[:10]}
-    after, before = brown.gains(follows, of, K)
+    by_size = sorted(((w, n) for w, n in count.items() if w != b"\n"), key=lambda x: (-x[1], x[0]))
+    top = seen["top"]
+    assert top == [w for w, _ in by_size[:carried]]
+    of, exchanged, many, rising = seen["sweeps"]
+    assert many.tolist() == [count[w] for w in [*top, b"\n"]] and all(x < y for x, y in zip(rising, rising[1:]))
+    assert [c >= 0 for c in exchanged] == [i < 10 or count[w] >= least for i, w in enumerate(top)]
+    cls = {w: int(c) for w, c in zip(top, exchanged) if c >= 0} | {b"\n": 0}
+    follows = np.zeros((K, K))
+    for w in train:
+        for x, y in zip(w, w[1:]):
+            if x in cls and y in cls:
+                follows[cls[x], cls[y]] += 1
+    after, before = brown.gains(follows)
     votes = {}
     for w in train:
         for x, y, z in zip(w, w[1:], w[2:]):
             if y not in cls:
                 votes[y] = votes.get(y, 0) + after[cls.get(x, K)] + before[cls.get(z, K)]
-    units = dict(cls)
-    best = {w: int(np.argmax(v)) for w, v in votes.items()}
     table = {r.word.encode(): (r["class"], r.n) for r in seen["fit"][1].collect()}
-    assert {w: n for w, (_, n) in table.items()} == {w: n for w, n in count.items() if w not in units}
-    assert all(votes[w][c] >= votes[w][best[w]] - 1e-9 for w, (c, _) in table.items())
-    cls |= {w: c for w, (c, _) in table.items()}
+    assert {w: n for w, (_, n) in table.items()} == {w: n for w, n in count.items() if w not in top and w != b"\n"}
+    final = {w: int(c) for w, c in zip(top, of)} | {w: c for w, (c, _) in table.items()} | {b"\n": 0}
+    assert all(final[w] == c for w, c in cls.items()) and all(v[final[w]] >= v.max() - 1e-9 for w, v in votes.items())
+    cls = final
     size, kinds, between = np.zeros(K), np.zeros(K), np.zeros((K, K))
     for w, n in count.items():
         size[cls[w]] += n
@@ -818,6 +826,40 @@ def test_classes_and_score_against_brute_force(spark, monkeypatch, carried):
     assert sorted((r.doc_id, r.n_tokens, round(r.score, 4)) for r in got) == sorted(want)
 
 
+def test_contexts_and_their_table_against_brute_force(spark, monkeypatch):
+    """Blocks of three words, words without a class and rare ones, a text of one word."""
+    monkeypatch.setattr(brown, "BLOCK", 3)
+    texts = ["a b c a", "d", None, "", "b x a d x", "c c c c c", "g f e d c b a"]
+    top, of, K = [w.encode() for w in "abcdefg"], np.array([1, 2, -1, 3, 1, -1, 2]), 4
+    numbers = brown.numbered(docs_of(spark, texts), top)
+    kept = Scratch(spark, "t").keep(brown.contexts(numbers, of, K), "c")
+    cells = {}
+    for r in kept.collect():
+        for cell, n in zip(np.frombuffer(r.cells, np.int64).tolist(), np.frombuffer(r.n, np.int64).tolist()):
+            cells[(r.block * 3 + cell // (2 * (K + 1)), cell // (K + 1) % 2, cell % (K + 1))] = n
+    cls = {w.decode(): int(c) for w, c in zip(top, of) if c >= 0} | {"\n": 0}
+    place = {w.decode(): i for i, w in enumerate(top)} | {"\n": 7}
+    want, table = Counter(), np.zeros((K, K))
+    for t in texts:
+        line = ["\n", *(t or "").split(), "\n"]
+        for i, w in enumerate(line[1:], 1):
+            if w in place:
+                want[(place[w], 0, cls.get(line[i - 1], K))] += 1
+                if w != "\n":
+                    want[(place[w], 1, cls.get(line[i + 1], K))] += 1
+            if w in cls and line[i - 1] in cls:
+                table[cls[line[i - 1]], cls[w]] += 1
+    assert cells == dict(want) and (brown.class_table(kept, of, K) == table).all()
+
+
+def test_information_rises_every_sweep(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    top, scratch = brown.heavy(docs, 3000), Scratch(spark, "t")
+    texts = scratch.keep(brown.numbered(docs, top), "numbered")
+    of, exchanged, many, seen = brown.sweeps(texts, np.where(np.arange(3000) < 50, 1 + np.arange(3000) % 15, -1), 16, scratch, least=25)
+    assert len(seen) >= 3 and all(x < y for x, y in zip(seen, seen[1:])) and (exchanged >= 0).sum() > 500 and (of > 0).all()
+
+
 def test_frequent_words_survive_the_bounded_count(spark):
     rng = random.Random(1)
     texts = [" ".join(["often", f"w{rng.randrange(10**6)}", rng.choice(["some", "more"]), f"v{rng.randrange(10**6)}"]) for _ in range(2000)]
