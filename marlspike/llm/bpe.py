@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, broadcast_if_small, schema, slices
+from .common import Scratch, broadcast_if_small, held_by_worker, schema, slices
 
 CHUNK = 32_768
 OVERLAP = 1024
@@ -59,11 +59,8 @@ class Codec:
         return np.array([m.end() for m in self.pattern.finditer(text) if not m.group()[-1].isspace()], np.int32)
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def _codec(path: str, pattern: str) -> Codec:
-    return _CODECS.get((path, pattern)) or _CODECS.setdefault((path, pattern), Codec(path, pattern))
+    return held_by_worker(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def _encoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,10 +97,25 @@ def broadcast_if_small(df: DataFrame, most: int, weight: str = "1") -> DataFrame
 
 
 def slices(batches, rows: int = 1000):
-    """Arrow batches in parts of so many rows, so that a task never holds a whole batch as Python objects."""
+    """Arrow batches in parts of so many rows, so that a task never holds a whole batch as Python objects.
+
+    Arrow's pool gives back what it doesn't use when the batches end, as the worker lives on beside those of other stages.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
+_HELD: dict = {}
+
+
+def held_by_worker(key, make: Callable):
+    """An object that a worker keeps between its tasks. It keeps one at a time, whatever operator it belongs to: workers are used again by later stages."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def held_out(column: str, folds: int):

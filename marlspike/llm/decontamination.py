@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, schema, slices
+from .common import Scratch, held_by_worker, schema, slices
 
 WINDOW = 10
 #: Bytes of items that one automaton holds. A megabyte of items of 35 words takes about 120 MB in a worker, so a shard stays below 500 MB.
@@ -90,17 +90,6 @@ class Automaton:
         return ranges, items
 
 
-_BUILT: dict[str, Automaton] = {}
-
-
-def _automaton(key: str, items, n: int) -> Automaton:
-    """The worker's automaton of this broadcast; it keeps one at a time."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton(items.value, n)
-    return _BUILT[key]
-
-
 def shards(benchmark: DataFrame, limit: int = SHARD_BYTES) -> tuple[int, Callable[[int], list[tuple[str, str | None]]]]:
     """How many parts of about the limit at most the items make, and what collects one of them; a single item may be larger."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
@@ -134,7 +123,7 @@ def _scan(docs: DataFrame, part: list[tuple[str, str | None]], n: int, last: boo
     shared, key = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
 
     def run(batches):
-        automaton = _automaton(key, shared, n)
+        automaton = held_by_worker(key, lambda: Automaton(shared.value, n))
         for batch in slices(batches):
             counts, hit, items, spans = [], [], [], []
             earlier = zip(batch.column("text").to_pylist(), batch.column("items").to_pylist(), batch.column("spans").to_pylist())

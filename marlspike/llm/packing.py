@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, schema, slices
+from .common import Scratch, held_by_worker, schema, slices
 
 CAPACITY = 1024
 END_ID = 2
@@ -108,11 +108,8 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def _encoder(path: str, end_id: int) -> Encoder:
-    return _ENCODERS.get((path, end_id)) or _ENCODERS.setdefault((path, end_id), Encoder(path, end_id))
+    return held_by_worker(("packing", path, end_id), lambda: Encoder(path, end_id))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
