@@ -3,6 +3,10 @@
 Toxic documents go; recurring lines go, and with them documents that hold nothing else; of near-duplicates one stays;
 documents that hold a benchmark passage go; what is left is tokenised and packed into sequences. Each stage's output
 is written as Parquet in the shared folder and read again, so that a lost executor costs no more than its own stage.
+
+Null and empty texts are neither toxic nor copies and have no lines to lose: they stay, as documents of one token.
+Rows without a doc_id pass all stages. Repeated rows stay, as one document, in all stages but packing, which packs each.
+Whatever columns documents have, and whatever their names, all stages but the last return them. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -23,18 +27,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops recurring lines but the first, and documents that hold nothing else."""
     return lines.dedup(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, from a similarity of 0.8 on, the one with the smallest doc_id stays."""
     return minhash.deduplicate(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ten words in a row of a benchmark item go."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents with their places in sequences."""
     import public_tokenizers
 
     return packing.pack_documents(docs, VOCABULARY or public_tokenizers.path("byte_bpe_50k.json"))
@@ -48,7 +56,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Tokenising can't be expressed in SQL; tests/llm compares run() with a brute-force version.
+#: Tokenising and scoring can't be expressed in SQL; tests/llm compares run() with a version by hand, places and checksums included.
 ORACLE_SQL: str | None = None
 
 

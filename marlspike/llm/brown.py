@@ -27,7 +27,7 @@ carried words go to every task; rarer ones leave the task as (row, place, word),
 their text's sequence. Words that no training text has belong to the class with the most words.
 
 Null and empty texts are a single end. Repeated rows are scored alike and count as often as they occur. Texts are read
-whole, however long; their sequence is a byte a token. With no training text all counts are zero and scores are still
+whole, however long; their sequence is a byte a token. Rows without a doc_id are training texts like others. With no training text all counts are zero and scores are still
 finite. Extra columns don't matter, whatever their names.
 """
 
@@ -581,7 +581,7 @@ def score(docs: DataFrame, classes: int = CLASSES, units: int = UNITS, carried:
         raise ValueError(f"classes must lie between 2 and {OPEN - 1}")
     scratch = Scratch(docs.sparkSession, "brown")
     docs = docs.select("doc_id", "text")
-    train = lambda df: df.where(~F.coalesce(held_out("doc_id", FOLDS), F.lit(False)))
+    train = lambda df: df.where(~held_out("doc_id", FOLDS))
     top = heavy(train(docs), carried)
     texts = scratch.keep(numbered(docs, top), "numbered")
     model, table = fit(train(texts), len(top), scratch, classes, units, least)

@@ -119,8 +119,8 @@ def held_by_worker(key, make: Callable):
 
 
 def held_out(column: str, folds: int):
-    """True for the rows whose crc32 of the id as text is a multiple of ``folds``."""
-    return F.crc32(F.col(column).cast("string")) % folds == 0
+    """True for the rows whose crc32 of the id as text is a multiple of ``folds``; a row without an id isn't held out."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % folds == 0, F.lit(False))
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

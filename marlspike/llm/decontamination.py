@@ -11,7 +11,7 @@ The benchmark goes to every task. Its size is measured first; beyond ``SHARD_BYT
 most that size, one scan each, and the matches of a document are joined over the shards. The driver holds one shard at
 a time.
 
-Null and empty texts and items have no words. Items without words match nothing. Repeated item ids count once,
+Null and empty texts and items have no words; documents without a doc_id are scanned like others, items without an id aren't. Items without words match nothing. Repeated item ids count once,
 repeated documents are reported once each. Empty tables give empty tables or no matches. Other columns are kept.
 """
 

@@ -23,7 +23,7 @@ Rows of equal sets count as one (their smallest id) from the start. Then, withou
 
 Links are exact: ``100 * intersection >= percent * union`` on 64-bit shingle hashes. Texts with fewer than five words
 have the whole sequence as their one shingle; null, empty and blank texts have none and are linked with nothing.
-Repeated rows are copies; a doc_id that occurs with several texts is linked wherever one of them is. Texts are read
+Rows without a doc_id link with nothing, have no component and are kept. Repeated rows are copies; a doc_id that occurs with several texts is linked wherever one of them is. Texts are read
 whole, however long; their sets travel as 8 bytes a shingle. Empty tables give empty tables. Other columns don't
 matter, whatever their names.
 """
@@ -245,8 +245,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, m
 
     whole = reps.join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     out = every.select("doc_id", "n_shingles", "h1", "h2").join(whole, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _rest(own: DataFrame, large_keys: DataFrame, found: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, common: int = COMMON) -> DataFrame:

@@ -13,7 +13,7 @@ The maximum is smoothed within ``SMOOTHED``, so that some twenty Newton steps fo
 one pass over the features of all training texts, summed up by Spark. Positives are at most ``MOST_POSITIVES`` labelled texts, chosen by a
 hash of the id and held on the driver; the bound is a parameter. Scoring reads every whole text.
 
-Null and empty texts have all features zero and are scored as such. Without positives or unlabelled rows the score is
+Rows without a doc_id are unlabelled training texts. Null and empty texts have all features zero and are scored as such. Without positives or unlabelled rows the score is
 the prior's default for all. Repeated rows get equal scores. Labels, lang, source and doc_id are never inputs of a
 score. Extra columns don't matter, whatever their names.
 """

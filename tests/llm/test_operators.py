@@ -174,8 +174,9 @@ def test_components_within_one_large_bucket(spark, monkeypatch, common):
 def test_near_duplicates_of_long_and_repeated_texts(spark):
     long_ = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, long_), (1, long_), (2, long_ + " end"), (3, "a b c d e f"), (3, long_ + " other"), (4, "a b c d e f"), (None, "x y z")]
-    got = sorted({(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame([r for r in rows if r[0]], "doc_id long, text string")).collect()})
-    assert got == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    rows += [(None, "a b c d e f"), (None, "p q r s t u"), (9, "x y z")]
+    got = sorted({(r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()})
+    assert got == [(0, 0, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (9, 9, True)]
 
 
 def test_every_pair_within_the_distance_shares_a_key():
@@ -873,3 +874,27 @@ def test_score_beats_single_words_on_held_out_texts(spark):
 
 def test_scoring_nothing(spark):
     assert brown.score(docs_of(spark, ["a"]).limit(0)).collect() == []
+
+
+# ---------------------------------------------------------------- rows without an id, of all scoring operators
+
+
+def test_scores_of_odd_rows(spark):
+    """Null ids and texts, an empty one, repeated rows, a long one, columns with the results' names, labels of empty documents."""
+    long_ = "word " * 40_000
+    rows = [(i, f"good plain text number {i} of the set " + ("idiot stupid fool " if i % 3 == 0 else ""), 0.5, 1, "x") for i in range(60)]
+    rows += [(None, "text without an id", 0.1, 0, "y"), (None, None, 0.1, 0, "y"), (100, "", 0.2, 1, "z"), (101, None, 0.2, 1, "z"), (5, rows[5][1], 0.5, 1, "x"), (102, long_, 0.3, 0, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int, row string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in [*range(60), 100, 101, 102]] + [(None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    tox = quality.predictions(toxicity.score(docs, toxicity.fit(docs, labels)), toxicity.THRESHOLD).collect()
+    good = quality.predictions(quality.score(docs, quality.fit(docs, labels)), quality.THRESHOLD).collect()
+    lm = brown.score(docs.select("doc_id", "text", "row"), classes=4, units=20, least=5).collect()
+    for got in (tox, good, lm):
+        assert sorted(r.doc_id or -1 for r in got) == sorted(r[0] or -1 for r in rows)
+        assert all(r.held_out is False for r in got if r.doc_id is None) and all(math.isfinite(r.score) for r in got)
+        twice = [r.score for r in got if r.doc_id == 5]
+        assert len(twice) == 2 and twice[0] == twice[1]
+    assert {r.predicted for r in tox if r.doc_id is not None and r.doc_id < 60 and r.doc_id % 3 == 0} == {1} and {r.predicted for r in tox if r.doc_id in (100, 101, 102)} == {0}
+    bench = spark.createDataFrame([(1, "idiot stupid fool"), (2, None), (None, "good plain text")], "item_id long, text string")
+    hits = {(r.doc_id, r.n_words, r.n_hit > 0) for r in decontamination.find(docs.withColumn("spans", F.lit(1)), bench).collect()}
+    assert (None, 0, False) in hits and (102, 40_000, False) in hits and (0, 11, True) in hits and (1, 8, False) in hits
