@@ -14,10 +14,11 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from ..functions import text as cleaning
 from ..functions.text import clean_knowledge
 
 TEXT_EXTENSIONS = ("md", "txt", "markdown", "rst", "asciidoc", "adoc", "json", "yaml", "yml", "toml", "csv", "tsv", "xml", "ini", "cfg", "conf", "properties", "env", "sh", "bash", "zsh", "fish", "ps1", "bat", "cmd", "log", "sql", "graphql", "proto")
@@ -219,13 +220,44 @@ def rtf(data: bytes) -> str:
     return "".join(out).strip()
 
 
+# What marks a run of characters in an old file as no text of its author.
+DOC_NOISE = (
+    "<?xml", "<", "PK", "[Content_Types]", "_rels/", "theme/", "drs/", "slideLayout", "slideMaster", "xmlns", "w:rPr", "w:pPr", "w:body", "w:document", "w:settings", "w:styles", "w:fontTable", "w:numbering",
+    "mc:", "w:", "r:", "a:", "v:", "o:", "w10:", "w14:", "w15:", "MSWordDoc", "Word.Document", "Normal", "datastoreItem", "schemaRef", "KSOProductBuildVer", "Microsoft Office Word", "Microsoft",
+    "cHRM", "tEXtSoftware", "IDAT", "IHDR", "PLTE", "gAMA", "sRGB", "JFIF", "Exif", "ICC_PROFILE", "PNG", "GIF89", "GIF87", "RIFF", "WEBP", "BM", "GIF", "Root Entry", "CompObj", "Ole", "ObjInfo", "㰢", "㰔", "㰕", "㰖", "㰗", "㰘",
+)
+PPT_NOISE = (
+    "<?xml", "<", "PK", "[Content_Types]", "_rels/", "theme/", "drs/", "slideLayout", "slideMaster", "xmlns", "a:", "r:", "p:", "PowerPoint", "PP97_DUALSTORAGE", "Current User", "Persistent Directory",
+    "DocumentSummaryInformation", "SummaryInformation", "cHRM", "tEXtSoftware", "IDAT", "IHDR", "PLTE", "gAMA", "sRGB", "JFIF", "Exif", "ICC_PROFILE", "PNG", "GIF89", "GIF87", "RIFF", "WEBP", "BM", "GIF", "Root Entry", "CompObj", "Ole", "ObjInfo",
+)
+
+
 def legacy(data: bytes, modern: Converter) -> str:
-    """Files of old offices: those that are ZIP files inside are read as such, of others runs of printable characters stay."""
+    """Files of old offices: those that are ZIP files inside are read as such, of others runs of more than four characters stay, a line each (see :func:`without_noise`)."""
     if data[:4] == b"PK\x03\x04":
         return modern(data)
     wide = [r for r in re.findall(rb"(?:[\x20-\x7e]\x00|[\x00-\xff][\x30\x4e-\x9f]){5,}", data) if r.count(b"\x00") >= 5]
-    runs = [r.decode("latin-1") for r in re.findall(rb"[\x20-\x7e\t]{5,}", data)] + [r.decode("utf-16-le", "ignore") for r in wide]
-    return "\n".join(r.strip() for r in dict.fromkeys(runs) if re.search(r"[A-Za-z\u4e00-\u9fff]{3}", r))
+    runs = []
+    for run in re.findall(rb"[\x20-\x7e\x80-\xff]{5,}", data):
+        try:
+            runs.append(run.decode())
+        except UnicodeDecodeError:
+            continue
+    runs += [r.decode("utf-16-le", "ignore") for r in wide]
+    return "\n".join(t for r in runs if (t := r.strip()))
+
+
+def without_noise(raw: Column, noise: tuple[str, ...], between: str) -> Column:
+    """The lines that are no noise, no binary garbage and longer than two bytes; null if none is left."""
+
+    def kept(line: Column) -> Column:
+        marked = F.lit(False)
+        for n in noise:
+            marked = marked | line.contains(n)
+        return (F.octet_length(line) > 2) & ~marked & ~cleaning.is_binary_garbage(line)
+
+    text = F.array_join(F.filter(F.split(raw, "\n"), kept), between)
+    return F.when(cleaning.trim(text) != "", cleaning.trim_trailing(cleaning.compress_blank_lines(text)))
 
 
 def pdf(data: bytes, extractors: list[Converter], readable: Callable[[str], bool], least: int = 50) -> str:
@@ -245,6 +277,46 @@ def pdf(data: bytes, extractors: list[Converter], readable: Callable[[str], bool
     return max(found, key=len)
 
 
+def pdf_texts(files: DataFrame, extractors: list[Converter], ocr: Converter | None = None, least: int = 50) -> DataFrame:
+    """path, text and error of PDF files (path, content), by the caller's extractors in their order.
+
+    The first text that is readable and has at least so many visible characters is taken. Only files without one are
+    read again for ``ocr``; what it finds is merged with the first extractor's text. Then the longest readable text is
+    taken, and without any the file has an error.
+    """
+
+    def tried(extract: Converter, data: bytes) -> str:
+        try:
+            return extract(data) or ""
+        except Exception:  # of any broken file
+            return ""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "found": [[tried(e, d or b"") for e in extractors] for d in batch["content"]]})
+
+    def read_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "scanned": [tried(ocr, d or b"") for d in batch["content"]]})
+
+    found = files.select("path", "content").mapInPandas(run, "path string, found array<string>")
+    texts = found.select("path", F.transform("found", cleaning.clean_pdf_lines).alias("found"))
+    visible = lambda t: F.char_length(F.regexp_replace(t, rf"[{cleaning.SPACE}\n]", ""))
+    good = F.filter("found", lambda t: (visible(t) >= least) & cleaning.is_readable(t))
+    some = F.filter("found", cleaning.is_readable)
+    longest = F.array_max(F.transform(some, lambda t: F.struct(visible(t).alias("n"), t.alias("t"))))["t"]
+    rows = texts.select("path", F.get(good, F.lit(0)).alias("good"), F.get("found", F.lit(0)).alias("first"), longest.alias("longest"))
+    scanned = F.lit(None).cast("string").alias("scanned")
+    if ocr:
+        asked = files.join(rows.where("good IS NULL").select("path"), "path", "left_semi").select("path", "content").mapInPandas(read_again, "path string, scanned string")
+        rows = rows.join(asked.select("path", F.when(cleaning.trim(F.col("scanned")) != "", cleaning.clean_pdf_lines(F.col("scanned"))).alias("scanned")), "path", "left")
+    else:
+        rows = rows.withColumn("scanned", scanned)
+    merged = F.when(F.col("scanned").isNotNull(), cleaning.merge_texts(F.coalesce("first", F.lit("")), F.col("scanned")))
+    text = F.coalesce("good", merged, "longest")
+    return rows.select("path", text.alias("text"), F.when(text.isNull(), "no extractor finds readable text").alias("error"))
+
+
 CONVERTERS: dict[str, Converter] = {
     "html": html, "htm": html, "mhtml": html, "mht": html, "docx": docx, "xlsx": xlsx, "pptx": pptx, "epub": epub, "odt": open_document, "ods": open_document, "odp": open_document, "rtf": rtf,
     "doc": lambda data: legacy(data, docx), "ppt": lambda data: legacy(data, pptx), "xls": lambda data: legacy(data, xlsx),
@@ -273,9 +345,15 @@ def convert(files: DataFrame, more: dict[str, Converter] | None = None) -> DataF
             got = [one(e, d) for e, d in zip(batch["extension"], batch["content"])]
             yield pd.DataFrame({"path": batch["path"], "extension": batch["extension"], "raw": [t for t, _ in got], "error": [e for _, e in got]})
 
-    found = files.select("path", parse.extension(F.col("path")).alias("extension"), "content").mapInPandas(run, "path string, extension string, raw string, error string")
-    text = F.when(F.col("extension").isin(*TEXT_EXTENSIONS), F.col("raw")).otherwise(clean_knowledge(F.col("raw")))
-    return found.select("path", text.alias("text"), "error")
+    zipped = F.coalesce(F.hex(F.substring("content", 1, 4)) == "504B0304", F.lit(False))
+    old = F.when(zipped, F.concat(parse.extension(F.col("path")), F.lit("x"))).otherwise(parse.extension(F.col("path")))  # what it is inside
+    kinds = F.when(parse.extension(F.col("path")).isin("doc", "ppt", "xls"), old).otherwise(parse.extension(F.col("path")))
+    found = files.select("path", kinds.alias("extension"), "content").mapInPandas(run, "path string, extension string, raw string, error string")
+    raw, kind = F.col("raw"), F.col("extension")
+    plain_ = F.when(kind == "ppt", without_noise(raw, PPT_NOISE, " ")).when(kind.isin("doc", "xls"), without_noise(raw, DOC_NOISE, "\n")).otherwise(raw)
+    text = F.when(kind.isin(*TEXT_EXTENSIONS), raw).otherwise(clean_knowledge(plain_))
+    error = F.when(F.col("error").isNull() & text.isNull(), "no readable text").otherwise(F.col("error"))
+    return found.select("path", text.alias("text"), error.alias("error"))
 
 
 def scan(spark, *roots: str) -> DataFrame:

@@ -254,6 +254,15 @@ def test_light_embed_fills_only_what_is_missing(spark):
     assert got.join(doc.where("metadata = '[\"note\"]'"), "id").count() == 0 and got.count() > 0
 
 
+def test_back_ends_by_kind_and_summaries(spark):
+    doc = frames.doc(spark, DATA)
+    ids = lambda kind: {r.id for r in backends.light_embed(doc, lambda t, c: "word", kind).collect()}
+    assert ids("memory") | ids("session") | ids("knowledge") == ids(None) and ids("codex") < ids("memory")
+    rows = spark.createDataFrame([("a", "é" * 10), ("b", ""), ("c", None), ("d", "drop")], "id string, content string")
+    got = {r.id: r.summary for r in backends.summarize(rows, lambda t, most: "" if t == "drop" else f" {len(t)} {t}", 6, most_bytes=5).collect()}
+    assert got == {"a": "2 éé"}
+
+
 def test_agents_files(spark, tmp_path):
     con = sqlite3.connect(tmp_path / "m.db")
     con.execute("CREATE TABLE chunks (id INTEGER, source TEXT, text TEXT)")

@@ -59,6 +59,40 @@ def test_pdf_takes_the_first_good_text():
     assert convert.pdf(b"", [bad, lambda _: "short"], lambda t: True) == "short"
 
 
+def test_pdf_cascade_over_files(spark):
+    """The first good text, else what OCR adds to the first one, else the longest readable; OCR sees only files that need it."""
+    asked = spark.sparkContext.accumulator(0)
+    good, more = "Plenty of words that anyone can read in this text of ours. " * 3, "One two three four five six seven"
+    table = {b"a": (good, ""), b"b": ("", good), b"c": (more, "x"), b"d": (more, ""), b"e": ("%%", ""), b"f": ("", "")}
+
+    def first(data):
+        if data == b"f":
+            raise ValueError("broken")
+        return table[data][0]
+
+    def ocr(data):
+        asked.add(1)
+        return {b"c": "Something else altogether, seen by the camera", b"d": f"{more}\nand more"}.get(data, "")
+
+    files = spark.createDataFrame([(f"/{k.decode()}.pdf", bytearray(k)) for k in table], "path string, content binary")
+    got = {r.path: (r.text, r.error) for r in convert.pdf_texts(files, [first, lambda d: table[d][1]], ocr).collect()}
+    assert got["/a.pdf"] == got["/b.pdf"] == (good.strip() + "\n", None) or got["/a.pdf"][0].strip() == got["/b.pdf"][0].strip() == good.strip()
+    assert got["/c.pdf"][0].split("\n\n")[0].strip() == more and "camera" in got["/c.pdf"][0] and got["/d.pdf"][0].strip() == f"{more}\nand more"
+    assert got["/e.pdf"][1] == got["/f.pdf"][1] == "no extractor finds readable text" and asked.value == 4
+    without = {r.path: r.text for r in convert.pdf_texts(files, [first, lambda d: table[d][1]]).collect()}
+    assert without["/c.pdf"].strip() == more and without["/e.pdf"] is None
+
+
+def test_old_office_files_lose_their_noise(spark):
+    body = b"\xd0\xcf\x11\xe0\x00\x01" + b"\x00".join([b"The report of the year", b"w:rPr styles", b"Microsoft Office Word", "Zweite Zeile mit Umlaut ä".encode(), b"abcd", b"JFIF picture", b"\xff\xfe\xfd\xfc\xfb\xfa"]) + b"\x00"
+    files = spark.createDataFrame([("/x.doc", bytearray(body)), ("/x.ppt", bytearray(body.replace(b"Microsoft Office Word", b"Current User here"))), ("/y.doc", bytearray(b"\x00\x01JFIF only\x00")), ("/z.doc", bytearray(archive(**{"word/document_x_xml": "<w:document xmlns:w='w'><w:body><w:p><w:r><w:t>inside</w:t></w:r></w:p></w:body></w:document>"})))], "path string, content binary")
+    got = {r.path: (r.text, r.error) for r in convert.convert(files).collect()}
+    assert got["/x.doc"][0].strip() == "The report of the year\nZweite Zeile mit Umlaut ä"
+    assert got["/x.ppt"][0].strip() == "The report of the year w:rPr styles Zweite Zeile mit Umlaut ä"
+    assert got["/z.doc"][0].strip() == "inside"
+    assert got["/y.doc"] == (None, "no readable text")
+
+
 def test_files_that_fail_keep_their_reason(spark):
     rows = [("/a/x.docx", b"no zip"), ("/a/y.md", "é".encode()), ("/a/z.md", b"\xff"), ("/a/q.bin", b"")]
     got = {r.path: r for r in convert.convert(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")).collect()}
