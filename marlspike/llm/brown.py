@@ -105,7 +105,11 @@ def heavy(docs: DataFrame, most: int, tracked: int = TRACKED) -> list[bytes]:
     summed = docs.select("text").mapInArrow(run, schema("word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
     if most <= TOP:
         return [r.word.encode() for r in summed.orderBy(F.desc("n"), "word").limit(most).collect()]
-    return [r.word.encode() for r in frequent(summed, most)]
+    scratch = Scratch(docs.sparkSession, "heavy")
+    kept = scratch.keep(summed, "words")  # read twice
+    out = [r.word.encode() for r in frequent(kept, most)]
+    scratch.drop(kept)
+    return out
 
 
 IDS = "row long, doc_id long, ids binary, rare array<struct<place:int,word:string>>"
@@ -291,21 +295,20 @@ def contexts(texts: DataFrame, of: np.ndarray, classes: int) -> DataFrame:
     kind = schema("block int, cells binary, n binary")
 
     def run(batches):
-        look, counts = shared.value, np.zeros((end + 1) * 2 * side, np.int32)
+        look, counts, once = shared.value, np.zeros((end + 1) * 2 * side, np.int32), np.int32(1)
+        mark = np.int32(end).tobytes()
         for batch in slices(batches):
-            ids = _ids(batch)
-            if not ids:
+            texts_ = batch.column("ids").to_pylist()
+            if not texts_:
                 continue
-            line = np.concatenate([np.concatenate([[end], x, [end]]) for x in ids]).astype(np.int64)
-            first = np.cumsum([0, *(len(x) + 2 for x in ids)])[:-1]
+            line = np.frombuffer(mark + (mark + mark).join(texts_) + mark, np.int32).astype(np.int64)  # each text between two ends
             c = look[line]
-            inner = np.ones(len(line), bool)
-            inner[first] = False  # the end before a text is only a neighbour
-            inner &= line >= 0
+            inner = line >= 0
+            inner[np.cumsum([0, *(len(x) // 4 + 2 for x in texts_)])[:-1]] = False  # the end before a text is only a neighbour
             at = np.flatnonzero(inner)
-            np.add.at(counts, line[at] * 2 * side + c[at - 1], 1)
+            np.add.at(counts, line[at] * 2 * side + c[at - 1], once)
             at = at[line[at] != end]
-            np.add.at(counts, (line[at] * 2 + 1) * side + c[at + 1], 1)
+            np.add.at(counts, (line[at] * 2 + 1) * side + c[at + 1], once)
         cells = np.flatnonzero(counts)
         block, cut = np.unique(cells // width, return_index=True)
         rows = [((x - b * width).astype(np.int64).tobytes(), counts[x].astype(np.int64).tobytes()) for b, x in zip(block, np.split(cells, cut[1:]))] if len(cells) else []
@@ -367,30 +370,32 @@ def wanted(counts: DataFrame, table: np.ndarray, words_: int) -> tuple[np.ndarra
     return best[: words_ + 1], many[: words_ + 1]
 
 
-def sweeps(texts: DataFrame, of: np.ndarray, classes: int, scratch: Scratch, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+def sweeps(texts: DataFrame, of: np.ndarray, classes: int, scratch: Scratch, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float], np.ndarray]:
     """Exchange of the carried words that occur at least so often, from the classes ``of`` (-1: none yet).
 
     Gives the classes of all carried words, those of the exchanged ones alone (-1: not exchanged), the counts with the
-    end's last, and the information after each sweep.
+    end's last, the information after each sweep, and how often class c follows class l among exchanged words.
     """
     seen: list[float] = []
-    best, number = of, np.arange(len(of))
+    number = np.arange(len(of))
+    best, near, best_table = of, of, np.zeros((classes, classes))
     for sweep in range(SWEEPS + 1):
         counts = scratch.keep(contexts(texts, of, classes), "contexts")
         table = class_table(counts, of, classes)
         to, many = wanted(counts, table, len(of))
         scratch.drop(counts)
         often = (many[:-1] >= least) | (of >= 0)
-        if (of[often] >= 0).all():
+        whole = (of[often] >= 0).all()
+        if whole:
             if seen and information(table) <= seen[-1]:
                 break
             seen.append(information(table))
-            best, near = of, to[:-1]
+            best, near, best_table = of, to[:-1], table
         moving = often & ((of < 0) | ((to[:-1] != of) & (number % 2 == sweep % 2)))
-        if not moving.any() or (of[often] >= 0).all() and many[:-1][often & (to[:-1] != of)].sum() < FEW_MOVE * many[:-1][often].sum():
+        if not moving.any() or whole and many[:-1][often & (to[:-1] != of)].sum() < FEW_MOVE * many[:-1][often].sum():
             break
         of = np.where(moving, to[:-1], of)
-    return np.where(best < 0, near, best), best, many, seen
+    return np.where(best < 0, near, best), best, many, seen, best_table
 
 
 CLASSED = "word string, n long, class int"
@@ -489,10 +494,8 @@ def fit(texts: DataFrame, carried: int, scratch: Scratch, classes: int = CLASSES
     units = min(units, carried)
     start = np.full(carried, -1)
     start[:units] = exchange(neighbours(texts, units)[:-1, :-1], classes)[1:]
-    of, exchanged, n, _ = sweeps(texts, start, classes, scratch, least)
-    counts = scratch.keep(contexts(texts, exchanged, classes), "contexts")
-    table = scratch.keep(other_words(texts, class_table(counts, exchanged, classes), exchanged), "words")
-    scratch.drop(counts)
+    of, exchanged, n, _, between = sweeps(texts, start, classes, scratch, least)
+    table = scratch.keep(other_words(texts, between, exchanged), "words")
     size, kinds = np.bincount(of, n[:-1], classes), np.bincount(of[n[:-1] > 0], minlength=classes).astype(float)
     size[0] += n[-1]
     kinds[0] += n[-1] > 0

@@ -791,7 +791,7 @@ def test_classes_and_score_against_brute_force(spark, monkeypatch, carried):
     by_size = sorted(((w, n) for w, n in count.items() if w != b"\n"), key=lambda x: (-x[1], x[0]))
     top = seen["top"]
     assert top == [w for w, _ in by_size[:carried]]
-    of, exchanged, many, rising = seen["sweeps"]
+    of, exchanged, many, rising, between_ = seen["sweeps"]
     assert many.tolist() == [count[w] for w in [*top, b"\n"]] and all(x < y for x, y in zip(rising, rising[1:]))
     assert [c >= 0 for c in exchanged] == [i < 10 or count[w] >= least for i, w in enumerate(top)]
     cls = {w: int(c) for w, c in zip(top, exchanged) if c >= 0} | {b"\n": 0}
@@ -800,6 +800,7 @@ def test_classes_and_score_against_brute_force(spark, monkeypatch, carried):
         for x, y in zip(w, w[1:]):
             if x in cls and y in cls:
                 follows[cls[x], cls[y]] += 1
+    assert (between_ == follows).all()
     after, before = brown.gains(follows)
     votes = {}
     for w in train:
@@ -857,7 +858,7 @@ def test_information_rises_every_sweep(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     top, scratch = brown.heavy(docs, 3000), Scratch(spark, "t")
     texts = scratch.keep(brown.numbered(docs, top), "numbered")
-    of, exchanged, many, seen = brown.sweeps(texts, np.where(np.arange(3000) < 50, 1 + np.arange(3000) % 15, -1), 16, scratch, least=25)
+    of, exchanged, many, seen, _ = brown.sweeps(texts, np.where(np.arange(3000) < 50, 1 + np.arange(3000) % 15, -1), 16, scratch, least=25)
     assert len(seen) >= 3 and all(x < y for x, y in zip(seen, seen[1:])) and (exchanged >= 0).sum() > 500 and (of > 0).all()
 
 
