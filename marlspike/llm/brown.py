@@ -311,15 +311,15 @@ def contexts(texts: DataFrame, of: np.ndarray, classes: int) -> DataFrame:
             np.add.at(counts, (line[at] * 2 + 1) * side + c[at + 1], once)
         cells = np.flatnonzero(counts)
         block, cut = np.unique(cells // width, return_index=True)
-        rows = [((x - b * width).astype(np.int64).tobytes(), counts[x].astype(np.int64).tobytes()) for b, x in zip(block, np.split(cells, cut[1:]))] if len(cells) else []
+        rows = [((x - b * width).astype(np.int32).tobytes(), counts[x].tobytes()) for b, x in zip(block, np.split(cells, cut[1:]))] if len(cells) else []
         yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "cells", "n"])
 
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.int64)
         for cells, n in zip(group["cells"], group["n"]):
-            total[np.frombuffer(cells, np.int64)] += np.frombuffer(n, np.int64)
+            total[np.frombuffer(cells, np.int32)] += np.frombuffer(n, np.int32)
         cells = np.flatnonzero(total)
-        return pd.DataFrame({"block": [key[0]], "cells": [cells.tobytes()], "n": [total[cells].tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "cells": [cells.astype(np.int32).tobytes()], "n": [total[cells].tobytes()]})
 
     return texts.select("ids").mapInArrow(run, kind).groupBy("block").applyInPandas(add, kind)
 
@@ -333,7 +333,7 @@ def class_table(counts: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
         look, out = shared.value, np.zeros((side, side), np.int64)
         for batch in slices(batches, 8):
             for block, cells, n in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "n"))):
-                cells, n = np.frombuffer(cells, np.int64), np.frombuffer(n, np.int64)
+                cells, n = np.frombuffer(cells, np.int32).astype(np.int64), np.frombuffer(n, np.int64)
                 left = cells // side % 2 == 0
                 np.add.at(out, (cells[left] % side, look[block * BLOCK + cells[left] // (2 * side)]), n[left])
         at = np.flatnonzero(out)
@@ -357,7 +357,7 @@ def wanted(counts: DataFrame, table: np.ndarray, words_: int) -> tuple[np.ndarra
             best, many = [], []
             for cells, n in zip(*(batch.column(c).to_pylist() for c in ("cells", "n"))):
                 dense = np.zeros(BLOCK * 2 * side)
-                dense[np.frombuffer(cells, np.int64)] = np.frombuffer(n, np.int64)
+                dense[np.frombuffer(cells, np.int32)] = np.frombuffer(n, np.int64)
                 dense = dense.reshape(BLOCK, 2, side)
                 best.append((dense[:, 0] @ after + dense[:, 1] @ before).argmax(axis=1).astype(np.uint8).tobytes())
                 many.append(dense[:, 0].sum(axis=1).astype(np.int64).tobytes())

@@ -43,7 +43,7 @@ FIRST = 4
 BLOCK = 32
 BLOCK_BYTES = 1 << 20
 #: Blocks that a task orders and scores at a time.
-WINDOW = 64
+WINDOW = 32
 SHARD_ITEMS = 4096
 SHARD_BYTES = 16 << 20
 

@@ -837,7 +837,7 @@ def test_contexts_and_their_table_against_brute_force(spark, monkeypatch):
     kept = Scratch(spark, "t").keep(brown.contexts(numbers, of, K), "c")
     cells = {}
     for r in kept.collect():
-        for cell, n in zip(np.frombuffer(r.cells, np.int64).tolist(), np.frombuffer(r.n, np.int64).tolist()):
+        for cell, n in zip(np.frombuffer(r.cells, np.int32).tolist(), np.frombuffer(r.n, np.int64).tolist()):
             cells[(r.block * 3 + cell // (2 * (K + 1)), cell // (K + 1) % 2, cell % (K + 1))] = n
     cls = {w.decode(): int(c) for w, c in zip(top, of) if c >= 0} | {"\n": 0}
     place = {w.decode(): i for i, w in enumerate(top)} | {"\n": 7}
