@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -78,13 +79,6 @@ def _texts(batch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-class _Index(dict):
-    """word: its number, or -1."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def heavy(docs: DataFrame, most: int, tracked: int = TRACKED) -> list[bytes]:
     """The most frequent words of the texts, by counts whose common part is taken off whenever a task holds too many words."""
 
@@ -121,12 +115,12 @@ def numbered(docs: DataFrame, top: list[bytes]) -> DataFrame:
     kind = pa.list_(pa.struct([("place", pa.int32()), ("word", pa.string())]))
 
     def run(batches):
-        index = _Index((w, i) for i, w in enumerate(shared.value))
+        index = {w: i for i, w in enumerate(shared.value)}.get
         for batch in slices(batches):
             numbers, places, rare, starts = [], [], [], [0]
             for text in _texts(batch):
                 w = words(text)
-                ids = np.fromiter(map(index.__getitem__, w), np.int32, len(w))
+                ids = np.fromiter(map(index, w, repeat(-1)), np.int32, len(w))
                 missed = np.flatnonzero(ids < 0)
                 numbers.append(ids.tobytes())
                 places.append(missed)
