@@ -26,7 +26,7 @@ HOUR = 3600
 )
 SELECT key, event_id, ts FROM r WHERE taken""").replace("WITH", "WITH RECURSIVE", 1).replace(")\n\n,", ")\n,"))
 def debounce_events(spark: SparkSession, d: str) -> DataFrame:
-    return ops.debounced(frames.file_events(spark, d).where("kind IS NOT NULL"), HOUR)
+    return ops.debounced(frames.file_events(spark, d).where("kind IS NOT NULL"), HOUR, rounded=True)
 
 
 @query(S.with_(S.FILE_EVENTS, f"SELECT event_id, key, ts FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS done FROM file_events) WHERE kind IS NOT NULL AND (done IS NULL OR floor(epoch(ts - done)) >= {2 * HOUR})"))

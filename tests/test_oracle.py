@@ -40,3 +40,15 @@ def test_query(spark, other, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_other_queries_have_rows(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_debounce_with_gaps_just_below_the_window(spark, tmp_path):
+    """Gaps of 3599.4 to 3600 seconds: those that round to 3600 move the moment that the next gap counts from, though they aren't accepted."""
+    con = duckdb.connect()
+    gaps = "[0, 3599400000, 600000, 3599500000, 3599400000, 600000, 3599999999, 1, 3600000000, 1000]"
+    con.execute(f"CREATE TABLE gaps AS SELECT k, i, {gaps}[(i + k) % 10 + 1] AS gap FROM range(12) a(k), range(40) b(i)")
+    con.execute("CREATE TABLE events AS SELECT k * 40 + i AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(sum(gap) OVER (PARTITION BY k ORDER BY i)::BIGINT) AS ts, k AS user_id, 'click' AS event_type, 0.5 AS value, '{}' AS props FROM gaps")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = registry.QUERIES["debounce_events"](spark, str(tmp_path)).select("key", "event_id", "ts").collect()
+    wanted = con.execute(registry.ORACLE_SQL["debounce_events"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(wanted) and 100 < len(wanted) < 480
