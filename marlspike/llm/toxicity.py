@@ -11,9 +11,9 @@ What is toxic is learned from labelled training rows: for each restored word and
 how many toxic and other texts hold it. A text's score is a logistic function of its strongest words' weights. That
 function is fitted with each text's own counts taken out of the weights it sees.
 
-Fitting uses at most ``MOST_LABELLED`` labelled rows, chosen by a hash of the id; that is a parameter, and what goes to
-the driver, trigrams and telling words, is bounded by the texts of these rows. Scoring reads every whole text, and all
-of a text's words count.
+Fitting uses every labelled training row and all of its whole text: trigrams and words are counted, and the function is
+fitted by sums over a stored table of the rows' inputs. Trigrams and telling words go to the driver, sums of a few
+numbers besides; no text and no row of inputs does. Scoring reads every whole text, and all of a text's words count.
 
 Rows without a doc_id have no label and are scored like others. Null and empty texts have no words and get the function's value at zero. Without labelled rows every score is 0.
 Repeated rows get equal scores. Labels, lang, source and doc_id are never inputs of a score. Extra columns don't
@@ -31,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_by_worker, held_out, schema, slices
+from .common import Scratch, held_by_worker, held_out, schema, slices
 
 FOLDS = 5
 THRESHOLD = 0.5
-MOST_LABELLED = 20_000
+#: More labelled rows than that are joined by a shuffle, and their texts stored once.
+MOST_BROADCAST = 2_000_000
 CACHED = 100_000
+#: Words that a task counts before it hands them on.
+COUNTED = 300_000
 
 #: What a character may stand for.
 STANDS_FOR = {
@@ -52,6 +55,7 @@ LONGEST_CACHED = 64
 _LETTER = rf"(?:[^\W_]|[{re.escape(''.join(c for c in STANDS_FOR if not c.isalnum()))}])"
 _SPACED = re.compile(rf"(?<![^\W_]){_LETTER}(?:[ .\-_*]{{1,2}}{_LETTER}){{3,}}(?![^\W_])")
 _INNER = re.compile(r"[^\W_][\W_]+[^\W_]")
+_RUN = re.compile(r"(.)\1\1", re.DOTALL)
 _EDGES = ".,;:!?\"'()[]{}<>*#%&~-_"
 
 
@@ -135,7 +139,7 @@ def restore(token: str, model: CharacterModel, breaks: bool = False) -> str:
 
 def is_odd(token: str) -> bool:
     """Whether the lattice of a token with letters has more than one path."""
-    return not token.isalpha() or any(a == b == c for a, b, c in zip(token, token[1:], token[2:]))
+    return not token.isalpha() or _RUN.search(token) is not None
 
 
 def tokens(text: str) -> list[str]:
@@ -150,33 +154,42 @@ def parts(word: str) -> list[str]:
 
 
 class Reader:
-    """Restored words of texts, with a bounded memory of tokens."""
+    """Restored words of texts, with a bounded memory of decoded tokens."""
 
     def __init__(self, model: CharacterModel | None):
         self.model = model
         self.seen: dict[str, list[str]] = {}
 
-    def __call__(self, token: str) -> list[str]:
+    def whole(self, token: str) -> list[str]:
+        """The restored words of a token."""
+        word = token.strip(_EDGES)
+        if not is_odd(word):
+            return [word]
         got = self.seen.get(token)
         if got is None:
             if len(self.seen) > CACHED // 4:
                 self.seen.clear()
-            word = token.strip(_EDGES)
-            got = parts(word) if word.isalpha() else []
-            has_letter = any(map(str.isalpha, token))
-            if self.model and has_letter and is_odd(word):
-                for form in {word, token} if " " not in token else ():
-                    got = got + parts(restore(form, self.model))
+            got = [word] if word.isalpha() else []
+            if self.model and any(map(str.isalpha, token)):
+                got += [restore(form, self.model) for form in ({word, token} if " " not in token else ())]
                 if _INNER.search(word) or " " in token:
-                    got = got + [p for w in restore(token, self.model, breaks=True).split() for p in parts(w)]
+                    got += restore(token, self.model, breaks=True).split()
             if len(token) <= LONGEST_CACHED:
                 self.seen[token] = got
         return got
 
+    def __call__(self, token: str) -> list[str]:
+        return [p for w in self.whole(token) for p in parts(w)]
+
     def words(self, text: str) -> list[list[str]]:
         """For each distinct token its restored words and their beginnings."""
         return [got for got in map(self, set(tokens(text))) if got]
 
+    def held(self, text: str) -> set[str]:
+        """All restored words of a text and their beginnings."""
+        found = {w for token in set(tokens(text)) for w in self.whole(token)}
+        return found.union(*({w[:k] + "~" for w in found if len(w) > k} for k in (4, 5, 6)))
+
 
 class Model:
     """Counts of texts by word, and the logistic function of a text's strongest weight and of the sum and number of its strong ones."""
@@ -196,29 +209,39 @@ class Model:
         """The largest weight of a token's words."""
         return max([0.0, *(self.weight(*self.counts[w], own) for w in words if w in self.counts)])
 
-    def inputs(self, weights: list[float]) -> list[float]:
+    @staticmethod
+    def inputs(weights: list[float]) -> list[float]:
         """From the weights of a text's tokens."""
         strong = [w for w in weights if w > 1.0]
         return [1.0, max(weights, default=0.0), math.log1p(sum(strong)), math.log1p(len(strong))]
 
     def fit(self, x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> None:
-        """Ridge logistic regression by Newton steps that are halved until they help, so that separable texts don't run away."""
-        if not len(y) or y.min() == y.max():
-            return
-        w, ridge = np.zeros(x.shape[1]), penalty * np.array([1e-3, 1, 1, 1])
+        """Fits to the inputs and labels of texts, if there are both labels."""
+        if len(y) and y.min() != y.max():
+            self.fit_by(lambda w: _sums(x, y, w), penalty)
 
-        def loss(v: np.ndarray) -> float:
-            z = x @ v
-            return float((np.logaddexp(0, z) - y * z).sum() + (ridge * v * v).sum() / 2)
+    def fit_by(self, sums, penalty: float = 1.0) -> None:
+        """Ridge logistic regression by Newton steps that are halved until they help, so that separable texts don't run away.
 
+        ``sums`` gives loss, gradient and second derivatives over all texts for any coefficients.
+        """
+        ridge = penalty * np.array([1e-3, 1, 1, 1])
+
+        def objective(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            loss, slope, second = np.split(sums(w), [1, 5])
+            return float(loss[0] + (ridge * w * w).sum() / 2), slope + ridge * w, second.reshape(4, 4) + np.diag(ridge)
+
+        w = np.zeros(4)
+        now, slope, second = objective(w)
         for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
-            now, share = loss(w), 1.0
-            while share > 1e-6 and loss(w + share * step) > now:
+            step, share = np.linalg.solve(second, slope), 1.0
+            after = objective(w - step)
+            while share > 1e-6 and after[0] > now:
                 share /= 2
-            w = w + share * step
-            if now - loss(w) < 1e-9 * max(1.0, now):
+                after = objective(w - share * step)
+            gained = now - after[0]
+            w, (now, slope, second) = w - share * step, after
+            if gained < 1e-9 * max(1.0, now):
                 break
         self.coefficients, self.fitted = w, True
 
@@ -226,82 +249,149 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.coefficients, self.inputs(weights))))))) if self.fitted else 0.0
 
 
-def _pairs(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["word", "toxic", "other"])
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, its gradient and its second derivatives, in one vector."""
+    z = x @ w
+    p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+    return np.concatenate([[(np.logaddexp(0, z) - y * z).sum()], x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
 
 
 def _texts(batch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
-    """Learn from labelled training rows: letters, then words, then the function."""
-    some = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id", FOLDS)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
+def _trigrams(count: Counter[str]) -> pa.RecordBatch:
+    """Trigrams of words with their numbers, each word as often as counted."""
+    words = [w for w in count if w.isalpha()]
+    codes = np.frombuffer("".join(f"\x02\x02{w}\x03" for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    times = np.repeat(np.array([count[w] for w in words], np.int64), [len(w) + 3 for w in words])
+    within = np.flatnonzero((codes[:-2] != 3) & (codes[1:-1] != 3)) if len(words) else np.array([], np.int64)
+    keys, places = np.unique(codes[within] << 42 | codes[within + 1] << 21 | codes[within + 2], return_inverse=True)
+    total = np.bincount(places, times[within], len(keys)).astype(np.int64)
+    grams = ["".join(map(chr, (k >> 42, k >> 21 & 0x1FFFFF, k & 0x1FFFFF))) for k in keys.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(total)], names=["word", "n"])
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """text and toxic of all labelled training rows."""
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id", FOLDS)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = scratch.keep(known, "labels")
+    texts = docs.select("doc_id", "text")
+    if known.count() <= MOST_BROADCAST:
+        return texts.join(F.broadcast(known), "doc_id").select("text", "toxic")
+    return scratch.keep(texts.join(known.hint("merge"), "doc_id").select("text", "toxic"), "texts")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn from all labelled training rows: letters, then words, then the function."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
+    rows = _labelled(docs, labels, scratch)
 
     def letters(batches):
+        count: Counter[str] = Counter()
         for batch in slices(batches):
-            count: Counter[str] = Counter()
             for text in _texts(batch):
-                for word in set(w.strip(_EDGES) for w in text.lower().split()):
-                    if word.isalpha():
-                        full = f"\x02\x02{word}\x03"
-                        count.update(map("".join, zip(full, full[1:], full[2:])))
-            yield _pairs([(w, n, 0) for w, n in count.items()])
-
-    kind = schema("word string, toxic long, other long")
-    grams = rows.mapInArrow(letters, kind).groupBy("word").agg(F.sum("toxic").alias("n"))
+                count.update({w.strip(_EDGES) for w in set(text.lower().split())})
+            if len(count) > COUNTED:
+                yield _trigrams(count)
+                count.clear()
+        yield _trigrams(count)
+
+    grams = rows.mapInArrow(letters, schema("word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
     characters = CharacterModel({r.word: r.n for r in grams.collect()})
+    shared = spark.sparkContext.broadcast(characters)
 
     def counted(batches):
-        read = Reader(characters)
+        read, counts = Reader(shared.value), (Counter(), Counter())
         for batch in slices(batches):
-            count: dict[str, list[int]] = {}
             for text, toxic in zip(_texts(batch), batch.column("toxic").to_pylist()):
-                for word in set().union(*read.words(text)):
-                    count.setdefault(word, [0, 0])[0 if toxic else 1] += 1
-            yield _pairs([(w, *n) for w, n in count.items()])
+                counts[toxic].update(read.held(text))
+            if sum(map(len, counts)) > COUNTED:
+                yield from passed_on(counts)
+        yield from passed_on(counts)
+
+    def passed_on(counts):
+        for toxic, count in enumerate(counts):
+            none = pa.array(np.zeros(len(count), np.int64))
+            number = pa.array(list(count.values()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), number if toxic else none, none if toxic else number], names=["word", "toxic", "other"])
+            count.clear()
 
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = totals.get(1, 0), totals.get(0, 0)
     model = Model(characters, {}, toxic, other)
-    words = rows.mapInArrow(counted, kind).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    words = rows.mapInArrow(counted, schema("word string, toxic long, other long")).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     telling = words.where((F.col("toxic") >= 2) & (F.col("toxic") * (other + 1) > 2 * F.col("other") * (toxic + 1)))
     model.counts = {r.word: (r.toxic, r.other) for r in telling.collect()}
+    if toxic and other:
+        table = scratch.keep(_inputs(rows, model), "inputs")
+        model.fit_by(lambda w: _summed(table, w))
+    scratch.close()
+    return model
+
 
-    def seen(batches):
-        read = Reader(characters)
+def _inputs(rows: DataFrame, model: Model) -> DataFrame:
+    """x: each text's inputs, with its own counts taken out of the weights, and its label."""
+    import uuid
+
+    shared, key = rows.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def run(batches):
+        scorers = held_by_worker(key, lambda: [_Scorer(shared.value, own) for own in (0, 1)])
         for batch in slices(batches):
-            got = [[*model.inputs([model.token_weight(w, toxic) for w in read.words(text)]), float(toxic)] for text, toxic in zip(_texts(batch), batch.column("toxic").to_pylist())]
+            got = [[*Model.inputs(scorers[toxic].weights(text)), float(toxic)] for text, toxic in zip(_texts(batch), batch.column("toxic").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64()))], names=["x"])
 
-    x = np.array([r.x for r in rows.mapInArrow(seen, schema("x array<double>")).collect()], dtype=float).reshape(-1, 5)
-    model.fit(x[:, :4], x[:, 4])
-    return model
+    return rows.mapInArrow(run, schema("x array<double>"))
+
+
+def _summed(table: DataFrame, w: np.ndarray) -> np.ndarray:
+    def run(batches):
+        total = np.zeros(21)
+        for batch in slices(batches, 4000):
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, 5)
+            total += _sums(x[:, :4], x[:, 4], w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(21), pa.int32()), pa.array(total)], names=["place", "value"])
+
+    out = np.zeros(21)
+    for r in table.mapInArrow(run, schema("place int, value double")).groupBy("place").agg(F.sum("value").alias("value")).collect():
+        out[r.place] = r.value
+    return out
 
 
 class _Scorer:
-    """A worker's reader with a bounded memory of tokens' weights."""
+    """A worker's reader with a bounded memory of tokens' weights; without the part of a text's own label, if ``own`` is it."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, own: int | None = None):
         self.model, self.read = model, Reader(model.characters)
+        self.weight = {word: weight for word, count in model.counts.items() if (weight := model.weight(*count, own)) > 0}
         self.known: dict[str, float] = {}
 
-    def __call__(self, text: str) -> float:
+    def token_weight(self, token: str) -> float:
+        get, best = self.weight.get, 0.0
+        for word in self.read.whole(token):
+            best = max(best, get(word, 0.0))
+            for k in (4, 5, 6):
+                if len(word) > k:
+                    best = max(best, get(word[:k] + "~", 0.0))
+        return best
+
+    def weights(self, text: str) -> list[float]:
         known = self.known
         if len(known) > CACHED:
             known.clear()
-        weights = []
+        out = []
         for token in set(tokens(text)):
             got = known.get(token)
             if got is None:
-                got = known[token] = self.model.token_weight(self.read(token))
-                self.read.seen.clear()
+                got = known[token] = self.token_weight(token)
             if got:
-                weights.append(got)
-        return self.model.score(weights)
+                out.append(got)
+        return out
+
+    def __call__(self, text: str) -> float:
+        return self.model.score(self.weights(text))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

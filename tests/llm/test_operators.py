@@ -544,6 +544,30 @@ def test_obfuscated_documents_are_caught(spark):
     assert got == {1000: True, 1001: True, 1002: True, 1003: False}
 
 
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    words = "array('idiot', 'm0ron', 'winter', 'house', 'Garden,', 'river', 'of')"
+    docs = spark.range(30_000).selectExpr("id AS doc_id", f"concat_ws(' ', element_at({words}, int(crc32(string(id)) % 7) + 1), element_at({words}, int(id % 5) + 3), 'w' || id % 11) AS text")
+    labels = docs.selectExpr("doc_id", "int(text LIKE '%idiot%' OR text LIKE '%m0ron%') AS toxic")
+    rows = {r.doc_id: (r.text, r.toxic) for r in docs.join(labels, "doc_id").where("crc32(string(doc_id)) % 5 <> 0").collect()}
+    model = toxicity.fit(docs, labels)
+    assert len(rows) > 23_000 and (model.toxic, model.other) == (sum(t for _, t in rows.values()), sum(1 - t for _, t in rows.values()))
+    read, grams, held = toxicity.Reader(model.characters), Counter(), {0: Counter(), 1: Counter()}
+    for text, toxic in rows.values():
+        for word in {w.strip(",") for w in text.lower().split()}:
+            if word.isalpha():
+                grams.update(f"\x02\x02{word}\x03"[k : k + 3] for k in range(len(word) + 1))
+        held[toxic].update(set().union(*read.words(text)))
+    assert model.characters.three == grams
+    assert model.counts and all((held[1][w], held[0][w]) == n for w, n in model.counts.items())
+    inputs = lambda text, toxic: [model.token_weight(read(t), toxic) for t in set(toxicity.tokens(text))]
+    local = toxicity.Model(model.characters, model.counts, model.toxic, model.other)
+    local.fit(np.array([local.inputs(inputs(*r)) for r in rows.values()]), np.array([float(t) for _, t in rows.values()]))
+    assert np.allclose(local.coefficients, model.coefficients, atol=1e-5)
+    monkeypatch.setattr(toxicity, "MOST_BROADCAST", 0)
+    shuffled = toxicity.fit(docs, labels)
+    assert shuffled.counts == model.counts and np.allclose(shuffled.coefficients, model.coefficients, atol=1e-5)
+
+
 # ---------------------------------------------------------------- 6 decontamination
 
 
