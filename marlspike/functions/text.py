@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as white space (also beyond ASCII), as CJK, and which code points have no width.
+# What counts as white space (also beyond ASCII; but for the plain space; as a string), as CJK, and which code points have no width.
 SPACE = r" \t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+NOT_PLAIN = r"\t\x0B\f\r\x{85}\x{A0}[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+SPACES = " \t\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{2E80}-\x{2EFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}"
 ZERO_WIDTH = "\u200B\u200C\u200D\u200E\u200F\uFEFF\u202A\u202B\u202C\u202D\u202E\u2060\u2061\u2062\u2063\u2064"
 HEARTBEAT_START = ("Read HEARTBEAT.md", "Follow it strictly", "Current time:")
@@ -42,12 +44,17 @@ def bind(value: Column, body) -> Column:
 
 def trim(text: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(text, rf"\A[{SPACE}\n]+|[{SPACE}\n]+\z", "")
+    return F.btrim(text, F.lit(SPACES + "\n"))
 
 
 def unbroken(text: Column) -> Column:
     """Without a last line feed, and without carriage returns at line ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"\n\z", ""), r"\r(?=\n|\z)", "")
+
+    def cut(t: Column) -> Column:
+        whole = F.when(t.endswith("\n"), F.left(t, F.char_length(t) - 1)).otherwise(t)
+        return F.when(t.contains("\r"), F.regexp_replace(whole, r"\r(?=\n|\z)", "")).otherwise(whole)
+
+    return bind(text, cut)
 
 
 def lines(text: Column) -> Column:
@@ -66,11 +73,12 @@ def compress_blank_lines(text: Column) -> Column:
 
 
 def trim_trailing(text: Column) -> Column:
-    return F.regexp_replace(unbroken(text), rf"[{SPACE}]+(?=\n|\z)", "")
+    return joined(F.transform(F.split(unbroken(text), "\n"), lambda line: F.rtrim(line, F.lit(SPACES))))
 
 
 def strip_zero_width(text: Column) -> Column:
-    return F.translate(text, ZERO_WIDTH, "")
+    # most characters lie below all of them and fail the first test
+    return F.regexp_replace(text, rf"[\x{{200B}}-\x{{FEFF}}&&[{ZERO_WIDTH}]]+", "")
 
 
 def dedup_adjacent_lines(text: Column) -> Column:
@@ -84,7 +92,7 @@ def dedup_adjacent_lines(text: Column) -> Column:
 
 
 def fix_cjk_spacing(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?<=[{CJK}]) (?=[{CJK}])", "")
+    return F.regexp_replace(text, rf" (?<=[{CJK}] )(?=[{CJK}])", "")
 
 
 def remove_watermarks(text: Column, most_bytes: int = 80, times: int = 3) -> Column:
@@ -94,7 +102,7 @@ def remove_watermarks(text: Column, most_bytes: int = 80, times: int = 3) -> Col
         return F.when(F.size(often) > 0, joined(F.filter(all_lines, lambda line: ~F.array_contains(often, trim(line))))).otherwise(text)
 
     def repeated(all_lines: Column) -> Column:
-        short = F.array_sort(F.filter(F.transform(all_lines, trim), lambda x: (x != "") & (F.octet_length(x) < most_bytes)))
+        short = F.sort_array(F.filter(F.transform(all_lines, trim), lambda x: (x != "") & (F.octet_length(x) < most_bytes)))
         # in order, a line that equals the one so many places on occurs often enough
         return bind(short, lambda s: F.array_distinct(F.filter(s, lambda x, i: F.get(s, i + times - 1) == x)))
 
@@ -103,17 +111,20 @@ def remove_watermarks(text: Column, most_bytes: int = 80, times: int = 3) -> Col
 
 def remove_template_lines(text: Column) -> Column:
     """Drops lines of labels whose values are missing: two or more colons followed by nothing but white space and CJK."""
-    return joined(F.filter(lines(text), lambda line: ~trim(line).rlike(rf"\A[^:：]*(?:[:：][{SPACE}{CJK}&&[^:：]]*){{2,}}\z")))
+    colon = lambda line: line.contains(":") | line.contains("：")
+    return joined(F.filter(lines(text), lambda line: ~(colon(line) & trim(line).rlike(rf"\A[^:：]*(?:[:：][{SPACE}{CJK}&&[^:：]]*){{2,}}\z"))))
 
 
 def compress_spaces(text: Column) -> Column:
     """One space between words; the indentation stays."""
-    one = lambda line: F.concat(F.regexp_extract(line, rf"\A[{SPACE}]*", 0), F.regexp_replace(trim(line), rf"[{SPACE}]+", " "))
-    return joined(F.transform(lines(text), lambda line: F.when(line.rlike(rf"\A[{SPACE}]*\z"), "").otherwise(one(line))))
+    indent = lambda line: F.left(line, F.char_length(line) - F.char_length(F.ltrim(line, F.lit(SPACES))))
+    even = lambda inner: F.when(inner.contains("  ") | inner.rlike(f"[{NOT_PLAIN}]"), F.regexp_replace(inner, rf"[{SPACE}]+", " ")).otherwise(inner)
+    one = lambda line, inner: F.when(inner == "", "").otherwise(F.concat(indent(line), even(inner)))
+    return joined(F.transform(lines(text), lambda line: bind(trim(line), lambda inner: one(line, inner))))
 
 
 def filter_table_rows(text: Column) -> Column:
-    empty = lambda line: trim(line).rlike(rf"\A\|[|{SPACE}]*\z") & ~line.contains("---")
+    empty = lambda line: line.contains("|") & trim(line).rlike(rf"\A\|[|{SPACE}]*\z") & ~line.contains("---")
     return joined(F.filter(lines(text), lambda line: ~empty(line)))
 
 

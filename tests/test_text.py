@@ -119,3 +119,14 @@ def test_garbage_and_readable(spark):
     assert not one(spark, "A plain sentence.", text.is_binary_garbage)
     assert one(spark, "one two three four five six", text.is_readable)
     assert not one(spark, "JFIF one two three four five six", text.is_readable)
+
+
+def test_white_space_of_all_kinds(spark):
+    """The set that is trimmed is the class that the patterns name."""
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c,) for c in every], "c string")
+    in_class = {r.c for r in rows.where(F.col("c").rlike(f"^[{text.SPACE}]$") & (F.col("c") != "\n")).collect()}
+    assert in_class == set(text.SPACES)
+    assert {r.c for r in rows.where(F.col("c").rlike(f"[{text.NOT_PLAIN}]")).collect()} == in_class - {" "}
+    assert {r.c for r in rows.where(text.trim(F.col("c")) == "").collect()} == in_class | {"\n"}
+    assert {r.c for r in rows.where(text.strip_zero_width(F.col("c")) == "").collect()} == set(text.ZERO_WIDTH)
