@@ -218,7 +218,12 @@ def is_binary_garbage(text: Column) -> Column:
 
 def merge_texts(a: Column, b: Column) -> Column:
     """The longer of two texts if more than half of the first one's lines lie in the second, else one after the other."""
-    own = F.filter(F.transform(lines(a), trim), lambda x: x != "")
-    shared = F.size(F.filter(own, lambda x: b.contains(x)))  # a line holds no line feed, so it lies within one line of b
-    longer = F.when(F.octet_length(b) > F.octet_length(a), b).otherwise(a)
-    return F.when(trim(a) == "", b).when(trim(b) == "", a).when((F.size(own) > 0) & (shared * 2 > F.size(own)), longer).otherwise(F.concat(a, F.lit("\n\n"), b))
+
+    def merged(a: Column, b: Column, own: Column) -> Column:
+        shared = F.size(F.filter(own, lambda x: b.contains(x)))  # a line holds no line feed, so it lies within one line of b
+        longer = F.when(F.octet_length(b) > F.octet_length(a), b).otherwise(a)
+        return F.when(F.size(own) == 0, b).when(trim(b) == "", a).when(shared * 2 > F.size(own), longer).otherwise(F.concat(a, F.lit("\n\n"), b))
+
+    # each is computed once, not for every line
+    lines_of = lambda a: F.filter(F.transform(lines(a), trim), lambda x: x != "")
+    return bind(a, lambda a: bind(b, lambda b: bind(lines_of(a), lambda own: merged(a, b, own))))

@@ -130,3 +130,11 @@ def test_white_space_of_all_kinds(spark):
     assert {r.c for r in rows.where(F.col("c").rlike(f"[{text.NOT_PLAIN}]")).collect()} == in_class - {" "}
     assert {r.c for r in rows.where(text.trim(F.col("c")) == "").collect()} == in_class | {"\n"}
     assert {r.c for r in rows.where(text.strip_zero_width(F.col("c")) == "").collect()} == set(text.ZERO_WIDTH)
+
+
+def test_merge_of_long_texts_reads_the_second_once(spark):
+    """Seconds grow with the text; when the second one was put together again for each line, this took 40,000 copies of 1 MB."""
+    a = "\n".join(f"line {i} of many" for i in range(40_000))
+    b = F.concat(F.col("t"), F.lit("\nmore"))
+    plan = spark.createDataFrame([(a,)], "t string").select(text.merge_texts(F.col("t"), b).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(t#") == 1
