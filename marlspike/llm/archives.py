@@ -41,6 +41,8 @@ RECORDS_A_FILE = 2000
 ARC_RECORDS = 500
 FILE_BYTES = 128 << 20
 PIECE = 1 << 16
+#: As small as level 9 within 0.1 % on the test pages, in three quarters of its time.
+LEVEL = 6
 #: What ends a WARC record, and a gzip member that holds nothing.
 SEPARATOR = b"\r\n\r\n"
 NOTHING = gzip.compress(b"", mtime=0)
@@ -179,12 +181,13 @@ def read_warc(data: bytes) -> Iterator[dict]:
 
 
 def inflate(data: bytes) -> bytes:
-    """All members of a gzip file, or the data if it is none. Read in pieces, so that what follows a member isn't copied whole for each."""
+    """All members of a gzip file, or the data if it is none. Read in pieces that begin small, so that what follows a member isn't copied whole for each."""
     out, at = [], 0
     while data[at : at + 2] == b"\x1f\x8b":
-        member = zlib.decompressobj(wbits=31)
+        member, size = zlib.decompressobj(wbits=31), PIECE >> 5
         while not member.eof and at < len(data):
-            piece = data[at : at + PIECE]
+            piece = data[at : at + size]
+            size = min(2 * size, PIECE)
             out.append(member.decompress(piece))
             at += len(piece) - len(member.unused_data)
         out.append(member.flush())
@@ -272,7 +275,7 @@ def to_warc(records: DataFrame, path: str, scratch: Scratch, revisit_bytes: int
         any_bytes = pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True)
         for batch in slices(batches, 200):
             rows = batch.to_pylist()
-            raw = pa.array([gzip.compress(warc_record(r, r["refers_to"]) + SEPARATOR, mtime=0) for r in rows], pa.binary())
+            raw = pa.array([gzip.compress(warc_record(r, r["refers_to"]) + SEPARATOR, LEVEL, mtime=0) for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([raw.cast(options=any_bytes)], names=["value"])
 
     placed.select(*names).mapInArrow(run, schema("value string")).write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", a_file).text(path)

@@ -1,5 +1,6 @@
 """The ten operators against brute force, exact round trips and held-out labels, and their edge cases."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -699,6 +700,12 @@ def test_partial_dates():
     assert [archives.iso_date(d) for d in ("1999", "199907", "19990715083000")] == ["1999-01-01T00:00:00Z", "1999-07-01T00:00:00Z", "1999-07-15T08:30:00Z"]
 
 
+def test_inflating_members_of_all_sizes():
+    rng = random.Random(3)
+    parts = [rng.randbytes(n) for n in (0, 1, 2020, 2048, 2049, 6100, 6144, 65_500, 65_536, 200_000, 0, 5)]
+    assert archives.inflate(archives.NOTHING.join(gzip.compress(p, archives.LEVEL, mtime=0) for p in parts)) == b"".join(parts)
+
+
 # ---------------------------------------------------------------- 8 packing
 
 
