@@ -215,9 +215,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, m
     scratch = Scratch(docs.sparkSession, "minhash")
     every = scratch.keep(signatures(docs, k, chunks(most_apart)), "signatures")
     reps = every.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
-    own = scratch.keep(
-        every.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "keys"), "sets"
-    )
+    full = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    copies = scratch.keep(full.select("doc_id").distinct().join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), "copies")
+    few = copies.count() <= MOST_SHIPPED
+    own = full.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "keys")
+    if not few:  # otherwise a second table of signatures and keys isn't needed
+        own = scratch.keep(own, "sets")
     exploded = own.select(F.explode("keys").alias("key"), "id", "n")
     sizes = exploded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = scratch.keep(exploded.join(sizes, "key"), "members")
@@ -230,13 +233,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, m
     near_hub = large.join(hubs, "key").where((F.col("id") != -F.col("hub.id")) & _may_link(F.col("n"), F.col("hub.n"), percent)).select((-F.col("hub.id")).alias("a"), F.col("id").alias("b"))
     sigs = own.select("id", "sig")
     pairs = scratch.keep(_near(near_small.unionByName(near_hub).distinct(), sigs, most_apart), "pairs")
+    scratch.drop(own)
 
     wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select(F.col("id").alias("doc_id"))).distinct(), "wanted")
     sets = scratch.keep(_sets(docs.join(broadcast_if_small(wanted, MOST_SHIPPED), "doc_id", "left_semi").select("doc_id", "text"), k).distinct(), "hashes")
     links = scratch.keep(_links(pairs, sets, percent), "links")
     found = scratch.keep(connected_components(links, scratch), "components")
 
-    more = scratch.keep(_rest(own, large.select("key").distinct(), found, sets, percent, scratch), "rest")
+    more = scratch.keep(_rest(large.select("key", "id", "n"), found, sets, percent, scratch), "rest")
     if not more.isEmpty():
         links = links.unionByName(scratch.keep(_links(more, sets, percent), "links"))
         found = scratch.keep(connected_components(links, scratch), "components")
@@ -249,10 +253,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, m
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _rest(own: DataFrame, large_keys: DataFrame, found: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, common: int = COMMON) -> DataFrame:
-    """Pairs (a, b) of different components in large buckets that their shared common or rare shingles allow to be links."""
-    placed = own.join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
-    placed = placed.join(large_keys, "key")
+def _rest(large: DataFrame, found: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, common: int = COMMON) -> DataFrame:
+    """Pairs (a, b) of different components in large buckets (key, id, n) that their shared common or rare shingles allow to be links."""
+    placed = large.join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "key")
     by_component = placed.groupBy("key", "component").agg(F.count("*").alias("many"))
     main = by_component.groupBy("key").agg(F.max(F.struct("many", F.col("component").alias("main"))).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.main").alias("main"))
     open_ = scratch.keep(placed.join(main, "key"), "open")

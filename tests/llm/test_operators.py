@@ -196,6 +196,34 @@ def test_deduplicate_keeps_columns_and_one_of_each(spark):
     assert minhash.deduplicate(df.limit(0)).collect() == []
 
 
+def shuffled_records(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("shipped", [minhash.MOST_SHIPPED, 0])
+def test_all_keys_are_shuffled_once_to_be_counted_and_once_to_meet(spark, monkeypatch, shipped):
+    """The second look goes at members of large buckets, not at every key again; signatures are stored once where few texts are copies."""
+    texts = several_families()
+    many = 1_500
+    texts += [(len(texts) + i, " ".join(f"d{i}w{j}" for j in range(9))) for i in range(many)] + [(len(texts) + many, texts[0][1]), (len(texts) + many + 1, "")]
+    kept, keep = [], minhash.Scratch.keep
+    monkeypatch.setattr(minhash.Scratch, "keep", lambda self, df, name: kept.append((name, df.columns)) or keep(self, df, name))
+    monkeypatch.setattr(minhash, "MOST_SHIPPED", shipped)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = shuffled_records(spark)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), small_bucket=3).collect()}
+        records = shuffled_records(spark) - records
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute_near(texts)
+    assert records < 3 * minhash.HASHES * len(texts)
+    assert sum("keys" in columns for _, columns in kept) == (1 if shipped else 2)
+
+
 def test_distance_follows_from_the_threshold():
     assert (minhash.distance(85), minhash.chunks(21)) == (21, 11)
     rng = np.random.default_rng(2)
