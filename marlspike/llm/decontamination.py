@@ -156,7 +156,25 @@ def _original(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": places[s][0], "end": places[e - 1][1]} for s, e in ranges]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The documents in which no window of the benchmark occurs, with their own columns."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return find(rows, benchmark, n).where("n_hit = 0").select("row.*")
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit: int = SHARD_BYTES) -> DataFrame:
+    """The documents in which no window of the benchmark occurs, with their own columns; their texts go to Python once."""
+    parts, part = shards(benchmark, limit)
+    scratch = Scratch(docs.sparkSession, "decontamination") if parts > 1 else None
+    for k in range(parts):
+        docs = _without(docs, part(k), n)
+        if k < parts - 1:
+            docs = scratch.keep(docs, "shard")
+    return docs
+
+
+def _without(docs: DataFrame, part: list[tuple[str, str | None]], n: int) -> DataFrame:
+    """The documents without a match of a shard."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
+    at = docs.columns.index("text")
+
+    def run(batches):
+        automaton = held_by_worker(key, lambda: Automaton(shared.value, n))
+        for batch in slices(batches):
+            yield batch.filter(pa.array([not automaton.hits(words(t))[0] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

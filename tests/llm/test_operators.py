@@ -600,6 +600,17 @@ def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
 # ---------------------------------------------------------------- 6 decontamination
 
 
+@pytest.mark.parametrize("limit", [decontamination.SHARD_BYTES, 60])
+def test_clean_sends_texts_once_and_drops_what_any_shard_hits(spark, limit):
+    items = [(f"i{k}", " ".join(f"b{k}x{j}" for j in range(12))) for k in range(6)]
+    texts = [f"before {text.upper()} after" for _, text in items] + [" ".join(items[0][1].split()[:9]), "", None, "own words only"]
+    docs = docs_of(spark, texts).selectExpr("*", "'mine' AS items", "doc_id AS n_hit")
+    kept = decontamination.clean(docs, spark.createDataFrame(items, "item_id string, text string"), limit=limit)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    assert {(r.doc_id, r.text, r.items, r.n_hit) for r in kept.collect()} == {(i, t, "mine", i) for i, t in enumerate(texts) if i > 5}
+    assert "struct(" not in kept._jdf.queryExecution().analyzed().toString()
+
+
 def brute_hits(text, items, n=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     own, hit, found = words(text), set(), set()
