@@ -108,6 +108,20 @@ def test_pipeline(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "minhash_dedup", "decontamination", "packing"]
 
 
+def test_the_toxicity_stage_learns_from_all_labelled_rows(spark, tmp_path, monkeypatch):
+    """A table of more than 20,000 labelled training rows; the model that the stage applies has counted each of them."""
+    docs = spark.range(26_000).selectExpr("id AS doc_id", "concat(IF(id % 9 = 0, 'idiot ', 'winter '), 'w', id % 11) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id", "int(doc_id % 9 = 0) AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    used, clean = [], corpus_pipeline.toxicity.clean
+    monkeypatch.setattr(corpus_pipeline.toxicity, "clean", lambda docs, model: used.append(model) or clean(docs, model))
+    kept = corpus_pipeline.drop_toxic(spark, docs.where("doc_id < 900"), str(tmp_path)).count()
+    want = docs.where("crc32(string(doc_id)) % 5 <> 0").selectExpr("count_if(doc_id % 9 = 0) AS toxic", "count_if(doc_id % 9 <> 0) AS other").first()
+    assert want.toxic + want.other > 20_000
+    assert (used[0].toxic, used[0].other) == (want.toxic, want.other) and used[0].counts["idiot"] == (want.toxic, 0)
+    assert kept == 800
+
+
 def test_stages_on_odd_rows(spark, tmp_path):
     """No rows, null texts and ids, empty and repeated rows, columns with the operators' names."""
     kind = "doc_id long, text string, lang string, n_hit long, dropped string"
