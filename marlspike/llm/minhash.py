@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, connected_components, schema, slices
+from .common import Scratch, broadcast_if_small, connected_components, held_by_worker, schema, slices
 
 SHINGLE = 5
 #: Of op2_minhash, and of near_duplicates without another.
@@ -96,15 +96,12 @@ class _WordHashes(dict):
         return h
 
 
-_HASHES = _WordHashes()
-
-
 def shingles(text: str | bytes | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the text's k-word shingles."""
     words = (text.encode() if isinstance(text, str) else text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held_by_worker("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     width = min(k, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
     for j in range(width):

@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ MOST_BROADCAST = 2_000_000
 CACHED = 100_000
 #: Words that a task counts before it hands them on.
 COUNTED = 300_000
+#: Words whose trigrams are looked at together, as each takes about 700 bytes meanwhile.
+TOGETHER = 30_000
 
 #: What a character may stand for.
 STANDS_FOR = {
@@ -260,12 +263,17 @@ def _texts(batch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
-def _trigrams(count: Counter[str]) -> pa.RecordBatch:
-    """Trigrams of words with their numbers, each word as often as counted."""
+def _trigrams(count: Counter[str]) -> Iterator[pa.RecordBatch]:
+    """Trigrams of words with their numbers, each word as often as counted, of a part of the words after the other."""
     words = [w for w in count if w.isalpha()]
+    for at in range(0, len(words), TOGETHER):
+        yield _trigrams_of(words[at : at + TOGETHER], count)
+
+
+def _trigrams_of(words: list[str], count: Counter[str]) -> pa.RecordBatch:
     codes = np.frombuffer("".join(f"\x02\x02{w}\x03" for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
     times = np.repeat(np.array([count[w] for w in words], np.int64), [len(w) + 3 for w in words])
-    within = np.flatnonzero((codes[:-2] != 3) & (codes[1:-1] != 3)) if len(words) else np.array([], np.int64)
+    within = np.flatnonzero((codes[:-2] != 3) & (codes[1:-1] != 3))
     keys, places = np.unique(codes[within] << 42 | codes[within + 1] << 21 | codes[within + 2], return_inverse=True)
     total = np.bincount(places, times[within], len(keys)).astype(np.int64)
     grams = ["".join(map(chr, (k >> 42, k >> 21 & 0x1FFFFF, k & 0x1FFFFF))) for k in keys.tolist()]
@@ -294,9 +302,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             for text in _texts(batch):
                 count.update({w.strip(_EDGES) for w in set(text.lower().split())})
             if len(count) > COUNTED:
-                yield _trigrams(count)
+                yield from _trigrams(count)
                 count.clear()
-        yield _trigrams(count)
+        yield from _trigrams(count)
 
     grams = rows.mapInArrow(letters, schema("word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
     characters = CharacterModel({r.word: r.n for r in grams.collect()})

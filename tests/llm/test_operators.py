@@ -5,14 +5,18 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlspike.llm import archives, brown, decontamination, lines, minhash, packing, pii, quality, queries, toxicity, vectors
+from marlspike.llm import archives, brown, common, decontamination, lines, minhash, packing, pii, quality, queries, toxicity, vectors
 from marlspike.llm.common import Scratch, broadcast_if_small, connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +46,29 @@ def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).collect() == []
 
 
+def test_a_worker_lets_go_of_its_object_when_no_task_follows(monkeypatch):
+    class Held:
+        pass
+
+    batch = pa.RecordBatch.from_pydict({"x": list(range(5))})
+    monkeypatch.setattr(common, "IDLE", 0.3)
+    first = weakref.ref(common.held_by_worker("a", Held))
+    for _ in range(4):
+        assert [b.num_rows for b in common.slices([batch], 2)] == [2, 2, 1]
+        time.sleep(0.1)
+        assert common.held_by_worker("a", Held) is first()
+    running = common.slices([batch], 2)
+    next(running)
+    time.sleep(0.6)
+    assert first() is not None
+    assert len(list(running)) == 2
+    time.sleep(1)
+    assert first() is None
+    second = weakref.ref(common.held_by_worker("a", Held))
+    common.held_by_worker("b", Held)
+    assert second() is None
+
+
 def test_broadcast_is_checked(spark):
     df = spark.range(10)
     assert "broadcast" in broadcast_if_small(df, 10)._jdf.queryExecution().logical().toString().lower()
@@ -597,6 +624,27 @@ def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
     assert shuffled.counts == model.counts and np.allclose(shuffled.coefficients, model.coefficients, atol=1e-5)
 
 
+def test_trigrams_of_many_words_take_little_memory():
+    rng = random.Random(5)
+    count = Counter({"".join(rng.choices("abcdefgh", k=12)): i % 3 + 1 for i in range(100_000)})
+    count["w0rd"] = 4
+    plain = Counter()
+    for word, n in count.items():
+        if word.isalpha():
+            for k in range(len(word) + 1):
+                plain[f"\x02\x02{word}\x03"[k : k + 3]] += n
+    got = Counter()
+    tracemalloc.start()
+    for batch in toxicity._trigrams(count):
+        for gram, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            got[gram] += n
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == plain
+    assert most < 40e6
+    assert not list(toxicity._trigrams(Counter()))
+
+
 # ---------------------------------------------------------------- 6 decontamination
 
 
